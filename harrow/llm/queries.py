@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, decontam, pii, quality, secrets, suffix, tokens
+from . import common, decontam, jaccard, mixing, pii, quality, secrets, suffix, tokens, urls, warc
 
 
 def vocabulary(name: str) -> str:
@@ -16,6 +17,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(common.table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_spans(common.table(spark, sf_dir, "documents"))
 
@@ -24,6 +29,10 @@ def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(common.table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_near(common.table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(common.table(spark, sf_dir, "documents"))
 
@@ -34,6 +43,19 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(common.table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels of the document with the page's number say whether it is blocked."""
+    pages, labels = common.table(spark, sf_dir, "pages"), common.table(spark, sf_dir, "labels")
+    labelled = pages.join(labels, pages["page_id"] == labels["doc_id"]).select("url", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
+    return urls.judge(pages, labelled.where("blocked is not null"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.new_folder(spark)
+    index = warc.write(common.table(spark, sf_dir, "pages"), folder)
+    return warc.read(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(common.table(spark, sf_dir, "documents"))
 
@@ -43,7 +65,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_fertility, op5_suffix_dedup, op6_token_counts, op9_secrets, op10_decontamination)}
+    return {f.__name__: f for f in (op1_mixing, op2_pii, op3_fertility, op4_jaccard_join, op5_suffix_dedup, op6_token_counts, op7_url_rules, op8_warc, op9_secrets, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
