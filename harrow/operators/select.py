@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from harrow.sources.tables import cut
+
 
 def hash_order(seed: int, id: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}-"), F.col(id).cast("string")))
@@ -18,9 +20,10 @@ def hash_order(seed: int, id: str) -> Column:
 
 def ranked(df: DataFrame, order: list[Column | str], name: str = "rank") -> DataFrame:
     """Adds a rank from 1 in a total ``order`` (ties broken by it): a range partitioning, ranks within each
-    partition and the sizes of the partitions before, of which there is one row each."""
+    partition and the sizes of the partitions before, of which there is one row each. The partitioned rows
+    are written first, as bounds that are sampled twice could differ."""
     own = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    local = own.withColumn("__r", F.row_number().over(W.partitionBy("__p").orderBy("__i")))
+    local = cut(own.withColumn("__r", F.row_number().over(W.partitionBy("__p").orderBy("__i"))))
     before = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
     sizes = local.groupBy("__p").agg(F.count("*").alias("__n")).withColumn("__b", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     return local.join(F.broadcast(sizes), "__p").withColumn(name, (F.col("__r") + F.col("__b")).cast("long")).drop("__p", "__i", "__r", "__b")
