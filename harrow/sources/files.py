@@ -23,8 +23,11 @@ def read_lines(spark: SparkSession, path: str | list[str], schema: T.StructType,
     if strict:
         return spark.read.schema(schema).json(path, mode="FAILFAST", encoding="UTF-8")
     wide = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
-    rows = spark.read.schema(wide).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord=_BAD)
-    return rows.drop(_BAD) if keep_bad else rows.where(F.col(_BAD).isNull()).drop(_BAD)
+    row = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD})
+    rows = spark.read.text(path).withColumn("__row", F.when(F.trim("value") != "", row))
+    if not keep_bad:
+        rows = rows.where(F.col("__row").isNotNull() & F.col(f"__row.{_BAD}").isNull())
+    return rows.select(*(F.col(f"__row.{c}").alias(c) for c in schema.names))
 
 
 def read_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -99,7 +99,10 @@ class BatchState(StatefulProcessor):
         full = len(ids) // self.n
         if full:
             yield pd.DataFrame({"queue": key[0], "batch": [batch + i // self.n for i in range(full * self.n)], "id": ids[: full * self.n]})
-        self.waiting.put([(i,) for i in ids[full * self.n :]])
+        if rest := ids[full * self.n :]:
+            self.waiting.put([(i,) for i in rest])
+        else:
+            self.waiting.clear()
         self.count.update((batch + full,))
 
     def close(self) -> None:
