@@ -169,3 +169,61 @@ def resample(df: DataFrame, key: list[str], reward: str = "reward", mode: str =
     upto = lambda c: F.ceil(c / F.col("all") * F.col("n") - u)
     copies = F.when(F.col("all") > 0, upto(F.col("high")) - upto(F.col("high") - F.col("w"))).otherwise(1)
     return own.withColumn("copies", copies.cast("long")).drop("w", "stratum", "nth", "high", "all", "n")
+
+
+def clip_cov(df: DataFrame, order: list[str], share: float = 0.0002, low: float = 1.0, high: float = 5.0, clip: float = 0.2, seed: int = 0) -> DataFrame:
+    """Adds loss: the clipped loss, 0 for a hashed choice of ``share`` of the unmasked tokens among those whose
+    covariance lies in (low, high) and that weren't clipped anyway. The choice is a hash bound at the share of
+    candidates, so that nothing is sorted as a whole."""
+    ratio = F.exp(F.col("logp") - F.col("old_logp"))
+    a, b = -F.col("advantage") * ratio, -F.col("advantage") * clamp(ratio, 1 - clip, 1 + clip)
+    rows = covariance(df).withColumn("__in", (F.col("mask") == 1) & ~(b > a) & (F.col("cov") > low) & (F.col("cov") < high))
+    want = F.greatest(F.floor(share * F.count_if(F.col("mask") == 1)), F.lit(1))
+    n = rows.agg(want.alias("__k"), F.count_if("__in").alias("__n"))
+    drawn = F.pmod(F.xxhash64(F.lit(seed), *order), F.lit(1 << 30)) / float(1 << 30)
+    out = rows.crossJoin(F.broadcast(n)).withColumn("dropped", F.col("__in") & (drawn * F.col("__n") < F.col("__k")))
+    return out.withColumn("loss", F.when(F.col("dropped"), 0.0).otherwise(F.greatest(a, b))).drop("__in", "__k", "__n")
+
+
+def analysis_loss(df: DataFrame, seq: str = "group_id", over: str = "tokens") -> DataFrame:
+    """One number of -ratio * advantage: "tokens" averages all unmasked tokens, "sequences" sums the sequences' means."""
+    x = -F.exp(F.col("logp") - F.col("old_logp")) * F.col("advantage") * F.col("mask")
+    part = df.groupBy(seq).agg(F.sum(x).alias("s"), F.sum("mask").alias("n"))
+    return part.agg((F.sum("s") / F.sum("n")).alias("loss") if over == "tokens" else F.sum(F.try_divide("s", "n")).alias("loss"))
+
+
+def reward_model_ce(score: Column, label: Column) -> Column:
+    """Cross entropy of a sequence score against pass or fail."""
+    p = 1 / (1 + F.exp(-score))
+    return -(label * F.log(p) + (1 - label) * F.log(1 - p))
+
+
+def preference_accuracy(pairs: DataFrame, score_i: str, score_j: str, truth_i: str, truth_j: str, by: list[str]) -> DataFrame:
+    """Share of pairs that the scores order as the truths do, weighted by the truths' gap; one half without any."""
+    gap = F.col(truth_i) - F.col(truth_j)
+    right = (F.col(score_i) - F.col(score_j)) * gap > 0
+    w = F.abs(gap)
+    return pairs.groupBy(*by).agg(F.coalesce(F.try_divide(F.sum(F.when(right, w).otherwise(0.0)), F.sum(w)), F.lit(0.5)).alias("accuracy"))
+
+
+def entropy(logits: Column) -> Column:
+    """Of the distribution that an array of logits gives, with the largest taken off first."""
+    top = F.array_max(logits)
+    e = F.transform(logits, lambda x: F.exp(x - top))
+    z = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
+    return F.log(z) + top - F.aggregate(F.zip_with(e, logits, lambda p, x: p * x), F.lit(0.0), lambda s, x: s + x) / z
+
+
+def learning_rate(step: Column, kind: str, warmup: int, total: int, least: float = 0.0, cycles: float = 0.5, stable: float = 0.9) -> Column:
+    """Factor of the base rate: linear warm-up, then constant, cosine, or stable with a linear decay."""
+    up = step / float(max(1, warmup))
+    done = (step - warmup) / float(max(1, total - warmup))
+    if kind == "constant":
+        after = F.lit(1.0)
+    elif kind == "cosine":
+        after = F.greatest(F.lit(0.0), least + (1 - least) * 0.5 * (1 + F.cos(F.pi() * 2 * cycles * done)))
+    elif kind == "wsd":
+        after = F.when(done < stable, 1.0).otherwise(F.greatest(F.lit(least), 1 - (1 - least) * (done - stable) / (1 - stable)))
+    else:
+        raise ValueError(f"no schedule named {kind!r}")
+    return F.when(step < warmup, up).otherwise(after)

@@ -194,3 +194,45 @@ def group_tokens(df: DataFrame, shard: str, group: str = "group_id", length: str
 
 def slowest(df: DataFrame, time: Column, keep: list[str], by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.min(time).alias("least"), F.max(time).alias("most"), F.avg(time).alias("mean"), F.max_by(F.struct(*keep), F.struct(time, *keep)).alias("row")).select(*by, "least", "most", "mean", "row.*")
+
+
+def throughput(df: DataFrame, tokens: str, seconds: str, devices: int, by: list[str]) -> DataFrame:
+    """Tokens, seconds, tokens per second and device, and milliseconds per token."""
+    t, s = F.sum(tokens), F.sum(seconds)
+    return df.groupBy(*by).agg(t.alias("tokens"), s.alias("seconds"), F.try_divide(t, s * devices).alias("throughput"), F.try_divide(s * 1000, t).alias("ms_per_token"))
+
+
+def mismatches(a: Column, b: Column, mask: Column) -> Column:
+    """In how many unmasked places two arrays differ."""
+    differ = F.zip_with(a, b, lambda x, y: (~x.eqNullSafe(y)).cast("long"))
+    return F.aggregate(F.zip_with(differ, mask, lambda d, m: d * m.cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+
+
+def masked_kl(df: DataFrame, mask: Column) -> DataFrame:
+    """Mean of old less new log-probabilities over unmasked tokens."""
+    return df.agg((F.sum((F.col("old_logp") - F.col("logp")) * mask) / F.sum(mask)).alias("kl"))
+
+
+def batch_norm(df: DataFrame, value: str, group: str = "group_id", order: str = "sample_id") -> DataFrame:
+    """``value`` over the batch's largest absolute sum from a token on, + 1e-6."""
+    run = F.sum(value).over(W.partitionBy(group).orderBy(order).rowsBetween(W.currentRow, W.unboundedFollowing))
+    rows = df.withColumn("__run", run)
+    top = rows.agg((F.max(F.abs("__run")) + 1e-6).alias("__top"))
+    return rows.crossJoin(F.broadcast(top)).withColumn(value, F.col(value) / F.col("__top")).drop("__run", "__top")
+
+
+def step_reward(df: DataFrame, score: str, group: str, order: str, penalty: float = -0.05) -> DataFrame:
+    """Adds reward: 0 where the score is over the one before, else the penalty; the first against 0."""
+    before = F.lag(score, 1, 0.0).over(W.partitionBy(group).orderBy(order))
+    return df.withColumn("reward", F.when(F.col(score) > before, 0.0).otherwise(penalty))
+
+
+def merge_workers(parts: list[DataFrame], assigned: DataFrame, id: str = "group_id") -> tuple[DataFrame, DataFrame]:
+    """All workers' rows, and what is wrong with them: (id, error) of ids that are missing, twice or of nobody."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    n = rows.groupBy(id).agg(F.count("*").alias("n"))
+    both = assigned.select(id, F.lit(True).alias("wanted")).join(n, id, "full_outer")
+    error = F.when(F.col("wanted").isNull(), "not assigned").when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "duplicate")
+    return rows, both.withColumn("error", error).where("error is not null").select(id, "error")
