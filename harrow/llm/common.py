@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harrow.session import ship
+
 #: A batch that enters a Python worker holds this many bytes of rows at most (or one row).
 BATCH_BYTES = 16 << 20
 #: One word: what stands between the six ASCII white-space characters.
@@ -20,7 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches are cut by bytes, so that very long texts cannot fill a worker."""
+    """Arrow batches are cut by bytes, so that very long texts cannot fill a worker; workers get the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontam, jaccard, mixing, pii, quality, secrets, suffix, tokens, urls, warc
+from . import common, decontam, jaccard, mixing, oracles, pii, quality, secrets, suffix, tokens, urls, warc
 
 
 def vocabulary(name: str) -> str:
@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
