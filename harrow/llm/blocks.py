@@ -15,6 +15,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +28,38 @@ LETTER = "block long, bucket long, a binary, b binary, c binary"
 
 
 def blocked(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, int]:
-    """(block, id, text) of all rows, and the number of blocks. A null text is empty."""
+    """(block, data) with all ids and texts, packed and compressed by block before they are shuffled, and the number
+    of blocks. A null text is empty."""
     total = common.text_bytes(docs, text)
     size = min(MOST_BLOCK_BYTES, int(BLOCK_BYTES * max(1.0, total / 1e9) ** 0.5))
     n = max(common.partitions(docs.sparkSession), -(-total // size))
-    return docs.select(F.pmod(F.xxhash64(F.col(id), F.col(text)), F.lit(n)).alias("block"), F.col(id).alias("id"), F.coalesce(text, F.lit("")).alias("text")), n
+    rows = docs.select(F.pmod(F.xxhash64(F.col(id), F.col(text)), F.lit(n)).alias("block"), F.col(id).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+
+    def pack(rows: pa.Table) -> pa.Table:
+        how = pa.ipc.IpcWriteOptions(compression="zstd")
+        order, own, first = by_bucket(common.column(rows, "block").to_numpy())
+        rows = rows.drop_columns(["block"]).take(pa.array(order)).combine_chunks()
+        out = []
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=how) as w:
+                w.write_table(rows.slice(a, b - a))
+            out.append(sink.getvalue().to_pybytes())
+        return pa.table({"block": pa.array(own), "data": pa.array(out, pa.binary())})
+
+    return common.arrow_pass(rows, pack, "block long, data binary"), n
+
+
+def _unpacked(rows: pa.Table) -> pa.Table:
+    return pa.concat_tables(pa.ipc.open_stream(x.as_buffer()).read_all() for x in rows.column("data")).combine_chunks()
+
+
+def squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
 
 
 def letters(rows: list[tuple[int, int, bytes | None, bytes | None, bytes | None]]) -> pa.Table:
@@ -41,7 +69,7 @@ def letters(rows: list[tuple[int, int, bytes | None, bytes | None, bytes | None]
 
 def ask(docs: DataFrame, fn: Callable[[int, pa.Table], pa.Table]) -> DataFrame:
     """Letters of each block of ``docs``."""
-    return docs.groupBy("block").applyInArrow(lambda key, rows: fn(key[0].as_py(), rows), LETTER)
+    return docs.groupBy("block").applyInArrow(lambda key, rows: fn(key[0].as_py(), _unpacked(rows)), LETTER)
 
 
 def ask_again(docs: DataFrame, answers: DataFrame, fn: Callable[[int, pa.Table, dict], pa.Table], schema: str = LETTER) -> DataFrame:
@@ -49,7 +77,7 @@ def ask_again(docs: DataFrame, answers: DataFrame, fn: Callable[[int, pa.Table,
 
     def both(key, rows: pa.Table, got: pa.Table) -> pa.Table:
         by = {r["bucket"]: (r["a"], r["b"], r["c"]) for r in got.to_pylist()}
-        return fn(key[0].as_py(), rows, by)
+        return fn(key[0].as_py(), _unpacked(rows), by)
 
     return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(both, schema)
 

@@ -1,12 +1,11 @@
 """Token counts by distinct pre-tokens.
 
 A tokeniser cuts a text into pre-tokens and each of them into pieces, so a text's count is the sum
-over its pre-tokens. Each block of documents asks for its distinct pre-tokens, the bucket that a
-pre-token belongs to counts its pieces with the library, once for the whole corpus, and the block sums
-the answers over its documents' frequencies. Ids are never stored.
-
-Texts are first cut before each single space that a non-space follows, where the pre-tokeniser cuts
-in any case; the distinct stretches, far fewer than their occurrences, go through its pattern.
+over its pre-tokens. Texts are cut before each single space that a non-space follows, where the
+pre-tokeniser cuts in any case. Each block of documents asks for the distinct stretches between,
+once for all its documents; the bucket that a stretch belongs to takes those of the whole corpus,
+cuts the distinct ones into pre-tokens, counts each distinct pre-token's pieces with the library and
+adds them up; the block sums the answers over its documents' frequencies. Ids are never stored.
 
 Defined results: a null or empty text has no bytes and no tokens; a special token's string counts
 one, as the library takes it; repeated rows are each counted; an empty table gives an empty result.
@@ -15,7 +14,6 @@ one, as the library takes it; repeated rows are each counted; an empty table giv
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,8 +61,8 @@ def _frequencies(text: str, special: list[str]) -> tuple[Counter, int]:
     return Counter(s for p in parts for s in stretches(p)) if n else Counter(stretches(text)), n
 
 
-def _key(token: str) -> bytes:
-    return token.encode("utf-8", "replace")
+def _key(stretch: str) -> bytes:
+    return stretch.encode()
 
 
 def _bucket(keys: list[bytes], n: int) -> np.ndarray:
@@ -73,26 +71,25 @@ def _bucket(keys: list[bytes], n: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(k) % n for k in keys), np.int64, len(keys))
 
 
-def _asked(rows: pa.Table, pattern, special: list[str], n: int) -> tuple[list[Counter], list[int], dict[str, list[str]], Iterator[tuple[int, list[bytes]]]]:
-    """Each text's frequencies and special strings, the pre-tokens of each stretch, and the
-    distinct pre-tokens by bucket in the order in which they are asked for."""
+def _asked(rows: pa.Table, special: list[str], n: int) -> tuple[list[Counter], list[int], list[tuple[int, list[bytes]]]]:
+    """Each text's frequencies and special strings, and the distinct stretches by bucket in the order
+    in which they are asked for."""
     freqs, extra = [], []
     for t in rows.column("text").to_pylist():
         f, k = _frequencies(t, special)
         freqs.append(f)
         extra.append(k)
-    pre = {s: pattern.findall(s) for f in freqs for s in f}
-    keys = sorted({_key(p) for found in pre.values() for p in found})
+    keys = sorted(map(_key, set().union(*freqs)))
     order, own, first = blocks.by_bucket(_bucket(keys, n))
-    asked = ((int(b), [keys[j] for j in order[first[i] : first[i + 1]]]) for i, b in enumerate(own))
-    return freqs, extra, pre, asked
+    return freqs, extra, [(int(b), [keys[j] for j in order[first[i] : first[i + 1]]]) for i, b in enumerate(own)]
 
 
 def _pack(keys: list[bytes]) -> tuple[bytes, bytes]:
-    return b"".join(keys), np.fromiter(map(len, keys), np.uint32, len(keys)).tobytes()
+    return blocks.squeezed(b"".join(keys)), blocks.squeezed(np.fromiter(map(len, keys), np.uint32, len(keys)).tobytes())
 
 
 def _unpack(data: bytes, sizes: bytes) -> list[bytes]:
+    data, sizes = blocks.unsqueezed(data), blocks.unsqueezed(sizes)
     ends = np.cumsum(np.frombuffer(sizes, np.uint32), dtype=np.int64).tolist()
     return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
@@ -104,29 +101,27 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", t
     special = specials(path)
 
     def ask(block: int, rows: pa.Table) -> pa.Table:
-        import regex
-
-        *_, asked = _asked(rows, regex.compile(pattern), special, n)
-        return blocks.letters([(block, b, *_pack(keys), None) for b, keys in asked])
+        return blocks.letters([(block, b, *_pack(keys), None) for b, keys in _asked(rows, special, n)[2]])
 
     def count(got: list[dict]) -> list[tuple]:
+        import regex
+
+        find, t = regex.compile(pattern).findall, tokenizer(path)
         sent = [_unpack(r["a"], r["b"]) for r in got]
-        distinct = list({k for keys in sent for k in keys})
-        t = tokenizer(path)
-        pieces: dict[bytes, int] = {}
-        for i in range(0, len(distinct), 8192):
-            part = distinct[i : i + 8192]
-            pieces.update(zip(part, (len(e.ids) for e in t.encode_batch([k.decode() for k in part], add_special_tokens=False)), strict=True))
-        return [(r["block"], r["bucket"], np.fromiter(map(pieces.__getitem__, keys), np.uint32, len(keys)).tobytes(), None, None) for r, keys in zip(got, sent, strict=True)]
+        stretches = {k: find(k.decode()) for k in {k for keys in sent for k in keys}}
+        pre = list({p for found in stretches.values() for p in found})
+        pieces: dict[str, int] = {}
+        for i in range(0, len(pre), 8192):
+            part = pre[i : i + 8192]
+            pieces.update(zip(part, (len(e.ids) for e in t.encode_batch(part, add_special_tokens=False)), strict=True))
+        cost = {k: sum(map(pieces.__getitem__, found)) for k, found in stretches.items()}
+        return [(r["block"], r["bucket"], blocks.squeezed(np.fromiter(map(cost.__getitem__, keys), np.uint32, len(keys)).tobytes()), None, None) for r, keys in zip(got, sent, strict=True)]
 
     def total(block: int, rows: pa.Table, got: dict) -> pa.Table:
-        import regex
-
-        freqs, extra, pre, asked = _asked(rows, regex.compile(pattern), special, n)
-        pieces: dict[bytes, int] = {}
+        freqs, extra, asked = _asked(rows, special, n)
+        cost: dict[str, int] = {}
         for b, keys in asked:
-            pieces.update(zip(keys, np.frombuffer(got[b][0], np.uint32).tolist(), strict=True))
-        cost = {s: sum(pieces[_key(p)] for p in found) for s, found in pre.items()}
+            cost.update(zip((k.decode() for k in keys), np.frombuffer(blocks.unsqueezed(got[b][0]), np.uint32).tolist(), strict=True))
         tokens = [k + sum(cost[s] * m for s, m in f.items()) for f, k in zip(freqs, extra, strict=True)]
         _, at = common.utf8(common.column(rows, "text"))
         return pa.table({id: rows.column("id"), "n_bytes": np.diff(at), "n_tokens": pa.array(tokens, pa.int64()), "over_limit": pa.array([x > limit for x in tokens], pa.bool_())})
