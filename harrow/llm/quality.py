@@ -2,8 +2,8 @@
 
 A public vocabulary with byte fallback cuts each word into pieces. Prose of a language the
 vocabulary knows has a narrow band of characters per token; junk, encodings and broken text leave it.
-The bands are set per language from all documents: quartiles of each measure over the documents that
-pass the base rules, widened by ``reach`` times the distance between them. The pass over the texts
+The bands are set per language from all documents that pass the base rules: the median of each measure
+and ``reach`` times the distance of the quartiles around it, wider for short texts. The pass over the texts
 writes only a few numbers per document, the bands are one aggregation over those, and the verdict is
 a join with one row per language.
 
@@ -25,6 +25,9 @@ MEASURES = ("chars_per_token", "byte_share", "token_entropy")
 _SYMBOLS = bytes(set(range(256)) - set(b"#*$%&|<>"))
 #: A worker forgets the words that it has cut when it holds this many.
 MOST_WORDS = 400_000
+#: Languages up to which their bands are broadcast.
+MOST_LANGUAGES = 10_000
+SHORT = 15.0
 
 
 class _Pieces:
@@ -131,26 +134,35 @@ def base_failed(prefix: str = "") -> Column:
     return (n < 50) | (100 * again > 50 * n)
 
 
-def judge(measured: DataFrame, language: str = "lang", reach: float = 3.0, prefix: str = "") -> DataFrame:
-    """``measured`` (read twice, so written or cheap) and the columns base_failed and kept."""
-    p = prefix
-    ok = measured.where(~base_failed(p))
-    quartiles = ok.groupBy(F.col(language).alias(f"{p}__lang")).agg(*(F.percentile_approx(p + m, [0.25, 0.75], 1000).alias(f"{p}__{m}") for m in MEASURES))
-    bands = quartiles.select(f"{p}__lang", *(c for m in MEASURES for q in (F.col(f"{p}__{m}"),) for spread in (F.greatest(q[1] - q[0], 0.02 * F.abs(q[1]), F.lit(0.01)),) for c in ((q[0] - reach * spread).alias(f"{p}__{m}_low"), (q[1] + reach * spread).alias(f"{p}__{m}_high"))))
-    joined = measured.join(bands, measured[language].eqNullSafe(bands[f"{p}__lang"]), "left")
+def judge(measured: DataFrame, language: str = "lang", reach: float = 5.0, prefix: str = "") -> DataFrame:
+    """``measured`` (read thrice, so written or cheap) and the columns base_failed and kept. Means over a
+    text's words scatter by the root of their number, so their distance from the language's median is taken
+    times that root; the entropy, which grows with the text, keeps its own scale and gets wider for short ones."""
+    p, lang, root = prefix, f"{prefix}__lang", F.sqrt(F.greatest(F.col(f"{prefix}n_words"), F.lit(1)))
+    ok = measured.where(~base_failed(p)).withColumn(lang, F.col(language))
+    q = lambda x: F.percentile_approx(x, [0.25, 0.5, 0.75], 1000)
+    middle = common.cut(ok.groupBy(lang).agg(*(q(p + m)[1].alias(f"{p}__{m}") for m in MEASURES)))
+    small = middle.limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES
+    held = lambda df: F.broadcast(df) if small else df  # noqa: E731  else the join shuffles
+    apart = lambda m: (F.col(p + m) - F.col(f"{p}__{m}")) * (F.lit(1.0) if m == "token_entropy" else root)
+    spread = ok.join(held(middle.withColumnRenamed(lang, "__own")), F.col(lang).eqNullSafe(F.col("__own"))).groupBy(lang).agg(*((q(apart(m))[2] - q(apart(m))[0]).alias(f"{p}__{m}_spread") for m in MEASURES))
+    bands = common.cut(middle.withColumnRenamed(lang, "__own").join(spread, F.col(lang).eqNullSafe(F.col("__own"))).drop("__own"))
+    joined = measured.join(held(bands), measured[language].eqNullSafe(bands[lang]), "left")
     inside = F.lit(True)
     for m in MEASURES:
-        inside &= F.coalesce(F.col(p + m).between(F.col(f"{p}__{m}_low"), F.col(f"{p}__{m}_high")), F.lit(True))
+        least = 0.01 + 0.02 * F.abs(F.col(f"{p}__{m}"))
+        room = F.greatest(F.col(f"{p}__{m}_spread"), least) * reach * (1 + SHORT / root if m == "token_entropy" else F.lit(1.0))
+        inside &= F.coalesce(F.abs(apart(m)) <= room + (0 if m == "token_entropy" else least * root), F.lit(True))
     return joined.withColumns({f"{p}base_failed": base_failed(p), f"{p}kept": ~base_failed(p) & inside}).drop(*bands.columns)
 
 
-def rate(docs: DataFrame, model_path: str, id: str = "doc_id", text: str = "text", language: str = "lang", reach: float = 3.0) -> DataFrame:
+def rate(docs: DataFrame, model_path: str, id: str = "doc_id", text: str = "text", language: str = "lang", reach: float = 5.0) -> DataFrame:
     """One row per document: id, base counts, measures, base_failed and kept."""
     small = measure(docs.select(F.col(id), F.col(language).alias("lang"), F.col(text).alias("text")), model_path, keep=(id, "lang"))
     return judge(common.cut(small), "lang", reach).drop("lang")
 
 
-def keep_good(docs: DataFrame, model_path: str, text: str = "text", language: str = "lang", reach: float = 3.0) -> DataFrame:
+def keep_good(docs: DataFrame, model_path: str, text: str = "text", language: str = "lang", reach: float = 5.0) -> DataFrame:
     """The rows of ``docs`` that pass, with its columns. The measured rows are written once, texts
     included, so that no shuffle carries texts."""
     wide = common.cut(measure(docs, model_path, text, prefix="__q_"))
