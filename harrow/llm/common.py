@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from harrow.session import ship
 
 #: A batch that enters a Python worker holds this many bytes of rows at most (or one row).
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: One word: what stands between the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -25,7 +25,7 @@ def bound_batches(spark: SparkSession) -> None:
     """Arrow batches are cut by bytes, so that very long texts cannot fill a worker; workers get the package."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
 
 
 def arrow_pass(df: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
