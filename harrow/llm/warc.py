@@ -32,6 +32,8 @@ from . import common
 
 #: A new archive begins after this many compressed bytes; reads this close are one read of at most this size.
 FILE_BYTES, GAP_BYTES, READ_BYTES = 64 << 20, 64 << 10, 8 << 20
+#: A task reads about as many compressed bytes.
+TASK_BYTES = 32 << 20
 INDEX = "file string, offset long, length long, page_id long, url string, digest string, record_type string, payload_bytes long"
 _DATE = "2024-01-01T00:00:00Z"
 
@@ -156,7 +158,8 @@ def read(index: DataFrame, folder: str) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"])
 
-    spans = index.select("file", "offset", "length").repartitionByRange(F.col("file"), F.col("offset")).sortWithinPartitions("file", "offset")
+    parts = max(1, (index.agg(F.sum("length").alias("n")).first()["n"] or 0) // TASK_BYTES, common.partitions(index.sparkSession))
+    spans = index.select("file", "offset", "length").repartitionByRange(parts, F.col("file"), F.col("offset")).sortWithinPartitions("file", "offset")
     common.bound_batches(index.sparkSession)
     return spans.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
 
