@@ -25,7 +25,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -322,7 +323,13 @@ def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", words: i
     document with the least id stays; of rows with that id and text, one. Texts without shingles all stay,
     equal rows of them once."""
     points, classes = _classes(_named(docs, id, text), words, threshold, **how)
-    kept = points.join(classes, "set", "left").where("set is null or (id <=> class.id and tk = class.tk)").select(F.col("id").alias("__id"), F.col("tk").alias("__tk")).distinct()
-    keyed = docs.withColumns({"__id": F.col(id), "__tk": F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))})
-    on = keyed["__id"].eqNullSafe(kept["__id"]) & (keyed["__tk"] == kept["__tk"])
-    return keyed.join(kept, on, "left_semi").dropDuplicates(["__id", "__tk"]).select(*docs.columns)
+    kept = points.join(classes, "set", "left").where("set is null or (id <=> class.id and tk = class.tk)")
+    kept = kept.select(_row_key(F.col("id"), F.col("tk")).alias("__key")).distinct()
+    keyed = docs.withColumn("__key", _row_key(F.col(id), F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))))
+    # the join deals texts out by the key already, so finding equal rows needs no second shuffle
+    one = W.partitionBy("__key").orderBy("__key")
+    return keyed.join(kept, "__key").withColumn("__nth", F.row_number().over(one)).where("__nth = 1").select(*docs.columns)
+
+
+def _row_key(id: Column, tk: Column) -> Column:
+    return F.unhex(F.md5(F.concat(F.coalesce(id.cast("string"), F.lit("none")).cast("binary"), F.lit(b"|"), tk)))
