@@ -192,12 +192,13 @@ def _children(points: DataFrame, level: int, threshold: float, roots: list[int]
         return pa.table({"path": pa.array(paths.view(np.int64)), "set": sets.take(pa.array(who))})
 
     cols = ["set", "sketch"] + (["path"] if roots is None else [])
-    return common.arrow_pass(points.select(*cols), run, "path long, set binary").distinct()
+    return common.arrow_pass(points.select(*cols), run, "path long, set binary")
 
 
 def likely_pairs(points: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS, depth: int = DEPTH, small: int = SMALL, slack: float = SLACK) -> DataFrame:
     """(u, v): a spanning forest of each bucket's likely pairs. ``points`` has distinct sets and their sketches."""
-    nodes = common.cut(_children(points, 2, threshold, list(range(1, runs + 1))))
+    # made anew for the counts and for the join, which costs less than to keep so many rows
+    nodes = _children(points, 2, threshold, list(range(1, runs + 1)))
     sketches, least = points.select("set", "sketch"), threshold - slack
     found = None
     for level in range(2, depth + 1):
@@ -210,7 +211,7 @@ def likely_pairs(points: DataFrame, threshold: float = THRESHOLD, runs: int = RU
         if size.where(F.col("size") > small).isEmpty():
             return found
         if level < depth:
-            nodes = common.cut(_children(large.join(sketches, "set"), 1, threshold, None))
+            nodes = _children(common.cut(large.join(sketches, "set")), 1, threshold, None)
     # still large: chunks of the bucket against each other
     half = max(1, small // 2)
     chunk = large.withColumn("chunks", F.ceil(F.col("size") / half)).withColumn("mine", F.pmod(F.xxhash64("set"), F.col("chunks")))
