@@ -2,9 +2,10 @@
 
 Each whole text is a layer. Tokens that hold URL escapes, Unicode escapes, base64 or hex are
 decoded, compressed payloads (zlib, gzip, bz2, xz) are opened, and what comes out is a layer of
-its own, scanned and unwrapped in turn. A layer that was seen before is not opened again, so
-encodings that decode to themselves end. Every layer carries a map from its characters to those
-of the text, by which findings are reported where they stand in the text.
+its own, scanned and unwrapped in turn. A layer that stands in several places is opened once and its
+findings are mapped to each of them; within itself it is not opened again, so encodings that decode to
+themselves end. Every token has a map from its decoded characters to those of the layer around it, by
+which findings are reported where they stand in the text.
 
 Defined results: a null or empty text has no spans; repeated rows are each judged alike; an empty
 table gives an empty result; a decoded span that overlaps one already kept is not kept twice; a
@@ -21,7 +22,7 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
@@ -149,30 +150,70 @@ def layers_in(text: str) -> Iterator[tuple[str, int, list[int] | None, list[int]
             yield out, m.start(), None, len(m.group())
 
 
+def _digest(layer: str) -> bytes:
+    return hashlib.sha256(layer.encode()).digest()
+
+
+def _mapped(found: set[tuple[int, int, int]], at: int, starts: list[int] | None, ends: list[int] | int) -> set[tuple[int, int, int]]:
+    """Spans of a decoded token where they stand in the layer that holds the token."""
+    if starts is None:
+        return {(at, k, at + ends) for _, k, _ in found}
+    return {(at + starts[a], k, at + ends[b - 1]) for a, k, b in found}
+
+
+def _outermost(spans: set[tuple[int, int, int]]) -> set[tuple[int, int, int]]:
+    """``spans`` without those that lie within another of their kind."""
+    kept, reach = set(), [-1] * len(KINDS)
+    for a, k, b in sorted(spans, key=lambda x: (x[0], -x[2])):
+        if b > reach[k]:
+            reach[k] = b
+            kept.add((a, k, b))
+    return kept
+
+
 def spans_of(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
-    """Base spans, spans found in decoded layers, and how many layers were opened."""
+    """Base spans, spans found in decoded layers, and how many distinct layers were opened.
+
+    What a layer yields, in its own characters, is kept by the layer's digest and mapped to every place
+    where the layer stands. A layer met again while it is open itself is scanned but not opened; what
+    a layer yields under such a cut is not kept, unless the cut is its own. Layers that
+    stand for a whole token are kept as the kinds they yield."""
     base = scan(text)
-    kept, added = set(base), []
-    seen, opened = {hashlib.sha256(text.encode()).digest()}, 0
-    work: list[tuple[str, Callable[[int, int], tuple[int, int]]]] = [(text, lambda a, b: (a, b))]
-    while work:
-        layer, outer = work.pop()
-        for inner, at, starts, ends in layers_in(layer):
-            if starts is None:
-                where = lambda a, b, x=outer(at, at + ends): x
+    key = _digest(text)
+    kept: dict[tuple[bytes, bool], set[tuple[int, int, int]]] = {}
+    opened, depth_of = set(), {key: 0}
+    # digest, layer's tokens, spans so far, least depth cut at, token in the outer layer
+    work: list[list] = [[key, layers_in(text), set(base), 0, None]]
+    while True:
+        own = work[-1]
+        token = next(own[1], None)
+        if token is not None:
+            inner, *where = token
+            key = _digest(inner)
+            whole = where[1] is None
+            if (got := kept.get((key, whole))) is not None:
+                own[2] |= _mapped(got, *where)
+            elif key in depth_of:
+                own[3] = min(own[3], depth_of[key])
+                own[2] |= _mapped(set(scan(inner)), *where)
             else:
-                where = lambda a, b, s=starts, e=ends, o=outer, at=at: o(at + s[a], at + e[b - 1])
-            for a, k, b in scan(inner):
-                start, end = where(a, b)
-                if not any(k == k2 and a2 <= start and end <= b2 for a2, k2, b2 in kept):
-                    kept.add((start, k, end))
-                    added.append((start, k, end))
-            key = hashlib.sha256(inner.encode()).digest()
-            if key not in seen:
-                seen.add(key)
-                opened += 1
-                work.append((inner, where))
-    return base, sorted(added), opened
+                opened.add(key)
+                depth_of[key] = len(work)
+                work.append([key, layers_in(inner), set(scan(inner)), len(work), where])
+            continue
+        work.pop()
+        if not work:
+            break
+        key, _, found, least, where = own
+        del depth_of[key]
+        if where[1] is None:
+            found = {(0, k, 0) for _, k, _ in found}
+        if least >= len(work):
+            kept[key, where[1] is None] = found
+        else:
+            work[-1][3] = min(work[-1][3], least)
+        work[-1][2] |= _mapped(found, *where)
+    return base, sorted(_outermost(own[2]) - set(base)), len(opened)
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:

@@ -2,6 +2,7 @@
 
 import base64
 import gzip
+import re
 from urllib.parse import quote
 
 import brute
@@ -67,6 +68,18 @@ def test_secret_layers():
     assert secrets.spans_of("%2525252541%41 aGVsbG8gd29ybGQgaGVsbG8gd29ybGQ=")[2] > 1
 
 
+def test_secrets_in_every_copy():
+    plain = "password=correcthorse99"
+    twice = base64.b64encode(base64.b64encode(plain.encode())).decode()
+    inside = quote(base64.b64encode(plain.encode()).decode(), safe="").replace("b", "%62")
+    for token in (twice, inside):
+        text = f"a {token} b\nc {token} d\n{token}"
+        _, added, opened = secrets.spans_of(text)
+        places = [m.start() for m in re.finditer(re.escape(token), text)]
+        assert all(any(k == 0 and p <= s and e <= p + len(token) for s, k, e in added) for p in places), token
+        assert opened == secrets.spans_of(token)[2]  # copies cost no opening
+
+
 def test_quality(docs):
     got = rows(quality.rate(docs, SP), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert got == sorted(((i, *brute.quality(t)) for i, t in source(docs)), key=repr)
