@@ -1,21 +1,23 @@
 """Secrets: a worklist that unwraps encoded layers until nothing new appears.
 
 Each whole text is a layer. Tokens that hold URL escapes, Unicode escapes, base64 or hex are
-decoded, compressed payloads (zlib, gzip, bz2, xz) are opened, and what comes out is a layer of
+decoded (from each of their first characters, as a prefix may stand before a payload, and over line
+breaks), compressed payloads (zlib, gzip, bz2, xz, all members) are opened, and what comes out is a layer of
 its own, scanned and unwrapped in turn. A layer that stands in several places is opened once and its
 findings are mapped to each of them; within itself it is not opened again, so encodings that decode to
 themselves end. Every token has a map from its decoded characters to those of the layer around it, by
 which findings are reported where they stand in the text.
 
 Defined results: a null or empty text has no spans; repeated rows are each judged alike; an empty
-table gives an empty result; a decoded span that overlaps one already kept is not kept twice; a
-payload that unpacks to more than ``MOST_UNPACKED`` bytes is a bomb and is not opened (the encoded
-token itself is still scanned). Only ``doc_id`` and ``text`` are read.
+table gives an empty result; a decoded span within another of its kind is not reported,
+but for tokens of single lines that also go on over lines; of bytes that are no text the printable stretches are
+scanned; a payload that unpacks to more than ``PIECE`` bytes is scanned in overlapping pieces, however many
+(within it, a compressed payload whose encoded token is longer than ``PIECE`` is opened in its first piece
+only). Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
@@ -25,6 +27,7 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import unquote_to_bytes
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,12 +35,19 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ("assign", "access", "hex")
-MOST_UNPACKED = 64 << 20
+#: Unpacked bytes of a payload that are scanned at once, and by how much two such pieces overlap.
+PIECE, OVERLAP = 64 << 20, 64 << 10
 _ASSIGN = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _B64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_HEXED = re.compile(r"(?:[0-9a-fA-F]{2}){12,}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]++)++={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
+_HEXED = re.compile(r"[0-9a-fA-F]{24,}")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
+#: No pattern, and no encoded one, fits into less than 14 characters.
+_PRINTED = re.compile(rb"[\t\r\n\x20-\x7e]{14,}")
+_INKED = bytes(i if i in b"\t\r\n" or 32 <= i < 127 else 0 for i in range(256))
 _URL = re.compile(r"%[0-9A-Fa-f]{2}")
 _UNICODE = re.compile(r"\\u\{?[0-9A-Fa-f]{4}\}?|\\x[0-9A-Fa-f]{2}|&#x?[0-9A-Fa-f]{2,5};")
 _SPACE = re.compile(r"[ \t\r\n]")
@@ -54,32 +64,111 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return sorted(found + [(m.start(), 2, m.end()) for m in _HEX.finditer(text)])
 
 
-def _unpacked(raw: bytes) -> bytes | None:
-    """What a compressed payload holds; None if it is none."""
-    try:
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            d = zlib.decompressobj(47)
-        elif raw[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-        elif raw[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor()
-        else:
-            return None
-        out = d.decompress(raw, MOST_UNPACKED)
-        return out if d.eof else None
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        return None
+class _Source:
+    """A stream of bytes that is read in parts and looked into ahead."""
+
+    def __init__(self, parts: Iterator[bytes]):
+        self.parts, self.held, self.broken = parts, b"", False
+
+    def ahead(self, n: int) -> bytes:
+        while len(self.held) < n and (more := next(self.parts, None)) is not None:
+            self.held += more
+        return self.held[:n]
 
+    def take(self) -> bytes:
+        got, self.held = self.held or next(self.parts, b""), b""
+        return got
 
-def _readable(raw: bytes | None) -> str | None:
-    """Decoded bytes as a text, through any compression; None if they are noise."""
-    while raw is not None and (inner := _unpacked(raw)) is not None:
-        raw = inner
+
+def _member(source: _Source) -> Iterator[bytes]:
+    """What one compressed member holds, up to its end or to damage; ``source`` is left behind it."""
+    head = source.ahead(6)
+    d = zlib.decompressobj(47) if head[:1] in (b"\x1f", b"\x78") else bz2.BZ2Decompressor() if head[:1] == b"B" else lzma.LZMADecompressor()
+    packed = source.take()
+    try:
+        while not d.eof:
+            out = d.decompress(packed, 1 << 20)
+            packed = d.unconsumed_tail if hasattr(d, "unconsumed_tail") else b""
+            if out:
+                yield out
+            elif not packed and not d.eof and not (packed := source.take()):
+                source.broken = True
+                return
+    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+        source.broken = True
+        return
+    source.held = d.unused_data + source.held
+
+
+def _unpacked(parts: Iterator[bytes], heads: frozenset[bytes]) -> Iterator[bytes]:
+    """A stream of bytes with the compressed members at its start unpacked, all of them and through any
+    depth; one that starts like a stream it came out of is left as it is."""
+    source = _Source(parts)
+    while _MAGIC.match(source.ahead(6)):
+        head = hashlib.sha256(source.ahead(OVERLAP)).digest()
+        if head in heads:
+            break
+        yield from _unpacked(_member(source), heads | {head})
+    while part := source.take():
+        yield part
+
+
+def _pieces(parts: Iterator[bytes]) -> Iterator[bytes]:
+    """A stream in pieces of about ``PIECE`` bytes. Two pieces overlap, and an encoded token that a piece
+    breaks off (unless it is longer than a piece) is repeated from its start."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part)
+        if size >= PIECE + OVERLAP + len(held[0]):
+            piece = b"".join(held)
+            yield piece
+            token = len(piece.rstrip(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=\r\n"))
+            held = [piece[min(token, len(piece) - OVERLAP) if len(piece) - token <= PIECE else len(piece) - OVERLAP :]]
+            size = len(held[0])
+    if size:
+        yield b"".join(held)
+
+
+def _readable(raw: bytes) -> str | None:
+    """All of ``raw`` as a text; None if part of it is none."""
     try:
-        text = raw.decode() if raw else ""
+        text = raw.decode()
     except UnicodeDecodeError:
         return None
-    return text if len(text) >= 8 and all(c.isprintable() or c in "\t\r\n" for c in text) else None
+    return text if len(text) >= 8 and text.replace("\t", " ").replace("\r", " ").replace("\n", " ").isprintable() else None
+
+
+def _texts(raw: bytes, heads: frozenset[bytes] = frozenset()) -> Iterator[tuple[str, int, int, bool]]:
+    """(text, start, end, packed) of what ``raw`` holds: itself if it is a text, else its printable stretches
+    as one text, and what its compressed payloads hold, wherever they start."""
+    if (text := _readable(raw)) is not None:
+        yield text, 0, len(raw), False
+        return
+    if found := list(_PRINTED.finditer(raw)):
+        yield "\0".join(m.group().decode() for m in found), found[0].start(), found[-1].end(), False
+    at = 0
+    while m := _MAGIC.search(raw, at):
+        at = m.start() + 1
+        head = hashlib.sha256(raw[m.start() : m.start() + OVERLAP]).digest()
+        if head in heads:
+            continue
+        source = _Source(raw[i : i + OVERLAP] for i in range(m.start(), len(raw), OVERLAP))
+        behind = len(raw)
+
+        def members() -> Iterator[bytes]:
+            nonlocal behind
+            while _MAGIC.match(source.ahead(6)):
+                yield from _unpacked(_member(source), heads | {head})
+            behind = len(raw) - len(source.held) - sum(map(len, source.parts))
+
+        some = False
+        for piece in _pieces(members()):
+            some = True
+            for text, *_ in _texts(piece, heads | {head}):
+                yield text, m.start(), len(raw), True
+        if some and not source.broken:
+            at = behind
 
 
 def _escaped(token: str, pieces: Iterator[tuple[int, int, str]]) -> tuple[str, list[int], list[int]]:
@@ -128,46 +217,97 @@ def _tokens(text: str, escape: re.Pattern) -> Iterator[tuple[int, int]]:
             yield start, end
 
 
-def layers_in(text: str) -> Iterator[tuple[str, int, list[int] | None, list[int] | int]]:
-    """(decoded text, offset, starts, ends) of every encoded token; starts of None: ends is the
-    token's length, and all of the decoded text stands for the whole token."""
+def _decodings(token: str, hexed: bool) -> Iterator[tuple[int, bytes]]:
+    """(place, bytes) of a token decoded from each of its first four characters (two of hex digits), so that
+    whatever stands before a payload is passed over."""
+    plain = token.rstrip("=").replace("-", "+").replace("_", "/")
+    for p in range(2 if hexed else 4):
+        part = plain[p : len(plain) - ((len(plain) - p) % 2 if hexed else (len(plain) - p) % 4 == 1)]
+        yield p, bytes.fromhex(part) if hexed else binascii.a2b_base64(part + "=" * (-len(part) % 4))
+
+
+def _part(token: str, p: int, x: int, y: int, n: int, hexed: bool) -> tuple[int, int]:
+    """The part of a token that bytes x to y of the n decoded from place p on stand for, widened to separators."""
+    if hexed:
+        return p, p + 2 * n
+    if p == 0 and x == 0 and y == n:
+        return 0, len(token)
+    first, last = p + x // 3 * 4, p - (-4 * y // 3)
+    start = max(token.rfind(c, 0, first) + 1 for c in "/_-+")
+    return start, len(token) if y == n else min(i if (i := token.find(c, last)) >= 0 else len(token) for c in "/_-+")
+
+
+def _in_token(token: str, at: int, hexed: bool) -> Iterator[tuple]:
+    for p, raw in _decodings(token, hexed):
+        for text, x, y, packed in _texts(raw):
+            start, end = _part(token, p, x, y, len(raw), hexed)
+            yield text, at + start, None, end - start, False
+            if y - x == len(raw) and not packed:
+                return  # all of it is a text
+
+
+def _in_lines(lines: list[tuple[int, str]], hexed: bool) -> Iterator[tuple]:
+    """The same of a token that goes on over several lines. Its text has a map, so that a finding stands at its
+    own characters; what was packed stands for the whole part of the token."""
+    token = "".join(x for _, x in lines)
+    place = np.concatenate([np.arange(at, at + len(x)) for at, x in lines])
+    for p, raw in _decodings(token, hexed):
+        for text, x, y, packed in _texts(raw):
+            if packed:
+                start, end = _part(token, p, x, y, len(raw), hexed)
+                yield text, int(place[start]), None, int(place[end - 1] + 1 - place[start]), True
+            else:
+                i = np.arange(len(raw))
+                first, last = (p + 2 * i, p + 2 * i + 1) if hexed else (p + i // 3 * 4 + i % 3, p + i // 3 * 4 + i % 3 + 1)
+                yield raw.translate(_INKED).decode("ascii"), 0, place[first].tolist(), (place[last] + 1).tolist(), True
+                if y - x == len(raw):
+                    return
+
+
+def layers_in(text: str) -> Iterator[tuple[str, int, list[int] | None, list[int] | int, bool]]:
+    """(decoded text, offset, starts, ends, joined) of every encoded token; starts of None: ends is the
+    token's length, and all of the decoded text stands for the whole token. joined: of several lines."""
     for mark, escape, pieces in (("%", _URL, _url_pieces), ("\\", _UNICODE, _unicode_pieces), ("&#", _UNICODE, _unicode_pieces)):
         if mark in text:
             for start, end in _tokens(text, escape):
                 inner, starts, ends = _escaped(text[start:end], pieces(text[start:end]))
-                yield inner, start, starts, ends
-    for m in _B64.finditer(text):
-        token = m.group().rstrip("=")
-        if len(token) % 4 != 1:
-            try:
-                out = _readable(base64.urlsafe_b64decode(token.replace("+", "-").replace("/", "_") + "=" * (-len(token) % 4)))
-            except (binascii.Error, ValueError):
-                out = None
-            if out:
-                yield out, m.start(), None, len(m.group())
-    for m in _HEXED.finditer(text):
-        if out := _readable(bytes.fromhex(m.group())):
-            yield out, m.start(), None, len(m.group())
+                yield inner, start, starts, ends, False
+    for pattern, hexed in ((_B64, False), (_HEXED, True)):
+        for m in pattern.finditer(text):
+            yield from _in_token(m.group(), m.start(), hexed)
+    for m in _WRAPPED.finditer(text):
+        lines = [(x.start(), x.group()) for x in _LINE.finditer(text, m.start(), m.end())]
+        yield from _in_lines(lines, False)
+        if all(_HEXED.fullmatch(x) for _, x in lines[:-1]):
+            yield from _in_lines([*lines[:-1], (lines[-1][0], re.match("[0-9a-fA-F]*", lines[-1][1]).group())], True)
 
 
 def _digest(layer: str) -> bytes:
     return hashlib.sha256(layer.encode()).digest()
 
 
-def _mapped(found: set[tuple[int, int, int]], at: int, starts: list[int] | None, ends: list[int] | int) -> set[tuple[int, int, int]]:
+#: start, kind, end, and whether a token of several lines led there.
+Span = tuple[int, int, int, bool]
+
+
+def _scanned(layer: str) -> set[Span]:
+    return {(*x, False) for x in scan(layer)}
+
+
+def _mapped(found: set[Span], at: int, starts: list[int] | None, ends: list[int] | int, joined: bool) -> set[Span]:
     """Spans of a decoded token where they stand in the layer that holds the token."""
     if starts is None:
-        return {(at, k, at + ends) for _, k, _ in found}
-    return {(at + starts[a], k, at + ends[b - 1]) for a, k, b in found}
+        return {(at, k, at + ends, j or joined) for _, k, _, j in found}
+    return {(at + starts[a], k, at + ends[b - 1], j or joined) for a, k, b, j in found}
 
 
-def _outermost(spans: set[tuple[int, int, int]]) -> set[tuple[int, int, int]]:
+def _outermost(spans: set[Span]) -> set[Span]:
     """``spans`` without those that lie within another of their kind."""
     kept, reach = set(), [-1] * len(KINDS)
-    for a, k, b in sorted(spans, key=lambda x: (x[0], -x[2])):
-        if b > reach[k]:
-            reach[k] = b
-            kept.add((a, k, b))
+    for x in sorted(spans, key=lambda x: (x[0], -x[2], x[3])):
+        if x[2] > reach[x[1]]:
+            reach[x[1]] = x[2]
+            kept.add(x)
     return kept
 
 
@@ -180,10 +320,10 @@ def spans_of(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int
     stand for a whole token are kept as the kinds they yield."""
     base = scan(text)
     key = _digest(text)
-    kept: dict[tuple[bytes, bool], set[tuple[int, int, int]]] = {}
+    kept: dict[tuple[bytes, bool], set[Span]] = {}
     opened, depth_of = set(), {key: 0}
     # digest, layer's tokens, spans so far, least depth cut at, token in the outer layer
-    work: list[list] = [[key, layers_in(text), set(base), 0, None]]
+    work: list[list] = [[key, layers_in(text), _scanned(text), 0, None]]
     while True:
         own = work[-1]
         token = next(own[1], None)
@@ -195,11 +335,11 @@ def spans_of(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int
                 own[2] |= _mapped(got, *where)
             elif key in depth_of:
                 own[3] = min(own[3], depth_of[key])
-                own[2] |= _mapped(set(scan(inner)), *where)
+                own[2] |= _mapped(_scanned(inner), *where)
             else:
                 opened.add(key)
                 depth_of[key] = len(work)
-                work.append([key, layers_in(inner), set(scan(inner)), len(work), where])
+                work.append([key, layers_in(inner), _scanned(inner), len(work), where])
             continue
         work.pop()
         if not work:
@@ -207,13 +347,15 @@ def spans_of(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int
         key, _, found, least, where = own
         del depth_of[key]
         if where[1] is None:
-            found = {(0, k, 0) for _, k, _ in found}
+            found = {(0, k, 0, j) for _, k, _, j in found}
         if least >= len(work):
             kept[key, where[1] is None] = found
         else:
             work[-1][3] = min(work[-1][3], least)
         work[-1][2] |= _mapped(found, *where)
-    return base, sorted(_outermost(own[2]) - set(base)), len(opened)
+    # a token that ends with its line has its own span beside that of the lines together
+    added = {x[:3] for x in _outermost({x for x in own[2] if not x[3]}) | _outermost(own[2])}
+    return base, sorted(added - set(base)), len(opened)
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:

@@ -80,6 +80,34 @@ def test_secrets_in_every_copy():
         assert opened == secrets.spans_of(token)[2]  # copies cost no opening
 
 
+@pytest.mark.parametrize("case", ["path", "key", "glued", "hex", "lines", "pem", "bad byte", "members", "large"])
+def test_secrets_in_odd_payloads(case):
+    plain = b"password=correcthorse99"
+    code = lambda raw: base64.b64encode(raw).decode()
+    noise = np.random.default_rng(1).bytes(200)
+    token = {
+        "path": code(plain),
+        "key": code(gzip.compress(plain)),
+        "glued": code(plain),
+        "hex": plain.hex(),
+        "lines": base64.encodebytes(gzip.compress(noise.hex().upper().encode() + b" " + plain)).decode().strip(),
+        "pem": base64.encodebytes(noise + plain + noise).decode().strip(),
+        "bad byte": code(b"caf\xe9 \x00" + plain),
+        "members": code(gzip.compress(b"hello") + gzip.compress(b" again, " + plain)),
+        "large": code(gzip.compress(b"\n" * (66 << 20) + plain)),
+    }[case]
+    before = {"path": "https://host.example/a/path/", "key": "some_id-", "glued": "xy", "hex": "id", "pem": "-----BEGIN PRIVATE KEY-----\n"}.get(case, "see ")
+    _, added, _ = secrets.spans_of(before + token)
+    first = len(before) - 2 * (case == "glued")
+    assert any(k == 0 and first <= s and e <= len(before) + len(token) for s, k, e in added)
+
+
+def test_secrets_on_lines_of_their_own():
+    token = base64.b64encode(gzip.compress(b"password=correcthorse99 ")).decode().rstrip("=")
+    added = secrets.spans_of(f"{token}\n{token}")[1]
+    assert {(0, 0, len(token)), (len(token) + 1, 0, 2 * len(token) + 1)} <= set(added)
+
+
 def test_quality(docs):
     got = rows(quality.rate(docs, SP), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert got == sorted(((i, *brute.quality(t)) for i, t in source(docs)), key=repr)
