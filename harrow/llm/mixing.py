@@ -3,11 +3,13 @@
 Slot ``n`` of the schedule has the point frac((n + 1/2) * golden ratio); the sources' targets, laid end
 to end, say whose slot that is, and the slot's rank among its source's slots is the block it takes.
 Blocks are equal stretches of tokens of the source's documents in a hashed order, read twice over
-(``most`` times). Every prefix of the schedule holds the sources in proportion, to a few blocks.
+(``most`` times). Every prefix of the schedule holds the sources in proportion, to a few blocks. A source's
+block is its target over the number of its slots, at least one, so the words taken of each source
+are its target, rounded, whatever the size of the input and of the source.
 
 A source's running offset is a sum within hash strata plus the sum of the strata before, and a slot's
 rank is a count within a chunk of slots plus the counts of the chunks before, so no source, however
-large, is sorted in one task. The number of slots is bounded (``slots``), the block grows instead.
+large, is sorted in one task. The number of slots is bounded (``slots``, and one for each source that gets none).
 
 Defined results: null and empty texts have size 0 and nothing taken; a null source is a source of its
 own and comes last; repeated rows are rows of their own; ties in the hashed order go by id, then by
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WEIGHTS = (3.0, 1.0, 2.0)
-#: Slots of a schedule at most, and tokens of a block at least.
+#: Slots that the schedule deals at most, and tokens of a block at least, on average.
 SLOTS, LEAST_BLOCK = 1 << 18, 8
 STRATA, CHUNK, CELLS = 1024, 4096, 4096
 #: Sources up to which their table is broadcast.
@@ -52,7 +54,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def schedule(sources: DataFrame, n: int) -> DataFrame:
-    """(s, block) of ``n`` slots; ``sources`` has s and target."""
+    """(s, block) of ``n`` slots, and of one for each source that gets none of them; ``sources`` has s and target."""
     whole, upto = W.partitionBy(), W.orderBy("s")
     line = sources.where("target > 0").withColumn("all", F.sum("target").over(whole)).withColumn("high", F.sum("target").over(upto) / F.col("all"))
     line = line.withColumn("low", F.coalesce(F.lag("high").over(upto), F.lit(0.0))).withColumn("high", F.when(F.lead("s").over(upto).isNull(), 1.0).otherwise(F.col("high")))
@@ -64,7 +66,9 @@ def schedule(sources: DataFrame, n: int) -> DataFrame:
     earlier = W.partitionBy("s").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     counts = dealt.groupBy("s", "chunk").count().withColumn("earlier", F.coalesce(F.sum("count").over(earlier), F.lit(0))).drop("count")
     ranked = dealt.withColumn("r", F.row_number().over(W.partitionBy("s", "chunk").orderBy("id")))
-    return ranked.join(counts, ["s", "chunk"]).select("s", (F.col("r") - 1 + F.col("earlier")).alias("block"))
+    ranked = ranked.join(counts, ["s", "chunk"]).select("s", (F.col("r") - 1 + F.col("earlier")).alias("block"))
+    without = line.select("s").distinct().join(counts.select("s").distinct(), "s", "left_anti")
+    return ranked.unionByName(without.select("s", F.lit(0).cast("long").alias("block")))
 
 
 def _placed(rows: DataFrame, sources: DataFrame, small: bool, seed: int) -> DataFrame:
@@ -78,17 +82,19 @@ def _placed(rows: DataFrame, sources: DataFrame, small: bool, seed: int) -> Data
 
 def _taken(placed: DataFrame, sources: DataFrame, total: float, most: int, slots: int, least_block: int) -> DataFrame:
     """``placed`` without key, tie and within, and with taken."""
-    block = max(least_block, -(-int(total) // slots))
+    dealt = schedule(sources, -(-int(total) // max(least_block, -(-int(total) // slots))))
+    words = sources.select("s", F.floor(F.col("target") + 0.5).alias("words")).join(dealt.groupBy("s").agg(F.count("*").alias("slots")), "s", "left")
+    words = words.select("s", "words", F.greatest(F.ceil(F.col("words") / F.col("slots")), F.lit(1)).alias("block_words"))
     earlier = W.partitionBy("s").orderBy("stratum").rowsBetween(W.unboundedPreceding, -1)
     strata = placed.groupBy("s", "stratum").agg(F.sum("size").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-    own = placed.join(strata, ["s", "stratum"]).withColumn("start", F.col("base") + F.col("within"))
+    own = placed.join(strata.join(words, "s"), ["s", "stratum"]).withColumn("start", F.col("base") + F.col("within"))
     reads = F.explode_outer(F.when(F.col("size") > 0, F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: e * F.col("source_size") + F.col("start"))))
-    own = own.withColumn("from", reads)
-    first, last = F.floor(F.col("from") / block), F.floor((F.col("from") + F.col("size") - 1) / block)
-    own = own.withColumn("block", F.explode_outer(F.when(F.col("from").isNotNull(), F.sequence(first, last))))
-    n = -(-int(total) // block)
-    got = own.join(schedule(sources, n).withColumn("hit", F.lit(True)), ["s", "block"], "left")
-    overlap = F.least(F.col("from") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("from", F.col("block") * block)
+    own = own.withColumn("from", reads).withColumn("to", F.least(F.col("from") + F.col("size"), F.col("words")))
+    first, last = F.floor(F.col("from") / F.col("block_words")), F.floor((F.col("to") - 1) / F.col("block_words"))
+    # what lies beyond the target has no slot; the negative numbers only spread it
+    own = own.withColumn("block", F.explode(F.when(F.col("from") < F.col("to"), F.sequence(first, last)).otherwise(F.array(-1 - F.col("nth").cast("long")))))
+    got = own.join(dealt.withColumn("hit", F.lit(True)), ["s", "block"], "left")
+    overlap = F.least(F.col("to"), (F.col("block") + 1) * F.col("block_words")) - F.greatest(F.col("from"), F.col("block") * F.col("block_words"))
     keys = ["s", "stratum", "nth", "id", "size", "source_size", "target"]
     return got.groupBy(*keys).agg(F.sum(F.when(F.col("hit"), overlap).otherwise(0)).cast("long").alias("taken"))
 

@@ -63,3 +63,11 @@ def test_large_blocks_and_documents(small):
     got = mixing.mix_documents(small, slots=200)
     assert got.columns == [*small.columns, "size", "source_size", "target", "taken"]
     assert {r["doc_id"]: r["taken"] for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("slots", [16, 1000])
+def test_few_slots_keep_small_sources(spark, slots):
+    sizes = {"hot": 4000} | {f"s{i:02}": 3 + 5 * i for i in range(20)} | {None: 9}
+    docs = spark.createDataFrame([(i, s, " ".join(["w"] * k)) for i, (s, k) in enumerate((s, k) for s, n in sizes.items() for k in [1] * (n % 10) + [10] * (n // 10))], "doc_id long, source string, text string")
+    taken = {r["source"]: r["taken"] for r in mixing.mix(docs, slots=slots).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg({"taken": "sum"}).withColumnRenamed("sum(taken)", "taken").collect()}
+    assert taken == {s: int(t + 0.5) for s, t in fill(sizes).items()}
