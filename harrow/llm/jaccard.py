@@ -6,8 +6,9 @@ bucket; a bucket's node picks coordinates by a seeded hash, each with probabilit
 coordinates), and splits its points by the value there. Buckets of at most ``small`` points
 are compared pair by pair on their coordinates; larger ones are split again, and what is still
 large after ``depth`` levels is compared chunk by chunk. A pair at the threshold survives two
-levels of a run with probability 0.47, so ``runs`` runs (12) find it with probability 0.9995, and closer
-pairs sooner.
+levels of a run with probability 0.47, so ``runs`` runs (12) find it with probability 0.9994, and closer
+pairs sooner. Further levels lose pairs, so points in large buckets get as many more runs as keep that
+probability at the last level (:func:`recall`, :func:`runs_at`).
 
 Buckets emit no pairs but the edges of a spanning forest of the likely pairs. Their components are
 then compared exactly, on whole shingle sets, again in chunks, which yields each set's number of links and a
@@ -21,6 +22,7 @@ a class is named by its least id (nulls only if there is no other); an empty tab
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -195,11 +197,33 @@ def _children(points: DataFrame, level: int, threshold: float, roots: list[int]
     return common.arrow_pass(points.select(*cols), run, "path long, set binary")
 
 
+def recall(runs: int, level: int, threshold: float = THRESHOLD) -> float:
+    """Probability that a pair at the threshold is in one bucket at ``level`` in some of ``runs`` runs."""
+    agree = np.arange(COORDINATES + 1)
+    weight = np.array([math.comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k) for k in agree.tolist()])
+    survives = np.ones(len(agree))
+    for _ in range(level):
+        survives = 1 - (1 - survives / (threshold * COORDINATES)) ** agree
+    return float(weight @ (1 - (1 - survives) ** runs))
+
+
+def runs_at(level: int, runs: int = RUNS, threshold: float = THRESHOLD) -> int:
+    """The least number of runs that find at ``level`` what ``runs`` find at level 2."""
+    more = runs
+    while recall(more, level, threshold) < recall(runs, 2, threshold):
+        more += 1
+    return more
+
+
 def likely_pairs(points: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS, depth: int = DEPTH, small: int = SMALL, slack: float = SLACK) -> DataFrame:
     """(u, v): a spanning forest of each bucket's likely pairs. ``points`` has distinct sets and their sketches."""
     # made anew for the counts and for the join, which costs less than to keep so many rows
     nodes = _children(points, 2, threshold, list(range(1, runs + 1)))
     sketches, least = points.select("set", "sketch"), threshold - slack
+    crowded = nodes.join(nodes.groupBy("path").agg(F.count("*").alias("size")).where(F.col("size") > small), "path").select("set").distinct()
+    crowded = common.cut(crowded.join(sketches, "set"))
+    if not crowded.isEmpty():
+        nodes = nodes.unionByName(_children(crowded, 2, threshold, list(range(runs + 1, runs_at(depth, runs, threshold) + 1))))
     found = None
     for level in range(2, depth + 1):
         size = common.cut(nodes.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"))

@@ -89,3 +89,14 @@ def test_recall(spark):
     found = sum(r["n_links"] for r in jaccard.join_near(df).collect()) / 2
     assert len(sets(rows[0]) & sets(rows[1])) / len(sets(rows[0]) | sets(rows[1])) > 0.8
     assert found >= 0.98 * 150
+
+
+def test_pairs_in_large_buckets(spark):
+    assert jaccard.recall(jaccard.runs_at(8), 8) >= jaccard.recall(jaccard.RUNS, 2) > 0.999
+    rows = []
+    for i in range(300):  # pairs of similarity 89 / 111
+        words = [f"w{i}x{k}" for k in range(104)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:93] + [f"v{i}x{k}" for k in range(11)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.join_near(docs, small=1)  # no bucket is small, so all are split to the last level
+    assert got.where("n_links = 1").count() >= 0.99 * len(rows)
