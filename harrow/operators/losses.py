@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from harrow.operators.select import ranked
+
 
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
@@ -72,16 +74,13 @@ def covariance(df: DataFrame) -> DataFrame:
 
 
 def kl_cov(df: DataFrame, order: list[str], share: float = 0.002, beta: float = 1.0) -> DataFrame:
-    """The ``share`` of unmasked tokens with the largest covariance pays a KL term; ties by ``order``. The
-    cut is found by its value, then by rank among equals, so that all tokens aren't sorted in one task."""
+    """The ``share`` of unmasked tokens with the largest covariance pays a KL term; ties by ``order``.
+    Ranks come from a range partitioning, so that all tokens aren't sorted in one task."""
     cov = covariance(df)
     n = F.greatest(F.floor(F.lit(share) * F.count_if(F.col("mask") == 1)), F.lit(1))
     cut = cov.agg(n.alias("k"))
-    ranks = cov.where("mask = 1").groupBy("cov").agg(F.count("*").alias("c"))
-    top = ranks.orderBy(F.desc("cov")).limit(1_000_000)  # values, of which the first k tokens need at most k
-    running = F.sum("c").over(W.orderBy(F.desc("cov")).rowsBetween(W.unboundedPreceding, 0))
-    at = top.withColumn("upto", running).crossJoin(F.broadcast(cut)).where("upto - c < k").select("cov", (F.col("k") - F.col("upto") + F.col("c")).alias("room"))
-    chosen = cov.where("mask = 1").join(F.broadcast(at), "cov").withColumn("nth", F.row_number().over(W.partitionBy("cov").orderBy(*order))).where("nth <= room").select(*order, F.lit(True).alias("picked"))
+    ranks = ranked(cov.where("mask = 1 and cov is not null").select("cov", *order), [F.desc("cov"), *order])
+    chosen = ranks.crossJoin(F.broadcast(cut)).where("rank <= k").select(*order, F.lit(True).alias("picked"))
     d = F.col("old_logp") - F.col("logp")
     base = -F.col("advantage") * F.exp(F.col("logp") - F.col("old_logp"))
     return cov.join(chosen, order, "left").withColumn("loss", F.when(F.col("picked"), base + beta * F.abs(d)).otherwise(base)).drop("picked")

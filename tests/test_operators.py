@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from harrow.operators import advantage as A
 from harrow.operators import align as G
 from harrow.operators import joins as J
+from harrow.operators import losses as L
 from harrow.operators import metrics as M
 from harrow.operators import pack as U
 from harrow.operators import select as T
@@ -131,3 +132,10 @@ def test_small_packing_is_best():
         best = min(max(sum(c for c, s in zip(costs, p, strict=True) if s == b) for b in range(2)) for p in itertools.product(range(2), repeat=len(costs)))
         shard = U.differencing(costs, 2, False)
         assert max(sum(c for c, s in zip(costs, shard, strict=True) if s == b) for b in range(2)) <= best * 1.1
+
+
+def test_kl_cov_of_many_tokens(spark):
+    n = 1_000_100
+    tokens = spark.range(n).select("id", F.col("id").cast("double").alias("advantage"), (-F.col("id") / n).alias("logp"), (1 - F.col("id") / n).alias("old_logp"), F.lit(1).alias("mask"))
+    got = L.kl_cov(tokens, ["id"], share=1.0, beta=1e9)
+    assert got.where("loss > 5e8").count() == n
