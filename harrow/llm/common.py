@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -89,10 +90,37 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def store(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written as a table to the shared folder and read back, and the table's place: lineage ends
+    here, and lost executors cost nothing."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder: lineage ends here, and lost executors cost nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return store(df)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a stored table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: A key that more than this share of the rows hold is hot; so there are at most this many hot keys.
+HOT_SHARE = 256
+
+
+def hot_join(rows: DataFrame, one: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``one``, a row per ``key`` whose column ``count`` says how many of the ``total`` rows
+    hold the key. Rows of hot keys, at most ``HOT_SHARE``, meet them by a broadcast where they are, so that no
+    task gets all rows of a key; the rest is dealt by the key. Both are read twice, so written or cheap."""
+    hot = (F.col(count) * HOT_SHARE > total) & (F.col(count) > 64)
+    few = F.broadcast(one.where(hot).withColumn("__hot", F.lit(True)))
+    here = rows.join(few, key)
+    rest = rows.join(few.select(key), key, "left_anti").join(one.where(~hot), key, how)
+    return here.drop("__hot").unionByName(rest)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -3,17 +3,22 @@
 Every distinct shingle set is a point with ``COORDINATES`` min-hash coordinates, on each of which two
 sets agree with the probability of their Jaccard similarity. A run starts with all points in one
 bucket; a bucket's node picks coordinates by a seeded hash, each with probability 1 / (threshold x
-coordinates), and splits its points by the value there. Buckets of at most ``small`` points
-are compared pair by pair on their coordinates; larger ones are split again, and what is still
-large after ``depth`` levels is compared chunk by chunk. A pair at the threshold survives two
-levels of a run with probability 0.47, so ``runs`` runs (12) find it with probability 0.9994, and closer
-pairs sooner. Further levels lose pairs, so points in large buckets get as many more runs as keep that
-probability at the last level (:func:`recall`, :func:`runs_at`).
+coordinates), and splits its points by the value there. After two levels, buckets of at most ``small``
+points are compared pair by pair on their coordinates. In a larger one the points that are likely links
+of its pivot are linked to that and only the pivot goes on, as no split divides a group of near copies; the rest is
+split again, and what is still large after ``depth`` levels is compared chunk by chunk. A pair at the
+threshold survives two levels of a run with probability 0.47, so ``runs`` runs (12) find it with
+probability 0.9994, and closer pairs sooner. Further levels lose pairs, so points in large buckets get as
+many more runs as keep that probability at the last level (:func:`recall`, :func:`runs_at`).
 
 Buckets emit no pairs but the edges of a spanning forest of the likely pairs. Their components are
-then compared exactly, on whole shingle sets, again in chunks, which yields each set's number of links and a
-spanning forest of the true links, whose components are the classes. Copies of a set are one point
-throughout; their number comes back as a weight.
+then compared exactly. One text of each set is shingled; a component of one chunk is compared at once, which
+yields each set's number of links and a spanning forest of the true links, whose components are the classes. In a
+larger component each set is written as its differences from the component's root, which is a small
+part of it among near copies, and the chunks of differences are compared in pairs. A set of a component of c chunks so
+is sent c times as differences, never as a whole; where only the classes are asked for and every set is
+linked to the root, nothing is compared further. The number of links of a set is a count over all its pairs, so its cost grows with the
+square of a component of different texts. Copies of a set are one point throughout; their number comes back as a weight.
 
 Defined results: a null text, or one without words, has no shingles: it is a class of its own with no
 links; a text of fewer words than a shingle is one shingle; repeated rows are copies of each other;
@@ -33,11 +38,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WORDS, THRESHOLD, COORDINATES, RUNS, DEPTH, SMALL = 5, 0.8, 64, 12, 8, 2048
+WORDS, THRESHOLD, COORDINATES, RUNS, DEPTH, SMALL = 5, 0.8, 64, 12, 5, 4096
 #: Likely pairs agree on this much less than the threshold; four standard deviations at 64 coordinates.
 SLACK = 0.2
 #: A chunk of a component has about this many shingles, and sets.
 CHUNK_SHINGLES, CHUNK_SETS = 250_000, 512
+#: The same of a chunk of differences.
+CHUNK_DIFFERENCES, CHUNK_SHORT = 500_000, 2048
 _RNG = np.random.default_rng(20_24)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _PLACE = _RNG.integers(1, 1 << 63, 1024, dtype=np.uint64) | np.uint64(1)
@@ -76,7 +83,7 @@ def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
 
 
 def _points(docs: DataFrame, words: int) -> DataFrame:
-    """(id, tk, set, n, sketch) of each document; set is null without shingles. tk names the text."""
+    """(id, rk, set, n, sketch) of each document; set is null without shingles. rk names the id and the text."""
 
     def run(rows: pa.Table) -> pa.Table:
         x, at = shingles(common.column(rows, "text"), words)
@@ -86,14 +93,14 @@ def _points(docs: DataFrame, words: int) -> DataFrame:
         if len(some):
             starts = at[:-1][some]
             key = np.stack([np.add.reduceat(common.mix64(x ^ np.uint64(s)), starts) for s in (1, 2)], axis=1)
-            low = np.stack([np.minimum.reduceat((x * m) >> np.uint64(32), starts) for m in _MUL], axis=1).astype(np.uint32)
+            low = np.stack([common.mix64(np.minimum.reduceat(x * m, starts)) for m in _MUL], axis=1).astype(np.uint16)
             for i, k, s in zip(some.tolist(), key, low, strict=True):
                 sets[i], sketches[i] = k.tobytes(), s.tobytes()
         rows = rows.drop_columns(["text"])
         return rows.append_column("set", pa.array(sets, pa.binary())).append_column("n", pa.array(n, pa.int64())).append_column("sketch", pa.array(sketches, pa.binary()))
 
     kind = dict(docs.dtypes)["id"]
-    return common.arrow_pass(docs.select("id", "tk", "text"), run, f"id {kind}, tk binary, set binary, n long, sketch binary")
+    return common.arrow_pass(docs.select("id", "rk", "text"), run, f"id {kind}, rk binary, set binary, n long, sketch binary")
 
 
 def _sorted_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table, list[tuple[int, int]]], pa.Table], schema: str) -> DataFrame:
@@ -137,17 +144,19 @@ def _with_last(items: Iterator) -> Iterator[tuple[bool, object]]:
         yield True, before
 
 
-def _forest(linked: Callable[[int], np.ndarray], n: int) -> np.ndarray:
-    """The first point of each point's component; ``linked(i)`` says which points i is linked to."""
-    root = np.full(n, -1)
-    for i in range(n):
-        if root[i] < 0:
-            root[i] = i
-            work = [i]
-            while work:
-                new = np.flatnonzero(linked(work.pop()) & (root < 0))
-                root[new] = i
-                work += new.tolist()
+def _forest(linked: Callable[[int, np.ndarray], np.ndarray], n: int) -> np.ndarray:
+    """The first point of each point's component; ``linked(i, of)`` says to which of the points ``of`` i is
+    linked. Only points that have no component yet are asked for, so a close group costs about one look at each."""
+    root, left = np.full(n, -1), np.arange(n)
+    while len(left):
+        first, left = left[0], left[1:]
+        root[first] = first
+        work = [first]
+        while work and len(left):
+            hit = linked(work.pop(), left)
+            work += left[hit].tolist()
+            root[left[hit]] = first
+            left = left[~hit]
     return root
 
 
@@ -162,13 +171,16 @@ def _pair_table(pairs: list[tuple[bytes, bytes]]) -> pa.Table:
     return pa.table({"u": pa.array([p[0] for p in pairs], pa.binary()), "v": pa.array([p[1] for p in pairs], pa.binary())})
 
 
+def _sketches(rows: pa.Table, name: str = "sketch") -> np.ndarray:
+    return np.frombuffer(b"".join(common.column(rows, name).to_pylist()), np.uint16).reshape(rows.num_rows, COORDINATES)
+
+
 def _likely(rows: pa.Table, groups: list[tuple[int, int]], least: float) -> pa.Table:
-    keys = common.column(rows, "set").to_pylist()
-    sketch = np.frombuffer(b"".join(common.column(rows, "sketch").to_pylist()), np.uint32).reshape(len(keys), COORDINATES)
+    keys, sketch = common.column(rows, "set").to_pylist(), _sketches(rows)
     pairs = []
     for a, b in groups:
         own = sketch[a:b]
-        pairs += _edges(keys[a:b], _forest(lambda i, s=own: (s == s[i]).mean(axis=1) >= least, b - a))
+        pairs += _edges(keys[a:b], _forest(lambda i, of, s=own: (s[of] == s[i]).mean(axis=1) >= least, b - a))
     return _pair_table(pairs)
 
 
@@ -183,8 +195,7 @@ def _children(points: DataFrame, level: int, threshold: float, roots: list[int]
         return common.mix64(common.mix64(paths[r] + index[c]) ^ sketch[who[r], c].astype(np.uint64)), who[r]
 
     def run(rows: pa.Table) -> pa.Table:
-        sets = common.column(rows, "set")
-        sketch = np.frombuffer(b"".join(common.column(rows, "sketch").to_pylist()), np.uint32).reshape(len(sets), COORDINATES)
+        sets, sketch = common.column(rows, "set"), _sketches(rows)
         if roots is None:
             paths, who = split(common.column(rows, "path").to_numpy().view(np.uint64), sketch, np.arange(len(sets)))
         else:
@@ -220,68 +231,128 @@ def likely_pairs(points: DataFrame, threshold: float = THRESHOLD, runs: int = RU
     # made anew for the counts and for the join, which costs less than to keep so many rows
     nodes = _children(points, 2, threshold, list(range(1, runs + 1)))
     sketches, least = points.select("set", "sketch"), threshold - slack
-    crowded = nodes.join(nodes.groupBy("path").agg(F.count("*").alias("size")).where(F.col("size") > small), "path").select("set").distinct()
-    crowded = common.cut(crowded.join(sketches, "set"))
-    if not crowded.isEmpty():
-        nodes = nodes.unionByName(_children(crowded, 2, threshold, list(range(runs + 1, runs_at(depth, runs, threshold) + 1))))
+    pivot = F.min(F.struct(F.xxhash64("path", "set").alias("h"), "set"))["set"].alias("pivot")
     found = None
     for level in range(2, depth + 1):
-        size = common.cut(nodes.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"))
-        members = nodes.join(size, "path")
-        few = members.where(F.col("size") <= small).join(sketches, "set").select("path", "set", "sketch")
+        size = common.cut(nodes.groupBy("path").agg(F.count("*").alias("size"), pivot).where("size > 1"))
+        if level == 2 and not size.where(F.col("size") > small).isEmpty():
+            crowded = common.hot_join(nodes, size.where(F.col("size") > small), "path", "size", size.agg(F.sum("size").alias("n")).first()["n"])
+            crowded = common.cut(crowded.select("set").distinct())
+            nodes = nodes.unionByName(_children(crowded.join(sketches, "set"), 2, threshold, list(range(runs + 1, runs_at(depth, runs, threshold) + 1))))
+            size = common.cut(nodes.groupBy("path").agg(F.count("*").alias("size"), pivot).where("size > 1"))
+        few = nodes.join(size.where(F.col("size") <= small), "path").join(sketches, "set").select("path", "set", "sketch")
         pairs = _sorted_groups(few, ["path"], lambda rows, groups: _likely(rows, groups, least), _PAIR)
         found = pairs if found is None else found.unionByName(pairs)
-        large = members.where(F.col("size") > small)
-        if size.where(F.col("size") > small).isEmpty():
+        large = size.where(F.col("size") > small)
+        if large.isEmpty():
             return found
+        left = common.cut(_near_pivots(nodes, large, sketches, least))
+        found = found.unionByName(left.where("near and set <> pivot").select(F.col("pivot").alias("u"), F.col("set").alias("v")))
+        left = left.where("not near or set = pivot").select("path", "set")
         if level < depth:
-            nodes = _children(common.cut(large.join(sketches, "set")), 1, threshold, None)
+            nodes = _children(left.join(sketches, "set"), 1, threshold, None)
     # still large: chunks of the bucket against each other
     half = max(1, small // 2)
-    chunk = large.withColumn("chunks", F.ceil(F.col("size") / half)).withColumn("mine", F.pmod(F.xxhash64("set"), F.col("chunks")))
+    total = left.count()
+    chunk = common.hot_join(left, left.groupBy("path").agg(F.count("*").alias("size")), "path", "size", total)
+    chunk = chunk.withColumn("chunks", F.ceil(F.col("size") / half)).withColumn("mine", F.pmod(F.xxhash64("set"), F.col("chunks")))
     each = chunk.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     each = each.select("path", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "set").join(sketches, "set")
     return found.unionByName(_sorted_groups(each, ["path", "i", "j"], lambda rows, groups: _likely(rows, groups, least), _PAIR))
 
 
+def _near_pivots(nodes: DataFrame, large: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """(path, set, pivot, near) of the points in large buckets: is a point likely to be like its bucket's pivot?
+    Such points are linked to the pivot, which alone goes on, so that a group of near copies,
+    which no split would divide, shrinks to a few points. Pivots differ from bucket to bucket."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        near = (_sketches(rows) == _sketches(rows, "other")).mean(axis=1) >= least
+        return pa.table({**{c: rows.column(c) for c in ("path", "set", "pivot")}, "near": pa.array(near)})
+
+    pivots = common.cut(large.join(sketches.select(F.col("set").alias("pivot"), F.col("sketch").alias("other")), "pivot"))
+    total = large.agg(F.sum("size").alias("n")).first()["n"]
+    rows = common.hot_join(nodes, pivots, "path", "size", total).join(sketches, "set")
+    return common.arrow_pass(rows.select("path", "set", "pivot", "sketch", "other"), run, "path long, set binary, pivot binary, near boolean")
+
+
+def _shrunk(pairs: DataFrame) -> DataFrame:
+    """Each partition's pairs as stars around the least key of each of their components; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[bytes, bytes] = {}
+
+        def top(x: bytes) -> bytes:
+            path = []
+            while (y := up.setdefault(x, x)) != x:
+                path.append(x)
+                x = y
+            for p in path:
+                up[p] = x
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = top(u), top(v)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+        stars = [(r, x) for x in up if (r := top(x)) != x]
+        for i in range(0, len(stars), 65536):
+            yield from _pair_table(stars[i : i + 65536]).to_batches()
+
+    common.bound_batches(pairs.sparkSession)
+    return pairs.select("u", "v").mapInArrow(run, _PAIR)
+
+
 def components(pairs: DataFrame) -> DataFrame:
-    """(v, root) of every key in ``pairs`` (u, v): the least key it is connected to. Each round hands
-    every key the least of its neighbours', then halves the paths; a key's neighbours are never listed."""
-    edges = common.cut(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    """(v, root) of every key in ``pairs`` (u, v): the least key it is connected to. Each round links the larger
+    neighbours of every key to the least one, then its smaller neighbours; a key's neighbours are
+    never listed, and those of a key with very many stay where they are (:func:`common.hot_join`)."""
+    spark = pairs.sparkSession
+    edges, old = common.store(_shrunk(pairs))
     while True:
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        # large star: each larger neighbour of u is linked to the least around u
-        large = edges.join(least, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        # small star: the smaller neighbours of v, and v, are linked to the least of them
-        star = large.join(low, "v").select(F.col("m"), F.explode(F.array("u", "v")).alias("v")).where("m <> v").select(F.col("m").alias("u"), "v").distinct()
-        new = common.cut(star)
-        changed = new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty()
-        edges = new
-        if changed:
-            return edges.select("v", F.col("u").alias("root")).union(edges.select(F.col("u").alias("v"), F.col("u").alias("root")).distinct())
-
-
-def _exact(rows: pa.Table, groups: list[tuple[int, int]], threshold: float) -> pa.Table:
-    """For each group (chunk i against chunk j of a component): links of its sets, and a forest of them."""
-    keys, copies, mine = common.column(rows, "set").to_pylist(), common.column(rows, "copies").to_numpy(), common.column(rows, "mine").to_numpy()
-    blobs = common.column(rows, "shingles").to_pylist()
-    same = (common.column(rows, "i").to_numpy() == common.column(rows, "j").to_numpy())[[a for a, _ in groups]]
+        ends = edges.select(F.col("u").alias("k"), F.col("v").alias("o"), F.lit(1).alias("up")).union(edges.select("v", "u", F.lit(0)))
+        around = ends.groupBy("k").agg(F.min("o").alias("low"), F.max("o").alias("high"), F.max("up").alias("up"), F.min("up").alias("down"), F.sum("up").alias("above"), F.count("*").alias("rows"))
+        around, path = common.store(around)
+        # stars: no key is both a centre and a leaf, and a leaf has one centre
+        if around.where("up <> down or (up = 0 and low <> high)").isEmpty():
+            return around.select(F.col("k").alias("v"), F.when(F.col("up") == 1, F.col("k")).otherwise(F.col("low")).alias("root"))
+        total = edges.count()
+        least = around.where("up = 1").select(F.col("k").alias("u"), F.least("k", "low").alias("m"), "above")
+        large, middle = common.store(common.hot_join(edges, least, "u", "above", total).where("m <> v").select(F.col("m").alias("u"), "v"))
+        low = large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("rows"))
+        star = common.hot_join(large, low, "v", "rows", total)
+        star = star.select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u <> v")
+        edges, new = common.store(_shrunk(star.unionByName(least.where("m <> u").select(F.col("m").alias("u"), F.col("u").alias("v")))))
+        for gone in (old, path, middle):
+            common.remove(spark, gone)
+        old = new
+
+
+def _exact(rows: pa.Table, groups: list[tuple[int, int]], threshold: float) -> list[tuple[bytes, int, bytes | None]]:
+    """For each group of sets (key, links, None) of those with links, and (root, 0, key) of a forest of the links.
+
+    A set's tokens may be its shingles, or its differences from another set r; then two sets have
+    offset + offset + (common tokens) shingles in common, where a set's offset is what it shares with r less half of r.
+    Where a group is two chunks, only links between them count."""
+    keys, copies = common.column(rows, "set").to_pylist(), common.column(rows, "copies").to_numpy()
+    blobs, mine = common.column(rows, "shingles").to_pylist(), common.column(rows, "mine").to_numpy()
+    sizes, offsets = common.column(rows, "n").to_numpy(), common.column(rows, "offset").to_numpy()
     out: list[tuple[bytes, int, bytes | None]] = []
-    for (a, b), one in zip(groups, same.tolist(), strict=True):
+    for a, b in groups:
         n = b - a
         if n < 2:
             continue
-        size = np.array([len(x) // 8 for x in blobs[a:b]])
+        own = np.array([len(x) // 8 for x in blobs[a:b]])
         token, df = np.unique(np.frombuffer(b"".join(blobs[a:b]), np.uint64), return_inverse=True, return_counts=True)[1:]
-        who = np.repeat(np.arange(n), size)
+        who = np.repeat(np.arange(n), own)
         often = df[token] > 1
         column = (np.cumsum(df > 1) - 1)[token[often]]
         who, width = who[often], 4096
         order = np.argsort(column, kind="stable")
         who, column = who[order], column[order]
-        common_to = np.zeros((n, n), np.float32)
+        offset, size = offsets[a:b].astype(np.float32), sizes[a:b]
+        common_to = offset[:, None] + offset[None, :]
         for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
             x, y = np.searchsorted(column, [lo, lo + width])
             part = np.zeros((n, width), np.float32)
@@ -289,72 +360,141 @@ def _exact(rows: pa.Table, groups: list[tuple[int, int]], threshold: float) -> p
             common_to += part @ part.T
         linked = common_to >= threshold * (size[:, None] + size[None, :] - common_to) - 1e-6
         np.fill_diagonal(linked, False)
-        if not one:
+        if mine[a:b].min() < mine[a:b].max():
             linked &= mine[a:b, None] != mine[None, a:b]
-        links = (linked * copies[None, a:b]).sum(axis=1)
+        links = linked @ copies[a:b].astype(np.float64)
         out += [(keys[a + i], int(x), None) for i, x in enumerate(links.tolist()) if x]
-        out += [(r, 0, v) for r, v in _edges(keys[a:b], _forest(linked.__getitem__, n))]
-    return pa.table({"u": pa.array([x[0] for x in out], pa.binary()), "links": pa.array([x[1] for x in out], pa.int64()), "v": pa.array([x[2] for x in out], pa.binary())})
+        out += [(r, 0, v) for r, v in _edges(keys[a:b], _forest(lambda i, of, l=linked: l[i, of], n))]
+    return out
+
+
+_FOUND = "u binary, links long, v binary, root binary, set binary, n long, copies long, offset double, near boolean, shingles binary"
+_NAMES = [x.split()[0] for x in _FOUND.split(", ")]
+_KINDS = (pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.binary())
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(set, shingles) of texts."""
+def _found(rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(_NAMES)
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(_NAMES, cols, _KINDS, strict=True)})
+
+
+def _compared(rows: pa.Table, groups: list[tuple[int, int]], threshold: float) -> pa.Table:
+    """Whole components: their links and forests. Of a part of a larger one: each set's differences from the component's
+    root, and whether it is linked to that."""
+    chunks = common.column(rows, "chunks").to_numpy()
+    out = [(u, links, v, *[None] * 7) for u, links, v in _exact(rows, [g for g in groups if chunks[g[0]] == 1], threshold)]
+    cols = ("set", "root", "n", "copies", "shingles", "again")
+    for a, b in groups:
+        if chunks[a] == 1:
+            continue
+        part = list(zip(*(common.column(rows, c).slice(a, b - a).to_pylist() for c in cols), strict=True))
+        base = np.frombuffer(next(x[4] for x in part if x[0] == x[1]), np.uint64)
+        for key, root, n, copies, blob, again in part:
+            if not again:
+                own = np.frombuffer(blob, np.uint64)
+                apart = np.setxor1d(own, base, assume_unique=True)
+                both = (len(own) + len(base) - len(apart)) // 2
+                near = both >= threshold * (len(own) + len(base) - both) - 1e-6
+                out.append((None, None, None, root, key, n, copies, both - len(base) / 2, near, apart.tobytes()))
+    return _found(out)
+
+
+def _shingled(docs: DataFrame, words: int) -> DataFrame:
+    """``docs`` with shingles for their text."""
 
     def run(rows: pa.Table) -> pa.Table:
         x, at = shingles(common.column(rows, "text"), words)
         blobs = [x[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        return pa.table({"set": rows.column("set"), "shingles": pa.array(blobs, pa.binary())})
+        return rows.drop_columns(["text"]).append_column("shingles", pa.array(blobs, pa.binary()))
+
+    kept = [f"{c} {k}" for c, k in docs.dtypes if c != "text"]
+    return common.arrow_pass(docs.select(*(c for c in docs.columns if c != "text"), "text"), run, ", ".join([*kept, "shingles binary"]))
 
-    return common.arrow_pass(docs.select("set", "text"), run, "set binary, shingles binary")
+
+def _row_key(id: Column, text: Column) -> Column:
+    return F.unhex(F.md5(F.concat(F.coalesce(id.cast("string"), F.lit("none")).cast("binary"), F.lit(b"|"), F.unhex(F.md5(F.coalesce(text, F.lit("")))))))
 
 
 def _named(docs: DataFrame, id: str, text: str) -> DataFrame:
-    return docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("tk"))
+    return docs.select(F.col(id).alias("id"), F.col(text).alias("text"), _row_key(F.col(id), F.col(text)).alias("rk"))
+
+
+def _grid(rows: DataFrame, sums: DataFrame, total: int) -> DataFrame:
+    """``rows`` of components dealt to pairs of chunks (root, i, j); ``sums`` has root, sets and chunks."""
+    each = common.hot_join(rows, sums, "root", "sets", total).withColumn("mine", F.pmod(F.xxhash64("set"), F.col("chunks")))
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return each.select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "set", "n", "copies", "offset", "shingles")
+
 
+def _chunks(tokens: Column, sets: Column, most_tokens: int, most_sets: int) -> Column:
+    return F.greatest(F.ceil(tokens / most_tokens), F.ceil(sets / most_sets), F.lit(1)).cast("long")
 
-def _classes(docs: DataFrame, words: int, threshold: float, **how) -> tuple[DataFrame, DataFrame]:
-    """(id, tk, set) of each document, and (set, class, first, links, copies) of each set: the
-    class's least (id, tk), a set's links to other sets, and its own copies."""
+
+def _classes(docs: DataFrame, words: int, threshold: float, links: bool, **how) -> tuple[DataFrame, DataFrame, int]:
+    """(id, rk, set) of each document; (set, class, first, links, copies) of each set: the class's least
+    (id, rk), a set's links to other sets (if asked for), and its own copies; the number of documents."""
     points = common.cut(_points(docs, words))
-    order = F.struct(F.col("id").isNull().alias("null"), "id", "tk")
-    sets = common.cut(points.where("set is not null").groupBy("set").agg(F.count("*").alias("copies"), F.min(order).alias("first"), F.min("tk").alias("tk"), F.max("n").alias("n"), F.max("sketch").alias("sketch")))
-    near = common.cut(components(likely_pairs(sets, threshold, **how)))
-    size = near.join(sets.select(F.col("set").alias("v"), "n"), "v").groupBy("root").agg(F.sum("n").alias("shingles"), F.count("*").alias("sets"))
-    chunks = F.greatest(F.ceil(F.col("shingles") / CHUNK_SHINGLES), F.ceil(F.col("sets") / CHUNK_SETS))
-    members = near.join(size.select("root", chunks.alias("chunks")), "root").join(sets.select(F.col("set").alias("v"), "copies", "tk"), "v").withColumnRenamed("v", "set")
-    members = common.cut(members)
-    texts = docs.join(members.select("set", "tk"), "tk").select("set", "text")
-    whole = members.join(_sets(texts, words).dropDuplicates(["set"]), "set")
-    whole = whole.withColumn("mine", F.pmod(F.xxhash64("set"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    each = whole.select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "set", "copies", "shingles")
-    exact = common.cut(_sorted_groups(each, ["root", "i", "j"], lambda rows, groups: _exact(rows, groups, threshold), "u binary, links long, v binary"))
-    true = components(exact.where("v is not null").select("u", "v")).withColumnRenamed("v", "set")
-    links = exact.where("v is null").groupBy(F.col("u").alias("set")).agg(F.sum("links").alias("links"))
-    named = sets.select("set", "copies", "first").join(true, "set", "left").withColumn("root", F.coalesce("root", "set"))
-    first = named.groupBy("root").agg(F.min("first").alias("class"))
-    return points.select("id", "tk", "set"), named.join(first, "root").join(links, "set", "left").select("set", "class", F.coalesce("links", F.lit(0)).alias("links"), "copies")
+    order = F.struct(F.col("id").isNull().alias("null"), "id", "rk")
+    sets = common.cut(points.where("set is not null").groupBy("set").agg(F.count("*").alias("copies"), F.min(order).alias("first"), F.max("n").alias("n"), F.max("sketch").alias("sketch")))
+    near = common.cut(components(likely_pairs(sets, threshold, **how)).withColumnRenamed("v", "set").join(sets.select("set", "n", "copies", F.col("first.rk").alias("rk")), "set"))
+    size = near.groupBy("root").agg(F.sum("n").alias("shingles"), F.count("*").alias("sets"))
+    size = common.cut(size.withColumn("chunks", _chunks(F.col("shingles"), F.col("sets"), CHUNK_SHINGLES, CHUNK_SETS)))
+    members = common.hot_join(near, size, "root", "sets", near.count())
+    # one text of each set, dealt by id and text, so that copies don't meet; of repeated rows one
+    texts = docs.select("rk", "text").join(members, "rk").dropDuplicates(["rk"])
+    part = F.pmod(F.xxhash64("set"), F.col("chunks"))
+    parts = F.when(F.col("set") == F.col("root"), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(part))
+    whole = _shingled(texts.select("set", "root", "n", "copies", "chunks", "text"), words).withColumn("part", F.explode(parts))
+    whole = whole.withColumns({"again": F.col("part") != part, "mine": F.lit(0), "offset": F.lit(0.0)})
+    exact = common.cut(_sorted_groups(whole, ["root", "part"], lambda rows, groups: _compared(rows, groups, threshold), _FOUND))
+    count = exact.where("u is not null and v is null").select(F.col("u").alias("set"), "links")
+    label = exact.where("v is not null").select(F.col("v").alias("set"), F.col("u").alias("root"))
+    apart = exact.where("shingles is not null").select("root", "set", "n", "copies", "offset", "near", "shingles")
+    if not apart.isEmpty():
+        tokens = F.sum(F.octet_length("shingles")) / 8
+        sums = apart.groupBy("root").agg(F.count("*").alias("sets"), F.bool_and("near").alias("near"), tokens.alias("tokens"))
+        sums = common.cut(sums.withColumn("chunks", _chunks(F.col("tokens"), F.col("sets"), CHUNK_DIFFERENCES, CHUNK_SHORT)))
+        # where every set is linked to the root, the class is known
+        open = sums if links else sums.where("not near")
+        some = _sorted_groups(_grid(apart.drop("near"), open.select("root", "sets", "chunks"), apart.count()), ["root", "i", "j"], lambda rows, groups: _found([(*x, *[None] * 7) for x in _exact(rows, groups, threshold)]), _FOUND)
+        some = common.cut(some.select("u", "links", "v"))
+        count = count.unionByName(some.where("v is null").groupBy(F.col("u").alias("set")).agg(F.sum("links").alias("links")))
+        stars = components(some.where("v is not null").select("u", "v")).where("v <> root").select(F.col("v").alias("set"), "root")
+        if not links:
+            stars = stars.unionByName(apart.join(sums.where("near").select(F.col("root").alias("r")), F.col("root") == F.col("r"), "left_semi").where("set <> root").select("set", "root"))
+        label = label.unionByName(stars)
+    label = common.cut(label)
+    own = sets.select("set", "copies", "first")
+    named = label.unionByName(label.select(F.col("root").alias("set"), "root").distinct()).join(own, "set")
+    first = common.cut(named.groupBy("root").agg(F.min("first").alias("class"), F.count("*").alias("rows")))
+    named = common.hot_join(common.cut(named.select("set", "root")), first, "root", "rows", label.count()).select("set", "class")
+    classes = own.join(named, "set", "left").withColumn("class", F.coalesce("class", "first"))
+    if links:
+        classes = classes.join(count, "set", "left")
+    return points.select("id", "rk", "set"), common.cut(classes), points.count()
 
 
 def join_near(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, **how) -> DataFrame:
     """One row per document: id, class_id (the least id it is linked to, over links of links), n_links
     (other documents at least ``threshold`` similar to it)."""
-    points, classes = _classes(_named(docs, id, text), words, threshold, **how)
-    got = points.join(classes, "set", "left")
-    return got.select(F.col("id").alias(id), F.when(F.col("set").isNull(), F.col("id")).otherwise(F.col("class.id")).alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"))
+    points, classes, total = _classes(_named(docs, id, text), words, threshold, True, **how)
+    got = common.hot_join(points.where("set is not null"), classes, "set", "copies", total)
+    got = got.select("id", F.col("class.id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
+    alone = points.where("set is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return got.unionByName(alone).withColumnRenamed("id", id)
 
 
 def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, **how) -> DataFrame:
     """The rows of ``docs`` without those that are near copies of an earlier one: of each class the
     document with the least id stays; of rows with that id and text, one. Texts without shingles all stay,
     equal rows of them once."""
-    points, classes = _classes(_named(docs, id, text), words, threshold, **how)
-    kept = points.join(classes, "set", "left").where("set is null or (id <=> class.id and tk = class.tk)")
-    kept = kept.select(_row_key(F.col("id"), F.col("tk")).alias("__key")).distinct()
-    keyed = docs.withColumn("__key", _row_key(F.col(id), F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))))
+    points, classes, _ = _classes(_named(docs, id, text), words, threshold, False, **how)
+    kept = classes.where("class.rk = first.rk").select(F.col("first.rk").alias("rk"))
+    kept = common.cut(kept.unionByName(points.where("set is null").select("rk").distinct()))
+    row = "__row_key"
+    while row in docs.columns:
+        row += "_"
+    keyed = docs.select(*docs.columns, _row_key(F.col(id), F.col(text)).alias(row))
     # the join deals texts out by the key already, so finding equal rows needs no second shuffle
-    one = W.partitionBy("__key").orderBy("__key")
-    return keyed.join(kept, "__key").withColumn("__nth", F.row_number().over(one)).where("__nth = 1").select(*docs.columns)
-
-
-def _row_key(id: Column, tk: Column) -> Column:
-    return F.unhex(F.md5(F.concat(F.coalesce(id.cast("string"), F.lit("none")).cast("binary"), F.lit(b"|"), tk)))
+    one = W.partitionBy(row).orderBy(row)
+    return keyed.join(kept.withColumnRenamed("rk", row), row).withColumn(row + "n", F.row_number().over(one)).where(F.col(row + "n") == 1).select(*docs.columns)

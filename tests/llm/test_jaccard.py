@@ -59,6 +59,7 @@ def test_join(docs):
 @pytest.mark.parametrize("how", [{}, {"small": 4, "depth": 3}])
 def test_large_groups(spark, how, monkeypatch):
     monkeypatch.setattr(jaccard, "CHUNK_SETS", 8)
+    monkeypatch.setattr(jaccard, "CHUNK_SHORT", 7)
     rng = random.Random(9)
     words = [f"w{i}" for i in range(900)]
     rows = []
@@ -71,7 +72,9 @@ def test_large_groups(spark, how, monkeypatch):
             rows.append(" ".join(t))
     rows += [" ".join(rng.choice(words) for _ in range(100)) for _ in range(40)]
     src = list(enumerate(rows))
-    assert got(jaccard.join_near(spark.createDataFrame(src, "doc_id long, text string"), **how)) == brute_classes(src)
+    docs, want = spark.createDataFrame(src, "doc_id long, text string"), brute_classes(src)
+    assert got(jaccard.join_near(docs, **how)) == want
+    assert sorted(r["doc_id"] for r in jaccard.keep_first(docs, **how).collect()) == sorted({c for _, c, _ in want})
 
 
 def test_recall(spark):
