@@ -6,12 +6,13 @@ block one answer per key, in the order asked. So a key that a third of all docum
 entry per block, and no task sees more than a block or a bucket. The blocks' shuffle is the same in
 each pass, and Spark reuses it. Both numbers grow with the input: blocks of ``BLOCK_BYTES`` at 1 GB of text,
 larger by the square root of the input up to ``MOST_BLOCK_BYTES``, so that the rows (block, bucket)
-stay few.
+stay few. Where a question needs no text afterwards (:func:`ask_in_place`), the blocks are stretches of the input's
+own partitions and no text is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,48 @@ MOST_BLOCK_BYTES = 16 << 20
 LETTER = "block long, bucket long, a binary, b binary, c binary"
 
 
+def sizes(docs: DataFrame, text: str) -> tuple[int, int]:
+    """Bytes of a block, and the number of buckets."""
+    total = common.text_bytes(docs, text)
+    size = min(MOST_BLOCK_BYTES, int(BLOCK_BYTES * max(1.0, total / 1e9) ** 0.5))
+    return size, max(common.partitions(docs.sparkSession), -(-total // size))
+
+
+def ask_in_place(docs: DataFrame, id: str, text: str, size: int, fn: Callable[[int, pa.Table], pa.Table]) -> DataFrame:
+    """Letters of blocks of about ``size`` bytes, made where the rows (id, text) are. A block is named by its place
+    and content, so that one that is made anew from rows in another order is another block, which lacks answers."""
+    common.bound_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+        from pyspark import TaskContext
+
+        held, n, seed = [], 0, TaskContext.get().partitionId() << 24
+
+        def asked() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            name = xxhash.xxh3_64(seed=seed)
+            for column in rows.columns:
+                for buffer in common.column(pa.table([column], ["c"]), "c").buffers():
+                    name.update(buffer or b"")
+            yield from fn(name.intdigest() >> 1, rows).to_batches()
+
+        for batch in batches:
+            held.append(batch)
+            n += batch.nbytes
+            if n >= size:
+                yield from asked()
+                held, n, seed = [], 0, seed + 1
+        if held and n:
+            yield from asked()
+
+    return docs.select(F.col(id).alias("id"), F.coalesce(text, F.lit("")).alias("text")).mapInArrow(run, LETTER)
+
+
 def blocked(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, int]:
     """(block, data) with all ids and texts, packed and compressed by block before they are shuffled, and the number
     of blocks. A null text is empty."""
-    total = common.text_bytes(docs, text)
-    size = min(MOST_BLOCK_BYTES, int(BLOCK_BYTES * max(1.0, total / 1e9) ** 0.5))
-    n = max(common.partitions(docs.sparkSession), -(-total // size))
+    _, n = sizes(docs, text)
     rows = docs.select(F.pmod(F.xxhash64(F.col(id), F.col(text)), F.lit(n)).alias("block"), F.col(id).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
 
     def pack(rows: pa.Table) -> pa.Table:
@@ -91,6 +128,12 @@ def answer(questions: DataFrame, fn: Callable[[list[dict]], list[tuple]]) -> Dat
     return questions.groupBy("bucket").applyInArrow(run, LETTER)
 
 
+def gather(letters: DataFrame, fn: Callable[[int, dict], pa.Table], schema: str) -> DataFrame:
+    """What ``fn`` makes of each block's letters, a dict by bucket."""
+
+    return letters.groupBy("block").applyInArrow(lambda key, rows: fn(key[0].as_py(), {r["bucket"]: (r["a"], r["b"], r["c"]) for r in rows.to_pylist()}), schema)
+
+
 def by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A stable order by bucket, the buckets that occur, and where each begins in that order."""
     order = np.argsort(bucket, kind="stable")

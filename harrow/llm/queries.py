@@ -38,9 +38,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return tokens.count_tokens(common.table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return tokens.count_tokens(common.table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
