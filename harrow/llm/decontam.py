@@ -4,11 +4,12 @@ Texts and test items are brought to the form " word word ... word "; every ten c
 an item are a pattern. A shift table over the patterns' blocks of bytes says how far the search
 may skip; a shift of zero leads to the bucket of patterns whose searched part ends in that block,
 and a direct comparison confirms an occurrence. The search runs in NumPy over many stretches of a
-batch at once. Patterns go to the tasks in blocks of ``PATTERN_BYTES`` at most: a larger test set
-takes more passes over the documents, without a shuffle, instead of a larger broadcast.
+batch at once. The test set is written to the shared folder in blocks of ``PATTERN_BYTES`` of patterns at most and
+each task loads a block there; a larger set takes more passes over the documents, without a shuffle. The driver
+holds no item and nothing is broadcast.
 
 Defined results: a null text, or one without words, has no words and no hits; an item without words
-is never found; equal windows of several items count for each; repeated rows are each judged alike;
+is never found; an item without an id counts as one named by the empty string; equal windows of several items count for each; repeated rows are each judged alike;
 empty tables give empty results or no hits. Columns of the documents are passed through.
 """
 
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .warc import open_store
 
 WINDOW = 10
 PATTERN_BYTES = 16 << 20
@@ -85,12 +87,28 @@ class _Items:
                 self.searches.append(WuManber(own, 3 if short else 8))
 
 
-def _search(docs: DataFrame, items: list[tuple[str, str]], text: str) -> DataFrame:
+_HELD: dict[tuple[str, int], _Items] = {}
+
+
+def _loaded(folder: str, block: int) -> _Items:
+    """A block of the test set from the shared folder, held by the worker."""
+    if (folder, block) not in _HELD:
+        from pyarrow import dataset
+
+        store, path = open_store(folder)
+        got = dataset.dataset(path, filesystem=store, format="parquet", exclude_invalid_files=False, schema=pa.schema([("i", pa.string()), ("t", pa.string()), ("b", pa.int32())]))
+        rows = got.to_table(filter=dataset.field("b") == block)
+        _HELD.clear()
+        _HELD[folder, block] = _Items(list(zip(rows.column("i").to_pylist(), rows.column("t").to_pylist(), strict=True)))
+    return _HELD[folder, block]
+
+
+def _search(docs: DataFrame, folder: str, block: int, text: str, own: str) -> DataFrame:
     """Adds the starts and lengths of hits (in words) and the items found to those of earlier blocks."""
-    held = _Items(items)
     schema = docs.schema
 
     def run(rows: pa.Table) -> pa.Table:
+        held = _loaded(folder, block)
         split = [words_of(t) for t in common.column(rows, text).to_pylist()]
         lines = [b" " + b" ".join(w) + b" " for w in split]
         starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in lines])])
@@ -100,36 +118,38 @@ def _search(docs: DataFrame, items: list[tuple[str, str]], text: str) -> DataFra
             if hits := search.find(whole):
                 for d, (at, i) in zip(np.searchsorted(starts, [a for a, _ in hits], "right") - 1, hits, strict=True):
                     spots[int(d)].append((at - int(starts[d]), search.patterns[i]))
-        runs, found = common.column(rows, "__runs").to_pylist(), common.column(rows, "__items").to_pylist()
-        for d, own in spots.items():
+        runs, found = common.column(rows, own + "runs").to_pylist(), common.column(rows, own + "items").to_pylist()
+        for d, hit in spots.items():
             spaces = np.flatnonzero(np.frombuffer(lines[d], np.uint8) == 32)
-            first = np.searchsorted(spaces, [a for a, _ in own]).tolist()
-            runs[d] = runs[d] + [x for f, (_, p) in zip(first, own, strict=True) for x in (f, f + p.count(b" ") - 1)]
-            found[d] = sorted({*found[d], *(o for _, p in own for o in held.owners[p])})
-        return common.with_columns(rows, __n=(pa.int64(), [len(w) for w in split]), __runs=(pa.list_(pa.int64()), runs), __items=(pa.list_(pa.string()), found))
+            first = np.searchsorted(spaces, [a for a, _ in hit]).tolist()
+            runs[d] = runs[d] + [x for f, (_, p) in zip(first, hit, strict=True) for x in (f, f + p.count(b" ") - 1)]
+            found[d] = sorted({*found[d], *(o for _, p in hit for o in held.owners[p])})
+        return common.with_columns(rows, **{own + "n": (pa.int64(), [len(w) for w in split]), own + "runs": (pa.list_(pa.int64()), runs), own + "items": (pa.list_(pa.string()), found)})
 
     return common.arrow_pass(docs, run, schema)
 
 
-def _marked(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str) -> DataFrame:
-    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
-    total = common.text_bytes(items, "t")
-    blocks = 1 + WINDOW * total // PATTERN_BYTES  # each word is in ten windows
-    out = docs.withColumns({"__n": F.lit(0).cast("long"), "__runs": F.array().cast("array<bigint>"), "__items": F.array().cast("array<string>")})
+def _marked(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str) -> tuple[DataFrame, str]:
+    """``docs`` with words, hits and items in columns whose names begin with a prefix of their own."""
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t")).where("t is not null")
+    blocks = 1 + WINDOW * common.text_bytes(items, "t") // PATTERN_BYTES  # each word is in ten windows
+    _, folder = common.store(items.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)).cast("int")).repartition(min(blocks, common.partitions(docs.sparkSession)), "b"))
+    own = "__"
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
+    out = docs.withColumns({own + "n": F.lit(0).cast("long"), own + "runs": F.array().cast("array<bigint>"), own + "items": F.array().cast("array<string>")})
     for b in range(blocks):
-        rows = [(r["i"], r["t"]) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).toLocalIterator()]
-        if rows or b == 0:
-            out = _search(out, rows, text)
-    return out
+        out = _search(out, folder, b, text, own)
+    return out, own
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    marked = _marked(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), benchmark, "text", item_id, item_text)
+    marked, own = _marked(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), benchmark, "text", item_id, item_text)
 
     def count(rows: pa.Table) -> pa.Table:
         out: dict[str, list] = {k: [] for k in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")}
-        for n, runs, items in zip(*(common.column(rows, c).to_pylist() for c in ("__n", "__runs", "__items")), strict=True):
+        for n, runs, items in zip(*(common.column(rows, c).to_pylist() for c in (own + "n", own + "runs", own + "items")), strict=True):
             hit = np.zeros(n + 1 if runs else 1, np.int64)
             np.add.at(hit, runs[::2], 1)
             np.add.at(hit, runs[1::2], -1)
@@ -144,4 +164,5 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text holds no window of an item."""
-    return _marked(docs, benchmark, text, item_id, item_text).where(F.size("__items") == 0).select(*docs.columns)
+    marked, own = _marked(docs, benchmark, text, item_id, item_text)
+    return marked.where(F.size(own + "items") == 0).select(*docs.columns)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import common, decontam, jaccard, mixing, oracles, pii, quality, secrets, suffix, tokens, urls, warc
 
@@ -42,10 +41,9 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labels of the document with the page's number say whether it is blocked."""
-    pages, labels = common.table(spark, sf_dir, "pages"), common.table(spark, sf_dir, "labels")
-    labelled = pages.join(labels, pages["page_id"] == labels["doc_id"]).select("url", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
-    return urls.judge(pages, labelled.where("blocked is not null"))
+    """The labels of the document that a page's article is say whether the page is blocked."""
+    pages, docs, labels = (common.table(spark, sf_dir, t) for t in ("pages", "documents", "labels"))
+    return urls.judge(pages, urls.labels_of_pages(pages, docs, labels))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

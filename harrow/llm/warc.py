@@ -81,7 +81,9 @@ def write(pages: DataFrame, folder: str, id: str = "page_id", url: str = "url",
     own = pages.select(F.col(id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.encode(html, "UTF-8"), F.lit(b"")).alias("payload"))
     own = own.withColumn("key", F.unhex(F.sha1("payload")))
     same = own.groupBy("key").agg(F.max("page_id").alias("largest"), F.max(F.octet_length("payload")).alias("n"), F.count("*").alias("c")).where(F.col("c") > 1).where(F.col("n") >= least)
-    dealt = own.join(same.select("key", "largest"), "key", "left").select("page_id", "url", "payload", "largest")
+    same, most = common.cut(same.select("key", "largest", "c")), pages.count()
+    # a payload that very many pages share stays where it is, so that no task gets all of its copies
+    dealt = common.hot_join(own, same, "key", "c", most, "left").select("page_id", "url", "payload", "largest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = open_store(folder)

@@ -55,9 +55,31 @@ def test_urls(pages, spark):
 def test_mined_rules(spark):
     rows = [("http://a.org/bad/1", True)] * 40 + [("http://a.org/fine/1", False)] * 40 + [("http://b.org/bad/1", False)] * 40
     labelled = spark.createDataFrame(rows, "url string, blocked boolean").select(urls.tokens(F.col("url")).alias("tokens"), "blocked")
-    rules = urls.mine(labelled, 0.05, 0.9).collect()
-    assert rules and all(r["confidence"] >= 0.9 and r["key"] in r["antecedent"] and {"label1=a", "name=org.a"} & set(r["antecedent"]) for r in rules)
+    rules = urls.mine(labelled, confidence=0.8).collect()
+    assert rules and all(r["confidence"] >= 0.8 and r["blocked"] == 40 and r["key"] in r["antecedent"] and {"label1=a", "name=org.a"} & set(r["antecedent"]) for r in rules)
     assert urls.mine(labelled.where("not blocked")).count() == 0
+    assert urls.mine(labelled.where("blocked").limit(10)).count() == 0  # too few to tell
+
+
+def test_mining_finds_late_parts_and_values_and_merges(spark):
+    fields = "&".join(f"f{i}=1" for i in range(40))  # always together: one item
+    rows = [(f"http://h{i}.org/a/b/c/casino/{i}?{fields}", True) for i in range(40)] + [(f"http://h{i}.org/a/b/c/x/{i}?{fields}", False) for i in range(80)]
+    rows += [(f"http://g{i}.org/q?cat=adult", True) for i in range(40)] + [(f"http://g{i}.org/q?cat=news", i % 9 == 0) for i in range(90)]
+    labelled = spark.createDataFrame(rows, "url string, blocked boolean")
+    pages = spark.createDataFrame([(1, "http://n.org/z/casino"), (2, "http://n.org/a/b/c/x/1?" + fields), (3, "http://n.org/w?cat=adult"), (4, "http://n.org/w?cat=news"), (5, "http://h.org/a/b/c/casino/3?" + fields)], "page_id long, url string")
+    rules = {tuple(r["antecedent"]) for r in urls.mine(labelled.select(urls.tokens(F.col("url")).alias("tokens"), "blocked")).collect()}
+    assert any("part=casino" in r for r in rules) and ("value=cat=adult",) in rules
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages, labelled).collect()}
+    assert got == {1: "block", 2: "allow", 3: "block", 4: "allow", 5: "block"}
+
+
+def test_page_labels_belong_to_the_page(spark):
+    sf = "/root/testdata/sf0.01/"
+    pages, docs = spark.read.parquet(sf + "pages.parquet"), spark.read.parquet(sf + "documents.parquet")
+    all_labelled = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert urls.labels_of_pages(pages, docs, all_labelled).count() == pages.where("html is not null").count()
+    few = all_labelled.where("doc_id < 50").withColumn("toxic", F.when(F.col("doc_id") % 2 == 0, 1))
+    assert 0 < urls.labels_of_pages(pages, docs, few).count() < 100
 
 
 def test_warc(pages, spark):
