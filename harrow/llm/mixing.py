@@ -71,17 +71,17 @@ def schedule(sources: DataFrame, n: int) -> DataFrame:
     return ranked.unionByName(without.select("s", F.lit(0).cast("long").alias("block")))
 
 
-def _placed(rows: DataFrame, sources: DataFrame, small: bool, seed: int) -> DataFrame:
-    """``rows`` (id, source, size, tie, ...) with s, source_size, target, stratum, nth and the offset within the stratum."""
+def _placed(rows: DataFrame, sources: DataFrame, small: bool, seed: int, last: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` (id, source, size, tie, ...) with s, source_size, target, stratum, nth and the offset within the stratum; ``last`` orders rows equal in the others."""
     key = F.xxhash64(F.lit(seed), "id", "tie")
     rows = rows.withColumn("key", key).withColumn("stratum", F.pmod("key", F.lit(STRATA)))
     rows = rows.join((F.broadcast(sources) if small else sources).withColumnRenamed("source", "own"), F.col("source").eqNullSafe(F.col("own"))).drop("own")
-    order = W.partitionBy("s", "stratum").orderBy("key", "id", "tie")
+    order = W.partitionBy("s", "stratum").orderBy("key", "id", "tie", *last)
     return rows.withColumn("nth", F.row_number().over(order)).withColumn("within", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
 
 
-def _taken(placed: DataFrame, sources: DataFrame, total: float, most: int, slots: int, least_block: int) -> DataFrame:
-    """``placed`` without key, tie and within, and with taken."""
+def _taken(placed: DataFrame, sources: DataFrame, total: float, most: int, slots: int, least_block: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """``placed`` without within, and with taken; ``more`` names columns that are kept beside."""
     dealt = schedule(sources, -(-int(total) // max(least_block, -(-int(total) // slots))))
     words = sources.select("s", F.floor(F.col("target") + 0.5).alias("words")).join(dealt.groupBy("s").agg(F.count("*").alias("slots")), "s", "left")
     words = words.select("s", "words", F.greatest(F.ceil(F.col("words") / F.col("slots")), F.lit(1)).alias("block_words"))
@@ -95,7 +95,7 @@ def _taken(placed: DataFrame, sources: DataFrame, total: float, most: int, slots
     own = own.withColumn("block", F.explode(F.when(F.col("from") < F.col("to"), F.sequence(first, last)).otherwise(F.array(-1 - F.col("nth").cast("long")))))
     got = own.join(dealt.withColumn("hit", F.lit(True)), ["s", "block"], "left")
     overlap = F.least(F.col("to"), (F.col("block") + 1) * F.col("block_words")) - F.greatest(F.col("from"), F.col("block") * F.col("block_words"))
-    keys = ["s", "stratum", "nth", "id", "size", "source_size", "target"]
+    keys = ["s", "stratum", "nth", "id", "size", "source_size", "target", *more]
     return got.groupBy(*keys).agg(F.sum(F.when(F.col("hit"), overlap).otherwise(0)).cast("long").alias("taken"))
 
 
@@ -116,13 +116,26 @@ def _sources(rows: DataFrame, weights: tuple[float, ...], share: float, most: fl
 
 def mix_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: int = 2, slots: int = SLOTS, least_block: int = LEAST_BLOCK, seed: int = 17) -> DataFrame:
     """The documents of the mix with all their columns and size, source_size, target, taken; a document
-    of which no word is taken is not part of it. Columns of ``docs`` with those names give way."""
+    of which no word is taken is not part of it. Columns of ``docs`` with those names give way.
+
+    The mix is made of numbers alone; texts are dealt once, by a key of the whole row, to meet what is taken of them. Rows
+    equal in all columns share a key: how many of them give how many words is a short list, which they go through in turn."""
     new = ("size", "source_size", "target", "taken")
     kept = [c for c in docs.columns if c not in new]
-    wide = docs.select(F.struct(*(docs[c] for c in kept)).alias("doc"), docs[id].alias("id"), docs[source].alias("source"), n_words(text).alias("size"), F.xxhash64(docs[text]).alias("tie"))
-    rows = common.cut(wide.drop("doc"))
+    mark = "__"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    whole = F.unhex(F.md5(F.to_json(F.struct(*(docs[c] for c in kept)), {"ignoreNullFields": "false"})))
+    rows = common.cut(docs.select(docs[id].alias("id"), docs[source].alias("source"), n_words(text).alias("size"), F.xxhash64(docs[text]).alias("tie"), whole.alias("row")))
     sources, total, small = _sources(rows, weights, share, most)
-    taken = _taken(_placed(rows, sources, small, seed).drop("key", "tie", "source"), sources, total, most, slots, least_block)
-    taken = taken.where("taken > 0").select("s", "stratum", "nth", "taken")
-    placed = _placed(wide, sources, small, seed)
-    return placed.join(taken, ["s", "stratum", "nth"]).select("doc.*", *new)
+    placed = _placed(rows, sources, small, seed, ("row",)).drop("key", "tie", "source")
+    taken = _taken(placed, sources, total, most, slots, least_block, ("row",)).where("taken > 0")
+    # equal rows follow each other, so there are few different numbers of words taken of them
+    times = taken.groupBy("row", "size", "source_size", "target", "taken").agg(F.count("*").alias("n"))
+    lists = times.groupBy("row", "size", "source_size", "target").agg(F.reverse(F.array_sort(F.collect_list(F.struct("taken", "n")))).alias("steps"))
+    lists = lists.select(F.col("row").alias(mark + "key"), *(F.col(c).alias(mark + c) for c in ("size", "source_size", "target", "steps")))
+    one = W.partitionBy(mark + "key").orderBy(mark + "key")
+    own = docs.select(*(docs[c] for c in kept), whole.alias(mark + "key")).join(lists, mark + "key").withColumn(mark + "nth", F.row_number().over(one))
+    step = F.aggregate(mark + "steps", F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("taken")), lambda a, x: F.struct((a["upto"] + x["n"]).alias("upto"), F.when((F.col(mark + "nth") > a["upto"]) & (F.col(mark + "nth") <= a["upto"] + x["n"]), x["taken"]).otherwise(a["taken"]).alias("taken")))
+    out = own.withColumn(mark + "taken", step["taken"]).where(F.col(mark + "taken") > 0)
+    return out.select(*kept, *(F.col(mark + c).alias(c) for c in new))
