@@ -88,7 +88,9 @@ def blocked(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, int]:
 
 
 def _unpacked(rows: pa.Table) -> pa.Table:
-    return pa.concat_tables(pa.ipc.open_stream(x.as_buffer()).read_all() for x in rows.column("data")).combine_chunks()
+    """The rows of a block, always in the same order, however its parts came."""
+    whole = pa.concat_tables(pa.ipc.open_stream(x.as_buffer()).read_all() for x in rows.column("data"))
+    return whole.sort_by([("id", "ascending"), ("text", "ascending")]).combine_chunks()
 
 
 def squeezed(data: bytes) -> bytes:

@@ -7,6 +7,7 @@ from urllib.parse import quote
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from harrow.llm import decontam, pii, quality, queries, secrets, suffix, tokens
@@ -162,6 +163,19 @@ def test_suffix_hot(spark, hot):
     assert got == sorted(((i, *x) for (i, _), x in zip(src, brute.repeats(src))), key=repr)
 
 
+def test_stretches_do_not_depend_on_the_order_of_texts(monkeypatch):
+    monkeypatch.setattr(suffix, "_STEP", 256)
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("abc "), rng.integers(0, 900))) for _ in range(40)]
+
+    def found(texts):
+        s = suffix._Strings(pa.array(texts))
+        raw = s.raw.tobytes()
+        return sorted(raw[a : b + 49] for a, b in zip(s.start.tolist(), s.stop.tolist()))
+
+    assert found(texts) == found(texts[::-1]) == found(sorted(texts))
+
+
 def test_suffix_order():
     rng = np.random.default_rng(5)
     for _ in range(60):
