@@ -44,7 +44,7 @@ SLACK = 0.2
 #: A chunk of a component has about this many shingles, and sets.
 CHUNK_SHINGLES, CHUNK_SETS = 250_000, 512
 #: The same of a chunk of differences.
-CHUNK_DIFFERENCES, CHUNK_SHORT = 500_000, 2048
+CHUNK_DIFFERENCES, CHUNK_SHORT = 250_000, 1024
 _RNG = np.random.default_rng(20_24)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _PLACE = _RNG.integers(1, 1 << 63, 1024, dtype=np.uint64) | np.uint64(1)
@@ -358,11 +358,15 @@ def _exact(rows: pa.Table, groups: list[tuple[int, int]], threshold: float) -> l
             part = np.zeros((n, width), np.float32)
             part[who[x:y], column[x:y] - lo] = 1
             common_to += part @ part.T
-        linked = common_to >= threshold * (size[:, None] + size[None, :] - common_to) - 1e-6
+        linked = np.zeros((n, n), bool)
+        for lo in range(0, n, 128):
+            both = common_to[lo : lo + 128]
+            linked[lo : lo + 128] = both >= threshold * (size[lo : lo + 128, None] + size[None, :] - both) - 1e-6
+        del common_to
         np.fill_diagonal(linked, False)
         if mine[a:b].min() < mine[a:b].max():
             linked &= mine[a:b, None] != mine[None, a:b]
-        links = linked @ copies[a:b].astype(np.float64)
+        links = np.concatenate([linked[lo : lo + 128] @ copies[a:b].astype(np.float64) for lo in range(0, n, 128)])
         out += [(keys[a + i], int(x), None) for i, x in enumerate(links.tolist()) if x]
         out += [(r, 0, v) for r, v in _edges(keys[a:b], _forest(lambda i, of, l=linked: l[i, of], n))]
     return out

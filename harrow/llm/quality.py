@@ -24,7 +24,7 @@ from . import common
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
 _SYMBOLS = bytes(set(range(256)) - set(b"#*$%&|<>"))
 #: A worker forgets the words that it has cut when it holds this many.
-MOST_WORDS = 400_000
+MOST_WORDS = 200_000
 #: Languages up to which their bands are broadcast.
 MOST_LANGUAGES = 10_000
 SHORT = 15.0
