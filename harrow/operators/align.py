@@ -59,6 +59,16 @@ def shortcut(scores: DataFrame, groups: DataFrame, id: str = "id") -> DataFrame:
     return groups.join(scores, id, "left").select(id, F.when(F.col("zero_advantage"), 0.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"))
 
 
+def without_small(df: DataFrame, advantage: str = "advantage", least: float = 1e-3) -> DataFrame:
+    """Rows whose advantage is not next to nothing."""
+    return df.where(F.abs(advantage) >= least)
+
+
+def scores_or_zero(groups: DataFrame, scores: DataFrame, id: str = "group_id") -> DataFrame:
+    """(id, score) of all groups; 0 for those without any."""
+    return groups.select(id).distinct().join(scores, id, "left").select(id, F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def optimizer_scaled(df: DataFrame, moments: DataFrame, coordinate: tuple[str, ...] = ("idx",), x: str = "x", eps: float = 1e-8) -> DataFrame:
     """Vectors over the root of the optimizer's second moment at their coordinate."""
     return df.join(moments, list(coordinate)).withColumn(x, F.col(x) / (F.sqrt("second") + eps)).drop("second")

@@ -149,8 +149,11 @@ def preference_pairs(df: DataFrame, group: str = "group_id", order: str = "sampl
 
 
 def resample(df: DataFrame, key: list[str], reward: str = "reward", mode: str = "pow", power: float = 2.0, seed: int = 0) -> DataFrame:
-    """As many draws as rows, with replacement, by weight |reward|^power, or by the share of extremes. Each
-    stratum of rows draws within itself in proportion to its rows, by a cumulative weight and hashed points."""
+    """As many draws as rows, with replacement, by weight |reward|^power, or by the share of extremes; adds copies.
+
+    The rows' weights lie end to end in a hashed order, and the n points (j + u) / n of the whole, u one hashed number, fall
+    on them, so a row's copies are a difference of counts and expected in proportion to its weight. The
+    running sum is one within hash strata and one over the strata."""
     r = F.col(reward)
     if mode == "pow":
         weight = F.pow(F.abs(r), F.lit(power))
@@ -161,13 +164,14 @@ def resample(df: DataFrame, key: list[str], reward: str = "reward", mode: str =
         weight = F.when(r == F.col("__hi"), 1.0).when(r == F.col("__lo"), 0.1 if mode == "max_random" else 1.0).otherwise(mid)
     h = F.xxhash64(F.lit(seed), *key)
     own = df.withColumn("w", weight).withColumn("stratum", F.pmod(h, F.lit(256))).drop("__hi", "__lo")
-    order = W.partitionBy("stratum").orderBy(h, *key)
-    own = own.withColumns({"nth": F.row_number().over(order), "high": F.sum("w").over(order.rowsBetween(W.unboundedPreceding, 0)), "all": F.sum("w").over(W.partitionBy("stratum")), "n": F.count("*").over(W.partitionBy("stratum"))})
-    # n points (j + u) / n of a stratum, u one hashed number: systematic draws, so a row's copies are a difference of counts
-    u = F.pmod(F.xxhash64(F.lit(seed + 1), "stratum"), F.lit(1 << 20)) / float(1 << 20)
-    upto = lambda c: F.ceil(c / F.col("all") * F.col("n") - u)
-    copies = F.when(F.col("all") > 0, upto(F.col("high")) - upto(F.col("high") - F.col("w"))).otherwise(1)
-    return own.withColumn("copies", copies.cast("long")).drop("w", "stratum", "nth", "high", "all", "n")
+    own = own.withColumn("high", F.sum("w").over(W.partitionBy("stratum").orderBy(h, *key).rowsBetween(W.unboundedPreceding, 0)))
+    sums = own.groupBy("stratum").agg(F.sum("w").alias("s"), F.count("*").alias("c"))  # 256 rows at most
+    upto, whole = W.orderBy("stratum").rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
+    sums = sums.select("stratum", F.coalesce(F.sum("s").over(upto), F.lit(0.0)).alias("base"), F.sum("s").over(whole).alias("all"), F.sum("c").over(whole).alias("n"))
+    u = (seed * 2654435761 % (1 << 20)) / float(1 << 20)
+    points = lambda c: F.ceil((F.col("base") + c) / F.col("all") * F.col("n") - u)
+    copies = F.when(F.col("all") > 0, points(F.col("high")) - points(F.col("high") - F.col("w"))).otherwise(1)
+    return own.join(F.broadcast(sums), "stratum").withColumn("copies", copies.cast("long")).drop("w", "stratum", "high", "base", "all", "n")
 
 
 def clip_cov(df: DataFrame, order: list[str], share: float = 0.0002, low: float = 1.0, high: float = 5.0, clip: float = 0.2, seed: int = 0) -> DataFrame:
@@ -193,8 +197,7 @@ def analysis_loss(df: DataFrame, seq: str = "group_id", over: str = "tokens") ->
 
 def reward_model_ce(score: Column, label: Column) -> Column:
     """Cross entropy of a sequence score against pass or fail."""
-    p = 1 / (1 + F.exp(-score))
-    return -(label * F.log(p) + (1 - label) * F.log(1 - p))
+    return F.log1p(F.exp(-F.abs(score))) + F.greatest(score, F.lit(0.0)) - label * score
 
 
 def preference_accuracy(pairs: DataFrame, score_i: str, score_j: str, truth_i: str, truth_j: str, by: list[str]) -> DataFrame:

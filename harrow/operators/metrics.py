@@ -157,8 +157,10 @@ def factorize(df: DataFrame, label: str, name: str = "code") -> DataFrame:
 def masked_stats(df: DataFrame, value: str, mask: Column) -> DataFrame:
     """Sum, mean (1e-8 in the divisor) and Bessel variance of ``value`` where the mask is 1."""
     x, m = F.when(mask == 1, F.col(value)).otherwise(0.0), F.sum(mask)
-    mean = F.sum(x) / (m + 1e-8)
-    variance = (F.sum(x * x) - 2 * mean * F.sum(x) + mean * mean * m) / (m + 1e-8)
+    mean, on = F.sum(x) / (m + 1e-8), F.when(mask == 1, F.col(value))
+    # around the true mean, which loses no digits, and from there to the one with 1e-8 in its divisor
+    off = F.avg(on) - mean
+    variance = F.coalesce(F.var_pop(on) + off * off, F.lit(0.0)) * m / (m + 1e-8)
     return df.agg(F.sum(x).alias("sum"), mean.alias("mean"), F.when(m > 1, variance * m / (m - 1)).otherwise(variance).alias("var"))
 
 

@@ -86,9 +86,24 @@ def cut_report(ranks: DataFrame, n: int, last: int = 10) -> DataFrame:
 
 
 def manifest(ranks: DataFrame, reason: Column | None = None) -> DataFrame:
-    """One row: counts, share, cutoff and extremes of a rank list."""
+    """One row: counts, share, cutoff and extremes of a rank list, and a map of counts by ``reason``, if that is given."""
     s, on = F.col("score"), F.col("selected")
-    return ranks.agg(F.count("*").alias("pool"), F.count_if(on).alias("chosen"), F.avg(on.cast("double")).alias("share"), F.min(F.when(on, s)).alias("cutoff"), F.min(s).alias("least"), F.max(s).alias("most"))
+    one = ranks.agg(F.count("*").alias("pool"), F.count_if(on).alias("chosen"), F.avg(on.cast("double")).alias("share"), F.min(F.when(on, s)).alias("cutoff"), F.min(s).alias("least"), F.max(s).alias("most"))
+    if reason is None:
+        return one
+    each = ranks.groupBy(F.coalesce(reason.cast("string"), F.lit("none")).alias("r")).agg(F.count("*").alias("n"))
+    return one.crossJoin(F.broadcast(each.agg(F.map_from_entries(F.collect_list(F.struct("r", "n"))).alias("reasons"))))
+
+
+def rows_of(ids: DataFrame, rows: DataFrame, id: str, line: str) -> DataFrame:
+    """The rows whose id is selected, in the order of their lines; an id selected twice gives no row twice."""
+    return rows.join(ids.select(id), id, "left_semi").orderBy(line)
+
+
+def by_sample(df: DataFrame, group: str = "group_id", sample: str = "sample_id") -> DataFrame:
+    """Ordered by group and sample; a row that lacks either fails the query."""
+    whole = F.col(group).isNotNull() & F.col(sample).isNotNull()
+    return df.where(F.assert_true(whole, F.lit(f"a row lacks {group} or {sample}")).isNull()).orderBy(group, sample)
 
 
 def mix(parts: list[DataFrame], seed: int, id: str, index: str = "index") -> DataFrame:

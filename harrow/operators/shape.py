@@ -57,6 +57,39 @@ def combined_input(parts: list[tuple[str, DataFrame]], order: str) -> DataFrame:
     return ranked(rows, ["__part", order], "group_id").withColumn("group_id", F.col("group_id") - 1).drop("__part")
 
 
+def matching(df: DataFrame, equal: dict[str, str] | None = None, holds: dict[str, str] | None = None) -> DataFrame:
+    """Rows whose columns equal the given values and hold the given strings."""
+    for name, value in (equal or {}).items():
+        df = df.where(F.col(name) == value)
+    for name, value in (holds or {}).items():
+        df = df.where(F.contains(F.col(name), F.lit(value)))
+    return df
+
+
+def dated(df: DataFrame, column: str, since: str | None = None, before: str | None = None) -> DataFrame:
+    """Rows of ISO dates from ``since`` on and before ``before``."""
+    if since is not None:
+        df = df.where(F.col(column) >= since)
+    return df if before is None else df.where(F.col(column) < before)
+
+
+def labelled(df: DataFrame, column: str) -> DataFrame:
+    """Rows with a label that isn't empty."""
+    return df.where(F.length(column) > 0)
+
+
+def with_fields(struct: Column, **fields: Column) -> Column:
+    """The struct with fields set, those that it has already and new ones; names with a dot go into inner structs."""
+    for name, value in fields.items():
+        struct = struct.withField(name.replace("__", "."), value)
+    return struct
+
+
+def sampled_rows(df: DataFrame, row: str, sample: str, value: str) -> DataFrame:
+    """(row, responses): a list per row of what n sampling passes gave, in their order."""
+    return df.groupBy(row).agg(F.transform(F.array_sort(F.collect_list(F.struct(sample, value))), lambda x: x[value]).alias("responses"))
+
+
 def split_or_whole(df: DataFrame, split: Column, name: str) -> DataFrame:
     """Rows of a split; all rows where it has none."""
     part = df.where(split == name)
@@ -189,6 +222,12 @@ def sft_mask(prompt_length: Column, length: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), length - 1), lambda i: F.when((i >= prompt_length - 1) & (i < length - 1), 1).otherwise(0))
 
 
+def response_mask(attention: Column, length: int | Column) -> Column:
+    """The attention mask of the last ``length`` positions, all of them if there are fewer."""
+    n = F.least(F.size(attention), F.lit(length) if isinstance(length, int) else length)
+    return F.slice(attention, F.greatest(F.size(attention) - n, F.lit(0)) + 1, n)
+
+
 def chat_mask(messages: Column) -> Column:
     """Per word of a chat: 1 in assistant messages."""
     return F.flatten(F.transform(messages, lambda m: F.transform(F.filter(F.split(m["content"], r"\s+"), lambda w: w != ""), lambda w: F.when(m["role"] == "assistant", 1).otherwise(0))))

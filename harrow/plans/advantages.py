@@ -79,9 +79,9 @@ def softmean_baseline(spark, sf_dir):
 
 
 @query(f"""{ROLL}, s AS (SELECT *, count(*) OVER g AS n, sum(reward) OVER g AS tr, sum(value) OVER g AS tv FROM rollouts WINDOW g AS (PARTITION BY group_id))
-  SELECT group_id, sample_id, round(CASE WHEN n = 1 THEN reward + 0.5 * value ELSE (reward - (tr - reward) / (n - 1)) + 0.5 * (value - (tv - value) / (n - 1)) END, 6) + 0.0 AS advantage FROM s""")
+  SELECT group_id, sample_id, round(CASE WHEN n = 1 THEN reward + 0.5 * value ELSE (reward - (tr - reward) / (n - 1)) + 0.5 * (value - (tv - value) / (n - 1)) END, 9) + 0.0 AS advantage FROM s""")
 def prime_reward_sources(spark, sf_dir):
-    return A.prime_rewards(S.rollouts(spark, sf_dir), {"reward": 1.0, "value": 0.5}).select(*OUT, r6("advantage").alias("advantage"))
+    return A.prime_rewards(S.rollouts(spark, sf_dir), {"reward": 1.0, "value": 0.5}).select(*OUT, (F.round("advantage", 9) + F.lit(0.0)).alias("advantage"))
 
 
 # ---- scans over token sequences; samples of an order as its tokens -------------------------------

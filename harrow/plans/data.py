@@ -225,10 +225,10 @@ def qa_normalize(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.sha2(N.qa_normal(F.col("text")), 256).alias("digest"))
 
 
-@query(f"SELECT p_partkey, array_to_string({_WORDS.format('p_name')}, ' ') = array_to_string({_WORDS.format('p_type')}, ' ') OR true AS exact, contains(array_to_string({_WORDS.format('p_name')}, ' '), array_to_string({_WORDS.format('split_part(p_name, chr(32), 1)')}, ' ')) AS part FROM part")
+@query(f"SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN array_to_string({_WORDS.format('p_name')}, ' ') = array_to_string({_WORDS.format('p_type')}, ' ') ELSE p_size % 3 = 1 END AS exact, contains(array_to_string({_WORDS.format('p_name')}, ' '), array_to_string({_WORDS.format('split_part(p_name, chr(32), 1)')}, ' ')) AS part FROM part")
 def exact_match(spark, sf_dir):
     p = S.table(spark, sf_dir, "part")
-    return p.select("p_partkey", N.exact_match(F.col("p_name"), F.array("p_type", F.upper("p_name"))).alias("exact"), N.contains_match(F.col("p_name"), F.array(F.split_part("p_name", F.lit(" "), F.lit(1)))).alias("part"))
+    return p.select("p_partkey", N.exact_match(F.col("p_name"), F.array("p_type", F.when(F.col("p_size") % 3 == 1, F.concat(F.lit("The "), F.upper("p_name"), F.lit("!"))).when(F.col("p_size") % 3 == 2, F.concat("p_name", F.lit(" more"))).otherwise(F.col("p_brand")))).alias("exact"), N.contains_match(F.col("p_name"), F.array(F.split_part("p_name", F.lit(" "), F.lit(1)))).alias("part"))
 
 
 def _solved(spark, sf_dir):
@@ -309,12 +309,12 @@ def content_hashes(spark, sf_dir):
 
 
 @query(f"""{ROLL}, a AS (SELECT group_id % 5 AS model, benchmark, avg(passed::INT) AS a FROM rollouts GROUP BY ALL)
-  SELECT model, {', '.join(f"round(max(a) FILTER (benchmark = 'b{i}') * 100, 4) AS b{i}" for i in range(4))} FROM a GROUP BY 1""")
+  SELECT model, {', '.join(f"round(max(a) FILTER (benchmark = 'b{i}') * 100, 6) AS b{i}" for i in range(4))} FROM a GROUP BY 1""")
 def leaderboard(spark, sf_dir):
     a = S.rollouts(spark, sf_dir).groupBy((F.col("group_id") % 5).alias("model"), "benchmark").agg(F.avg(F.col("passed").cast("int")).alias("a"))
     names = [f"b{i}" for i in range(4)]
     wide = I.leaderboard(a, ["model"], "benchmark", "a", names)
-    return wide.select("model", *(F.round(F.col(n).cast("double"), 4).alias(n) for n in names))
+    return wide.select("model", *(F.col(n).cast("double").alias(n) for n in names))
 
 
 # ---- streams, in their batch form ------------------------------------------------------------------

@@ -1,6 +1,7 @@
 """Rollouts, vectors, chats and sample streams seen in the given tables.
 
-The tables hold no rollouts, so orders stand for prompts and their lines for sampled responses.
+The tables hold no rollouts, so orders stand for prompts and their lines for sampled responses. A price is divided by a
+power of two, so that what is rounded to decimals later doesn't end in ties.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ SQL = {
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS sample_id,
   CASE l_returnflag WHEN 'R' THEN 1.0::DOUBLE WHEN 'A' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS reward,
   CAST(l_quantity AS BIGINT) AS length, l_returnflag = 'R' AS passed, l_returnflag || l_linestatus AS pred,
-  -l_discount * 10 AS old_logp, -l_tax * 10 AS logp, l_extendedprice / 100000 AS value, l_quantity > 10 AS masked_in,
+  -l_discount * 10 AS old_logp, -l_tax * 10 AS logp, l_extendedprice / 131072 AS value, l_quantity > 10 AS masked_in,
   'b' || CAST(l_suppkey % 4 AS VARCHAR) AS benchmark FROM lineitem)""",
     "coords": """coords AS (SELECT vec_id, label, i AS idx, CAST(embedding[i + 1] AS DOUBLE) AS x
   FROM embeddings, LATERAL (SELECT unnest(range(64)) AS i))""",
@@ -41,7 +42,7 @@ def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("l_returnflag", "l_linestatus").alias("pred"),
         (-F.col("l_discount") * 10).alias("old_logp"),
         (-F.col("l_tax") * 10).alias("logp"),
-        (F.col("l_extendedprice") / 100000).alias("value"),
+        (F.col("l_extendedprice") / 131072).alias("value"),
         (F.col("l_quantity") > 10).alias("masked_in"),
         F.concat(F.lit("b"), (F.col("l_suppkey") % 4).cast("string")).alias("benchmark"),
     )

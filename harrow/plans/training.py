@@ -57,12 +57,12 @@ def logits_entropy(spark, sf_dir):
     return S.vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), r6(L.entropy(F.col("v"))).alias("entropy"))
 
 
-@query("""SELECT event_id AS step, round(CASE WHEN event_id < 100 THEN event_id / 100 ELSE greatest(0, 0.1 + 0.9 * 0.5 * (1 + cos(pi() * (event_id - 100) / 900))) END, 6) AS cosine,
-  round(CASE WHEN event_id < 100 THEN event_id / 100 WHEN (event_id - 100) / 900 < 0.9 THEN 1 ELSE greatest(0, 1 - ((event_id - 100) / 900 - 0.9) / 0.1) END, 6) + 0.0 AS wsd FROM events WHERE event_id <= 1000""")
+@query("""WITH t AS (SELECT greatest(max(event_id) - 100, 1) AS n FROM events) SELECT event_id AS step, round(CASE WHEN event_id < 100 THEN event_id / 100 ELSE greatest(0, 0.1 + 0.9 * 0.5 * (1 + cos(pi() * (event_id - 100) / n))) END, 6) AS cosine,
+  round(CASE WHEN event_id < 100 THEN event_id / 100 WHEN (event_id - 100) / n < 0.9 THEN 1 ELSE greatest(0, 1 - ((event_id - 100) / n - 0.9) / 0.1) END, 6) + 0.0 AS wsd FROM events, t""")
 def learning_rates(spark, sf_dir):
-    e = S.table(spark, sf_dir, "events").where("event_id <= 1000")
-    s = F.col("event_id")
-    return e.select(s.alias("step"), r6(L.learning_rate(s, "cosine", 100, 1000, 0.1)).alias("cosine"), r6(L.learning_rate(s, "wsd", 100, 1000)).alias("wsd"))
+    e = S.table(spark, sf_dir, "events")
+    s, total = F.col("event_id"), e.agg(F.max("event_id")).first()[0] or 0  # the schedule ends with the last event
+    return e.select(s.alias("step"), r6(L.learning_rate(s, "cosine", 100, total, 0.1)).alias("cosine"), r6(L.learning_rate(s, "wsd", 100, total)).alias("wsd"))
 
 
 @query("SELECT event_type, count(*) * 100 AS tokens, round(sum(abs(value)), 4) AS seconds, round(count(*) * 100 / (sum(abs(value)) * 8), 6) AS throughput, round(sum(abs(value)) * 1000 / (count(*) * 100), 6) AS ms_per_token FROM events GROUP BY 1")

@@ -64,11 +64,12 @@ def read_parts(spark: SparkSession, pattern: str, schema: T.StructType) -> DataF
 
 
 def read_numbered(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value): lines of text files from 0, in the order of the files' splits."""
+    """(line, value): lines of text files from 0, by the names of the files and within them."""
     from harrow.operators.select import ranked
 
-    rows = spark.read.text(path).select("value", F.input_file_name().alias("__f"), F.monotonically_increasing_id().alias("__i"))
-    return ranked(rows, ["__i"], "line").select((F.col("line") - 1).alias("line"), "value")
+    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))
+    rows = spark.read.text(path).select("value", at.alias("__f"), F.monotonically_increasing_id().alias("__i"))
+    return ranked(rows, ["__f", "__i"], "line").select((F.col("line") - 1).alias("line"), "value")
 
 
 def write_both(df: DataFrame, path: str) -> None:
@@ -105,10 +106,10 @@ def write_manifest(spark: SparkSession, path: str, content: dict) -> None:
     out = fs.create(beside, True)
     out.write(bytearray(json.dumps(content, sort_keys=True, indent=1).encode()))
     out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(beside, target):
-        raise OSError(f"{path} could not be written")
+    # a rename that puts the new one in the old one's place, which FileSystem.rename doesn't
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(fs.makeQualified(beside), fs.makeQualified(target), options)
 
 
 def archive(spark: SparkSession, path: str, tag: str) -> str | None:
@@ -194,9 +195,12 @@ def leaderboard(df: DataFrame, row: list[str], benchmark: str, value: str, names
 
 
 def leaderboard_html(df: DataFrame, most: int = 10_000) -> str:
+    """A page with all rows; more than ``most`` of them are an error, as a page is no place for them."""
     from html import escape
 
-    rows = df.limit(most).collect()
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table of more than {most} rows is too long for a page")
     cells = lambda xs, tag: "".join(f"<{tag}>{escape(str(x))}</{tag}>" for x in xs)
     return f"<table><tr>{cells(df.columns, 'th')}</tr>{''.join(f'<tr>{cells(r, "td")}</tr>' for r in rows)}</table>"
 

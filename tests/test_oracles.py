@@ -23,7 +23,7 @@ def duck():
 
 def plain(x):
     if isinstance(x, float):
-        return None if math.isnan(x) else round(x, 5) + 0.0
+        return None if math.isnan(x) else round(x, 9) + 0.0
     if isinstance(x, (list, tuple)):
         return tuple(plain(y) for y in x)
     return x if x is None or isinstance(x, (str, bool, int)) else str(x)
@@ -44,5 +44,5 @@ def test_oracle(name, spark, duck):
     got = rows(df.columns, [tuple(r) for r in df.collect()])
     assert len(got) == len(want)
     bad = [(g, w) for g, w in zip(got, want, strict=True) if g != w]
-    near = [(g, w) for g, w in bad if not all(a == b or isinstance(a, float) and isinstance(b, float) and abs(a - b) <= 2e-5 * max(1, abs(a)) for a, b in zip(g, w, strict=True))]
+    near = [(g, w) for g, w in bad if not all(a == b or isinstance(a, float) and isinstance(b, float) and abs(a - b) <= 1e-9 * max(1, abs(a)) for a, b in zip(g, w, strict=True))]
     assert not near, near[:3]
