@@ -92,6 +92,15 @@ def verified(response: pd.Series, truth: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=_VERIFIED.names)
 
 
+def step_score(response: Column, truth: Column) -> Column:
+    """(correct, format, answer): the boxed answer against the truth; in format is what has a second step and a box,
+    or is right."""
+    answer = A.boxed_or_spaced(response)
+    right = F.coalesce(A.answers_equal(answer, truth), F.lit(False))
+    form = F.contains(response, F.lit("Step 2:")) & F.contains(response, F.lit("\\box"))
+    return F.struct(right.alias("correct"), (right | F.coalesce(form, F.lit(False))).alias("format"), answer.alias("answer"))
+
+
 def coalesced(score: Column, passed: Column, correct: Column) -> Column:
     """The score, else 1 or 0 by passed, else by correct; not a number is null."""
     got = F.coalesce(score, passed.cast("int").cast("double"), correct.cast("int").cast("double"))

@@ -207,3 +207,13 @@ def response_mask(tokens: Column, eos: int) -> Column:
     """1 up to and with the first end token."""
     at = F.array_position(tokens, eos)
     return F.transform(tokens, lambda _, i: F.when((at == 0) | (i < at), 1).otherwise(0))
+
+
+def reverse_sums(df: DataFrame, value: str, group: str, order: str) -> DataFrame:
+    """``value`` summed from each row of a sequence to its end."""
+    return df.withColumn(value, F.sum(value).over(W.partitionBy(group).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, W.currentRow)))
+
+
+def whitened_returns(df: DataFrame, value: str, mask: Column) -> DataFrame:
+    """Token values whitened over the unmasked tokens of the batch; 0 on masked ones."""
+    return whiten(df, value, mask).withColumn(value, F.col(value) * mask)

@@ -229,3 +229,39 @@ def learning_rate(step: Column, kind: str, warmup: int, total: int, least: float
     else:
         raise ValueError(f"no schedule named {kind!r}")
     return F.when(step < warmup, up).otherwise(after)
+
+
+def sequence_weights(df: DataFrame, seq: str, low: float, high: float, weight: str = "weight") -> DataFrame:
+    """Over the sequences' mean weights of unmasked tokens: mean, deviation, extremes, the largest distance from 1
+    and the shares outside the bounds; sequences without such a token don't count."""
+    each = df.where("mask = 1").groupBy(seq).agg(F.avg(weight).alias("w"))
+    w = F.col("w")
+    return each.agg(F.avg(w).alias("seq_mean"), F.coalesce(F.stddev_samp(w), F.lit(0.0)).alias("seq_std"), F.max(w).alias("seq_max"), F.min(w).alias("seq_min"), F.max(F.abs(w - 1)).alias("seq_max_deviation"), F.avg((w > high).cast("double")).alias("seq_share_high"), F.avg((w < low).cast("double")).alias("seq_share_low"))
+
+
+def perplexities(df: DataFrame, seq: str, train: str, rollout: str) -> DataFrame:
+    """Means over sequences of both policies' perplexity and its logarithm, of their difference and ratio."""
+    each = df.where("mask = 1").groupBy(seq).agg((-F.avg(train)).alias("t"), (-F.avg(rollout)).alias("r"))
+    d = F.col("t") - F.col("r")
+    return each.agg(F.avg(F.exp("t")).alias("train_ppl"), F.avg("t").alias("train_log_ppl"), F.avg(F.exp("r")).alias("rollout_ppl"), F.avg("r").alias("rollout_log_ppl"), F.avg(d).alias("log_ppl_diff"), F.avg(F.abs(d)).alias("log_ppl_abs_diff"), F.max(d).alias("log_ppl_diff_max"), F.min(d).alias("log_ppl_diff_min"), F.avg(F.exp(d)).alias("ppl_ratio"))
+
+
+def detached_dpo(df: DataFrame, q: str, passed: str, group: str, beta: float = 0.05, best_of: str | None = None) -> DataFrame:
+    """Adds loss: -log sigmoid of a response's scaled score less the mean score of its group's other class (0
+    without one), with the sign of its own class. ``best_of`` names a column by whose rank in the group the loss
+    is weighted: n times the share of values at most this one, to the power n - 1."""
+    whole, own = W.partitionBy(group), F.coalesce(F.col(passed), F.lit(False))
+    other = F.when(own, F.avg(F.when(~own, F.col(q))).over(whole)).otherwise(F.avg(F.when(own, F.col(q))).over(whole))
+    h = beta * (F.col(q) - F.coalesce(other, F.lit(0.0))) * F.when(own, 1.0).otherwise(-1.0)
+    # log(1 + exp(-h)) without overflow
+    loss = F.log1p(F.exp(-F.abs(h))) + F.greatest(-h, F.lit(0.0))
+    if best_of is not None:
+        n = F.count("*").over(whole)
+        upto = F.count("*").over(whole.orderBy(best_of))
+        loss = loss * n * F.pow(upto / n, (n - 1).cast("double"))
+    return df.withColumn("loss", loss)
+
+
+def absolute_accuracy(df: DataFrame, score: str, truth: str, by: list[str]) -> DataFrame:
+    """Share of responses whose score has the sign of 2 * truth - 1."""
+    return df.groupBy(*by).agg(F.avg((F.signum(score) == F.signum(F.col(truth) * 2 - 1)).cast("double")).alias("accuracy"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from harrow.operators.select import ranked
+
 
 def accuracy_by_group(df: DataFrame, group: str = "group_id", passed: str = "passed") -> DataFrame:
     """(group, total, correct, accuracy) over rows with a group and a boolean."""
@@ -150,7 +152,7 @@ def group_mean_std(df: DataFrame, group: str, value: str, floor: float = 1e-6) -
 def factorize(df: DataFrame, label: str, name: str = "code") -> DataFrame:
     """Adds the place of each label among the distinct ones, from 0; whole numbers that are already labels stay
     apart from equal strings by their type. The distinct labels are numbered, not the rows."""
-    codes = df.select(label).distinct().withColumn(name, (F.row_number().over(W.orderBy(label)) - 1).cast("long"))
+    codes = ranked(df.select(label).distinct(), [label], name).withColumn(name, F.col(name) - 1)
     return df.join(codes, df[label].eqNullSafe(codes[label]), "left").drop(codes[label])
 
 
@@ -238,3 +240,101 @@ def merge_workers(parts: list[DataFrame], assigned: DataFrame, id: str = "group_
     both = assigned.select(id, F.lit(True).alias("wanted")).join(n, id, "full_outer")
     error = F.when(F.col("wanted").isNull(), "not assigned").when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "duplicate")
     return rows, both.withColumn("error", error).where("error is not null").select(id, "error")
+
+
+def response_counts(df: DataFrame, by: list[str], invalid: Column, failed: Column, most_length: int, length: str = "length") -> DataFrame:
+    """Responses, invalid ones, errors, those at the token limit and mean tokens for each value of ``by``; null is no."""
+    on = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    return df.groupBy(*by).agg(F.count("*").alias("samples"), on(invalid).alias("invalid"), on(failed).alias("errors"), on(F.col(length) >= most_length).alias("at_limit"), F.avg(length).alias("mean_tokens"))
+
+
+def require_even(df: DataFrame, group: str = "group_id") -> DataFrame:
+    """The rows as they are; groups of more than one size are an error."""
+    sizes = [r["n"] for r in uneven_groups(df, group).orderBy("n").limit(10).collect()]
+    if sizes:
+        raise ValueError(f"groups of {group} differ in size: {sizes}")
+    return df
+
+
+def bootstrap_votes(df: DataFrame, k: int, draws: int = 1000, seed: int = 42, group: str = "group_id", sample: str = "sample_id", vote: str = "pred", value: str = "passed") -> DataFrame:
+    """(group, majority, majority_std): mean and deviation of the majority's value over ``draws`` resamples of k
+    rows with replacement. Within a resample the first vote drawn wins a tie and gives the value. An index is
+    the head of an MD5 of seed, draw and position, the same in every group of one size."""
+    rows = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(sample).alias("s"), F.col(vote).alias("vote"), F.col(value).cast("double").alias("value")))).alias("v"))
+    head = lambda d, j: F.conv(F.left(F.md5(F.concat_ws("-", F.lit(str(seed)), d.cast("string"), j.cast("string"))), F.lit(7)), 16, 10).cast("long")
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.element_at("v", (head(F.col("draw"), j) % F.size("v") + 1).cast("int")))
+    counted = F.transform("drawn", lambda x, i: F.struct(F.size(F.filter("drawn", lambda y: y["vote"].eqNullSafe(x["vote"]))).alias("n"), (-i).alias("at"), x["value"].alias("value")))
+    each = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("drawn", drawn).withColumn("won", F.array_max(counted)["value"])
+    return each.groupBy(group).agg(F.avg("won").alias("majority"), F.stddev_pop("won").alias("majority_std"))
+
+
+def source_means(df: DataFrame, source: str, prompt: str, score: str) -> DataFrame:
+    """(source, prompts, score): the mean over a prompt's responses, then over a source's prompts."""
+    each = df.groupBy(source, prompt).agg(F.avg(score).alias("score"))
+    return each.groupBy(source).agg(F.count("*").alias("prompts"), F.avg("score").alias("score"))
+
+
+def flagged_histogram(df: DataFrame, value: str, chosen: Column, bins: int = 20) -> DataFrame:
+    """The histogram, and whether a bin holds rows that are ``chosen``."""
+    ends = df.agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    width = (F.col("__hi") - F.col("__lo")) / bins
+    at = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("__lo")) / width), F.lit(bins - 1))).otherwise(0).cast("long")
+    held = df.where(chosen).crossJoin(F.broadcast(ends)).select(at.alias("bin")).distinct().withColumn("holds_chosen", F.lit(True))
+    return histogram(df, value, bins).join(F.broadcast(held), "bin", "left").withColumn("holds_chosen", F.coalesce("holds_chosen", F.lit(False)))
+
+
+def stage_times(df: DataFrame, stage: str, seconds: str, tokens: str) -> DataFrame:
+    """(metric, value): timing_s/<stage>, and timing_per_token_ms/<stage> where the stage has tokens."""
+    each = df.groupBy(stage).agg(F.sum(seconds).alias("s"), F.sum(tokens).alias("t"))
+    both = F.array(F.struct(F.concat(F.lit("timing_s/"), stage).alias("metric"), F.col("s").alias("value")), F.struct(F.concat(F.lit("timing_per_token_ms/"), stage).alias("metric"), F.try_divide(F.col("s") * 1000, "t").alias("value")))
+    return each.select(F.explode(both).alias("m")).select("m.*").where("value is not null")
+
+
+def derived_metrics(rolled: DataFrame, by: list[str], devices: int, name: str = "metric", value: str = "value") -> DataFrame:
+    """Rolled-up metrics with three of them computed anew: the difference of sequence lengths, throughput and
+    idle ratio. The first two replace what stands there, so they need it; the ratio is added."""
+    of = lambda n: F.max(F.when(F.col(name) == n, F.col(value)))
+    spread, speed, idle = "global_seqlen/minmax_diff", "perf/throughput", "trainer/idle_ratio"
+    parts = rolled.groupBy(*by).agg(
+        F.when(of(spread).isNotNull(), of("global_seqlen/max") - of("global_seqlen/min")).alias("a"),
+        F.when(of(speed).isNotNull(), F.try_divide(of("perf/total_num_tokens"), of("perf/time_per_step") * devices)).alias("b"),
+        F.try_divide(of("timing_s/gen"), of("timing_s/step")).alias("c"),
+    )
+    new = parts.select(*by, F.explode(F.create_map(F.lit(spread), "a", F.lit(speed), "b", F.lit(idle), "c")).alias(name, value)).where(F.col(value).isNotNull())
+    return rolled.join(new.select(*by, name), [*by, name], "left_anti").select(*by, name, value).unionByName(new)
+
+
+def partial_statistics(df: DataFrame, start: str, end: str, by: list[str]) -> DataFrame:
+    """Samples that more than one version made: their number, share and longest span."""
+    span = F.abs(F.col(end) - F.col(start))
+    return df.groupBy(*by).agg(F.count_if(span > 0).alias("partial"), F.avg((span > 0).cast("double")).alias("partial_ratio"), F.max(span).alias("longest_span"))
+
+
+def coerced_label(label: Column, near: float = 1e-6) -> Column:
+    """A label as text: numbers, and text that is one, without decimals where they are near a whole number."""
+    x = label.try_cast("double")
+    whole = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 2.0**53) & (F.abs(x - F.round(x)) <= near)
+    return F.when(whole, F.round(x).cast("long").cast("string")).otherwise(F.trim(label.cast("string")))
+
+
+def decoder_flops(df: DataFrame, shape: dict[str, int], length: str = "length") -> DataFrame:
+    """Training FLOPs of a decoder with grouped queries and gated layers; ``shape`` names hidden, layers, heads,
+    kv_heads, head_dim, intermediate and vocabulary, and for experts also experts_per_token and routed."""
+    d, head = shape["hidden"], shape["head_dim"]
+    width = shape["heads"] * head
+    projections = d * (2 * width + 2 * shape["kv_heads"] * head)
+    layers = 3 * d * shape["intermediate"] * shape.get("experts_per_token", 1) + d * shape.get("routed", 0)
+    params = shape["layers"] * (projections + layers) + 2 * shape["vocabulary"] * d
+    tokens, squares = F.sum(length).cast("double"), F.sum((F.col(length) * F.col(length)).cast("double"))
+    return df.agg((6.0 * params * tokens + 12.0 * width * shape["layers"] * squares).alias("flops"), tokens.alias("tokens"))
+
+
+def canonical_json(*columns: str) -> Column:
+    """The columns as JSON with keys in order and nulls kept."""
+    return F.to_json(F.struct(*(F.col(c) for c in sorted(columns))), {"ignoreNullFields": "false"})
+
+
+def distinct_by_json(df: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """The first row by ``order`` of each canonical JSON of the columns."""
+    first = df.withColumn("__j", canonical_json(*columns)).groupBy("__j").agg(F.min_by(F.struct(*df.columns), order).alias("r"))
+    return first.select("r.*")

@@ -53,7 +53,8 @@ def differencing(costs: list[int], k: int, equal: bool) -> list[int]:
 
 
 def pack(df: DataFrame, k: int, batch: str, id: str, cost: str, method: str = "lpt") -> DataFrame:
-    """(batch, id, cost, shard): "lpt" takes the costliest first, "given" the rows by id, "count" loads bins by rows,
+    """(batch, id, cost, shard): "lpt" takes the costliest first, "given" the rows by id, "given_equal" so with as
+    many rows in each (their number must divide), "count" loads bins by rows,
     "kk" and "kk_equal" difference."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -62,6 +63,11 @@ def pack(df: DataFrame, k: int, batch: str, id: str, cost: str, method: str = "l
         heavy = sorted(range(len(costs)), key=lambda i: -costs[i])
         if method.startswith("kk"):
             shard = differencing(costs, k, method == "kk_equal")
+        elif method == "given_equal":
+            if len(costs) % k:
+                raise ValueError(f"{len(costs)} rows don't divide into {k} equal shards")
+            bias = sum(costs) + 1  # more than all costs, so that numbers of rows come first
+            shard = greedy([c + bias for c in costs], k, range(len(costs)))
         else:
             shard = greedy([1] * len(costs) if method == "count" else costs, k, range(len(costs)) if method == "given" else heavy)
         return rows.assign(shard=shard)[[batch, id, cost, "shard"]]
@@ -100,3 +106,15 @@ def round_robin(df: DataFrame, k: int, order: list[Column | str], batch: str) ->
 def machine_part(index: Column, part: int, size: int) -> Column:
     """Rows of machine ``part`` when each takes ``size`` consecutive ones."""
     return (index >= part * size) & (index < (part + 1) * size)
+
+
+def inverse_order(df: DataFrame, shard: str, id: str, batch: str) -> DataFrame:
+    """Adds place (from 0, shard by shard, by id within) and origin, the place of a row by id: what puts the
+    shards' joined results back in order."""
+    over = W.partitionBy(batch)
+    return df.withColumns({"place": (F.row_number().over(over.orderBy(shard, id)) - 1).cast("long"), "origin": (F.row_number().over(over.orderBy(id)) - 1).cast("long")})
+
+
+def rounded_count(n: Column, multiple: int, most: Column) -> Column:
+    """The number of micro-batches up to a multiple of the stages that share them, at most ``most``."""
+    return F.least(F.ceil(n / multiple) * multiple, most).cast("long")

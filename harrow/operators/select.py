@@ -155,3 +155,32 @@ def bounded_accuracy(df: DataFrame, low: float, high: float, share: float, group
     rows = df.withColumn("__ok", acc.between(low, high))
     n = df.count()
     return top(rows, int(n * share), [F.desc("__ok"), F.asc(group), F.asc(sample)]).drop("__ok")
+
+
+def untruncated_accuracy(df: DataFrame, low: float, high: float, most_length: int, share: float, group: str = "group_id", sample: str = "sample_id", length: str = "length") -> DataFrame:
+    """As :func:`bounded_accuracy`, but groups with a response of ``most_length`` - 1 tokens or more come last too."""
+    w = W.partitionBy(group)
+    ok = F.avg(F.col("passed").cast("double")).over(w).between(low, high) & (F.max(length).over(w) < most_length - 1)
+    return top(df.withColumn("__ok", ok), int(df.count() * share), [F.desc("__ok"), F.asc(group), F.asc(sample)]).drop("__ok")
+
+
+def accumulated_groups(df: DataFrame, need: int, most_batches: int, batch: str = "batch", group: str = "group_id", reward: str = "reward") -> DataFrame:
+    """Varied groups of as many batches, in order, as it takes to have ``need`` of them, the rest cut by group;
+    too few within ``most_batches`` (0: any number) are an error."""
+    varied = varied_groups(df, group, reward)
+    groups = varied.select(batch, group).distinct()
+    if most_batches:
+        groups = groups.join(top(df.select(batch).distinct(), most_batches, [F.asc(batch)]), batch, "left_semi")
+    taken = top(groups, need, [F.asc(batch), F.asc(group)])
+    if taken.count() < need:
+        raise ValueError(f"fewer than {need} groups with different rewards")
+    return varied.join(taken, [batch, group], "left_semi")
+
+
+def same_ids(a: DataFrame, b: DataFrame, id: str = "group_id") -> DataFrame:
+    """The rows of ``a`` as they are; ids that only one side has are an error."""
+    off = a.select(id).distinct().withColumn("__a", F.lit(True)).join(b.select(id).distinct().withColumn("__b", F.lit(True)), id, "full_outer").where("__a is null or __b is null")
+    some = [r[id] for r in off.orderBy(id).limit(10).collect()]
+    if some:
+        raise ValueError(f"ids of {id} differ: {some}")
+    return a

@@ -240,3 +240,76 @@ def unpadded(tokens: Column, mask: Column) -> Column:
 def place(values: Column, valid: Column, length: int) -> Column:
     """The first min(len, valid) values, then -1."""
     return F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: F.when((i <= valid) & (i <= F.size(values)), F.try_element_at(values, i)).otherwise(-1.0))
+
+
+# ---- batches and records --------------------------------------------------------------------------
+
+
+def comma_answers(values: Column) -> Column:
+    """Several numeric answers as one text, whole ones without decimals."""
+    return F.array_join(F.transform(values, integer_text), ",")
+
+
+def rows_at(df: DataFrame, index: str, places: list[int]) -> DataFrame:
+    """The rows at given places, in that order and as often as they are named; adds at. Places from the end are negative."""
+    n = df.count() if any(p < 0 for p in places) else 0
+    wanted = df.sparkSession.createDataFrame([(i, p + n if p < 0 else p) for i, p in enumerate(places)], f"at long, {index} long")
+    return df.join(F.broadcast(wanted), index)
+
+
+def rows_where(df: DataFrame, mask: DataFrame, index: str, flag: str) -> DataFrame:
+    """The rows whose flag in a table of (index, flag) is true."""
+    return df.join(mask.where(F.col(flag)).select(index), index, "left_semi")
+
+
+def pad_with_end(df: DataFrame, divisor: int, index: str, last: bool = True) -> DataFrame:
+    """The last (or first) row again until the size divides; adds at (the place) and pad."""
+    n = df.count()
+    more = -n % divisor
+    rows = df.withColumns({"at": F.col(index), "pad": F.lit(False)})
+    if not n or not more:
+        return rows
+    end = df.where(F.col(index) == (n - 1 if last else 0)).withColumn("at", F.explode(F.sequence(F.lit(n).cast("long"), F.lit(n + more - 1).cast("long"))))
+    return rows.unionByName(end.withColumn("pad", F.lit(True)))
+
+
+def agreed(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """One value per column and group of parts; parts that differ are an error, nulls count as a value."""
+    one = lambda c: F.when(F.size(F.collect_set(F.struct(c))) > 1, F.raise_error(F.lit(f"parts differ in {c}"))).otherwise(F.any_value(c)).alias(c)
+    return df.groupBy(*by).agg(*(one(c) for c in columns))
+
+
+def append_kept(rows: DataFrame, more: DataFrame, keep: Column) -> DataFrame:
+    """The rows and those of a generated batch that pass."""
+    return rows.unionByName(more.where(keep).select(*rows.columns))
+
+
+def flat(df: DataFrame, sep: str = "/") -> DataFrame:
+    """Fields of nested structs as columns named by their path."""
+    from pyspark.sql import types as T
+
+    def leaves(schema: T.StructType, path: tuple[str, ...]) -> list[tuple[str, ...]]:
+        return [p for f in schema.fields for p in (leaves(f.dataType, (*path, f.name)) if isinstance(f.dataType, T.StructType) else [(*path, f.name)])]
+
+    return df.select(*(F.col(".".join(f"`{x}`" for x in p)).alias(sep.join(p)) for p in leaves(df.schema, ())))
+
+
+def preference_input(prompt: Column, chosen: Column, rejected: Column, eos: int, length: int) -> Column:
+    """(input_ids, attention_mask) of both responses after the prompt, chosen first: an end token each, zeros up
+    to ``length``, cut there."""
+    ids = [F.slice(F.concat(prompt, r, F.array(F.lit(eos))), 1, length) for r in (chosen, rejected)]
+    return F.struct(F.array(*(pad(i, length, F.lit(0)) for i in ids)).alias("input_ids"), F.array(*(pad(F.transform(i, lambda _: F.lit(1)), length, F.lit(0)) for i in ids)).alias("attention_mask"))
+
+
+def counting_task(id: Column, seed: int, least: int = 3, most: int = 10, alphabet: str = "abcdefghijklmnopqrstuvwxyz", train: float = 0.9) -> Column:
+    """(word, letter, problem, reasoning, answer, split) of a counting task made from an id: hashed letters, and a letter to count."""
+    h = lambda part, n: (F.conv(F.left(F.md5(F.concat_ws("-", F.lit(str(seed)), id.cast("string"), part)), F.lit(7)), 16, 10).cast("long") % n).cast("int")
+    letter_at = lambda i: F.substr(F.lit(alphabet), h(F.concat(F.lit("c"), i.cast("string")), len(alphabet)) + 1, F.lit(1))
+    letters = F.transform(F.sequence(F.lit(1), h(F.lit("n"), most - least + 1) + least), letter_at)
+    letter = F.element_at(letters, h(F.lit("t"), F.size(letters)) + 1)
+    upto = lambda i: F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda y: y == letter)).cast("string")
+    lines = F.transform(letters, lambda x, i: F.concat(x, F.when(x == letter, F.lit(" = ")).otherwise(F.lit(" != ")), letter, F.lit(": "), upto(i)))
+    count = F.size(F.filter(letters, lambda y: y == letter))
+    part = F.when(h(F.lit("s"), 1000) < int(train * 1000), "train").otherwise("test")
+    ask = F.concat(F.lit("How often does "), letter, F.lit(" occur in "), F.array_join(letters, ""), F.lit("?"))
+    return F.struct(F.array_join(letters, "").alias("word"), letter.alias("letter"), ask.alias("problem"), F.concat(F.array_join(lines, "\n"), F.lit("\n\\boxed{"), count.cast("string"), F.lit("}")).alias("reasoning"), count.alias("answer"), part.alias("split"))

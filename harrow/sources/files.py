@@ -11,6 +11,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +31,23 @@ def read_lines(spark: SparkSession, path: str | list[str], schema: T.StructType,
     return rows.select(*(F.col(f"__row.{c}").alias(c) for c in schema.names))
 
 
+def bad_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """(file, line, value) of the rows that aren't JSON of the schema, lines from 1 in each file; a byte order
+    mark before the first one is passed over. Lines are numbered within the blocks of a file, and the lines of
+    the blocks before are added, so no task numbers a whole file."""
+    wide = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
+    m, block = F.col("_metadata"), ["file", "block"]
+    rows = spark.read.text(path).select("value", m["file_path"].alias("file"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"))
+    # a block's lines are in one partition, where these ids ascend by one
+    sizes = rows.groupBy(*block).agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    text = F.regexp_replace("value", "^\ufeff", "")
+    parsed = F.from_json(text, wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD})
+    bad = F.when(F.trim(text) != "", parsed[_BAD].isNotNull() | ~F.trim(text).startswith("{")).otherwise(False)
+    starts = sizes.select(*block, (before - F.col("first") + 1).alias("shift"))
+    return rows.where(bad).join(starts, block).select("file", (F.col("at") + F.col("shift")).alias("line"), "value")
+
+
 def read_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A file that holds one JSON list of objects."""
     return spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
@@ -94,6 +112,23 @@ def resume(rows: DataFrame, path: str, id: str, schema: T.StructType) -> DataFra
     return rows.join(read_lines(spark, path, schema).select(id).distinct(), id, "left_anti") if _exists(spark, path) else rows
 
 
+def resume_strict(rows: DataFrame, done: DataFrame, id: str, signature: str, want: str) -> DataFrame:
+    """Rows whose id is not done; done rows of another signature, or done twice, are errors."""
+    n = done.groupBy(id).agg(F.count("*").alias("n"), F.count_if(~F.col(signature).eqNullSafe(F.lit(want))).alias("other"))
+    wrong = n.where("n > 1 or other > 0").orderBy(id).limit(10).collect()
+    if wrong:
+        raise ValueError("; ".join(f"{r[id]}: {'another signature' if r['other'] else 'twice'}" for r in wrong))
+    return rows.join(n.select(id), id, "left_anti")
+
+
+def result_summaries(spark: SparkSession, root: str) -> DataFrame:
+    """(selection, experiment, checkpoint_step, overall, summary_path) of complete summaries of a results folder,
+    in that order; files that aren't JSON are passed over."""
+    schema = "status string, selection string, experiment string, checkpoint_step long, overall string"
+    files = spark.read.text(f"{root}/*/*/global_step_*/*/summary.json", wholetext=True).select(F.from_json("value", schema).alias("r"), F.col("_metadata.file_path").alias("summary_path"))
+    return files.where("r.status = 'complete'").select("r.selection", "r.experiment", "r.checkpoint_step", "r.overall", "summary_path").orderBy("selection", "experiment", F.coalesce("checkpoint_step", F.lit(-1)), "summary_path")
+
+
 def dump_steps(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("step").json(path)
 
