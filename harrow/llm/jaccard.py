@@ -16,8 +16,8 @@ then compared exactly. One text of each set is shingled; a component of one chun
 yields each set's number of links and a spanning forest of the true links, whose components are the classes. In a
 larger component each set is written as its differences from the component's root, which is a small
 part of it among near copies, and the chunks of differences are compared in pairs. A set of a component of c chunks so
-is sent c times as differences, never as a whole; where only the classes are asked for and every set is
-linked to the root, nothing is compared further. The number of links of a set is a count over all its pairs, so its cost grows with the
+is sent c times as differences, never as a whole; where only the classes are asked for, sets linked to the root
+are compared only with those that aren't. The number of links of a set is a count over all its pairs, so its cost grows with the
 square of a component of different texts. Copies of a set are one point throughout; their number comes back as a weight.
 
 Defined results: a null text, or one without words, has no shingles: it is a class of its own with no
@@ -51,11 +51,14 @@ _PLACE = _RNG.integers(1, 1 << 63, 1024, dtype=np.uint64) | np.uint64(1)
 _WORD = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _MUL = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
 _WHITE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
-def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of each text as sorted 64-bit numbers, and the n + 1 offsets."""
+def shingles(texts: pa.Array, words: int = WORDS, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text as sorted 64-bit numbers, and the n + 1 offsets; ``fold`` lower-cases A to Z."""
     raw, ends = common.utf8(texts)
+    raw = _LOWER[raw] if fold else raw
     ink = ~_WHITE[raw]
     begins = ink.copy()
     begins[1:] &= ~ink[:-1]
@@ -82,11 +85,11 @@ def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts]))
 
 
-def _points(docs: DataFrame, words: int) -> DataFrame:
+def _points(docs: DataFrame, words: int, fold: bool) -> DataFrame:
     """(id, rk, set, n, sketch) of each document; set is null without shingles. rk names the id and the text."""
 
     def run(rows: pa.Table) -> pa.Table:
-        x, at = shingles(common.column(rows, "text"), words)
+        x, at = shingles(common.column(rows, "text"), words, fold)
         n = np.diff(at)
         some = np.flatnonzero(n)
         sets, sketches = np.empty(len(n), object), np.empty(len(n), object)
@@ -103,7 +106,7 @@ def _points(docs: DataFrame, words: int) -> DataFrame:
     return common.arrow_pass(docs.select("id", "rk", "text"), run, f"id {kind}, rk binary, set binary, n long, sketch binary")
 
 
-def _sorted_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table, list[tuple[int, int]]], pa.Table], schema: str) -> DataFrame:
+def sorted_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table, list[tuple[int, int]]], pa.Table], schema: str) -> DataFrame:
     """``fn`` gets whole groups, many at a time: a table sorted by ``keys`` and the groups' row ranges.
     Groups must be bounded; many small ones share a batch, so that none costs a call."""
     common.bound_batches(df.sparkSession)
@@ -144,7 +147,7 @@ def _with_last(items: Iterator) -> Iterator[tuple[bool, object]]:
         yield True, before
 
 
-def _forest(linked: Callable[[int, np.ndarray], np.ndarray], n: int) -> np.ndarray:
+def forest(linked: Callable[[int, np.ndarray], np.ndarray], n: int) -> np.ndarray:
     """The first point of each point's component; ``linked(i, of)`` says to which of the points ``of`` i is
     linked. Only points that have no component yet are asked for, so a close group costs about one look at each."""
     root, left = np.full(n, -1), np.arange(n)
@@ -160,14 +163,14 @@ def _forest(linked: Callable[[int, np.ndarray], np.ndarray], n: int) -> np.ndarr
     return root
 
 
-def _edges(keys: list[bytes], root: np.ndarray) -> list[tuple[bytes, bytes]]:
+def forest_edges(keys: list[bytes], root: np.ndarray) -> list[tuple[bytes, bytes]]:
     return [(keys[r], keys[i]) for i, r in enumerate(root.tolist()) if r != i]
 
 
-_PAIR = "u binary, v binary"
+PAIR = "u binary, v binary"
 
 
-def _pair_table(pairs: list[tuple[bytes, bytes]]) -> pa.Table:
+def pair_table(pairs: list[tuple[bytes, bytes]]) -> pa.Table:
     return pa.table({"u": pa.array([p[0] for p in pairs], pa.binary()), "v": pa.array([p[1] for p in pairs], pa.binary())})
 
 
@@ -180,8 +183,8 @@ def _likely(rows: pa.Table, groups: list[tuple[int, int]], least: float) -> pa.T
     pairs = []
     for a, b in groups:
         own = sketch[a:b]
-        pairs += _edges(keys[a:b], _forest(lambda i, of, s=own: (s[of] == s[i]).mean(axis=1) >= least, b - a))
-    return _pair_table(pairs)
+        pairs += forest_edges(keys[a:b], forest(lambda i, of, s=own: (s[of] == s[i]).mean(axis=1) >= least, b - a))
+    return pair_table(pairs)
 
 
 def _children(points: DataFrame, level: int, threshold: float, roots: list[int] | None) -> DataFrame:
@@ -241,7 +244,7 @@ def likely_pairs(points: DataFrame, threshold: float = THRESHOLD, runs: int = RU
             nodes = nodes.unionByName(_children(crowded.join(sketches, "set"), 2, threshold, list(range(runs + 1, runs_at(depth, runs, threshold) + 1))))
             size = common.cut(nodes.groupBy("path").agg(F.count("*").alias("size"), pivot).where("size > 1"))
         few = nodes.join(size.where(F.col("size") <= small), "path").join(sketches, "set").select("path", "set", "sketch")
-        pairs = _sorted_groups(few, ["path"], lambda rows, groups: _likely(rows, groups, least), _PAIR)
+        pairs = sorted_groups(few, ["path"], lambda rows, groups: _likely(rows, groups, least), PAIR)
         found = pairs if found is None else found.unionByName(pairs)
         large = size.where(F.col("size") > small)
         if large.isEmpty():
@@ -258,7 +261,7 @@ def likely_pairs(points: DataFrame, threshold: float = THRESHOLD, runs: int = RU
     chunk = chunk.withColumn("chunks", F.ceil(F.col("size") / half)).withColumn("mine", F.pmod(F.xxhash64("set"), F.col("chunks")))
     each = chunk.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     each = each.select("path", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "set").join(sketches, "set")
-    return found.unionByName(_sorted_groups(each, ["path", "i", "j"], lambda rows, groups: _likely(rows, groups, least), _PAIR))
+    return found.unionByName(sorted_groups(each, ["path", "i", "j"], lambda rows, groups: _likely(rows, groups, least), PAIR))
 
 
 def _near_pivots(nodes: DataFrame, large: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
@@ -298,10 +301,10 @@ def _shrunk(pairs: DataFrame) -> DataFrame:
                     up[max(a, b)] = min(a, b)
         stars = [(r, x) for x in up if (r := top(x)) != x]
         for i in range(0, len(stars), 65536):
-            yield from _pair_table(stars[i : i + 65536]).to_batches()
+            yield from pair_table(stars[i : i + 65536]).to_batches()
 
     common.bound_batches(pairs.sparkSession)
-    return pairs.select("u", "v").mapInArrow(run, _PAIR)
+    return pairs.select("u", "v").mapInArrow(run, PAIR)
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -368,7 +371,7 @@ def _exact(rows: pa.Table, groups: list[tuple[int, int]], threshold: float) -> l
             linked &= mine[a:b, None] != mine[None, a:b]
         links = np.concatenate([linked[lo : lo + 128] @ copies[a:b].astype(np.float64) for lo in range(0, n, 128)])
         out += [(keys[a + i], int(x), None) for i, x in enumerate(links.tolist()) if x]
-        out += [(r, 0, v) for r, v in _edges(keys[a:b], _forest(lambda i, of, l=linked: l[i, of], n))]
+        out += [(r, 0, v) for r, v in forest_edges(keys[a:b], forest(lambda i, of, l=linked: l[i, of], n))]
     return out
 
 
@@ -403,11 +406,11 @@ def _compared(rows: pa.Table, groups: list[tuple[int, int]], threshold: float) -
     return _found(out)
 
 
-def _shingled(docs: DataFrame, words: int) -> DataFrame:
+def _shingled(docs: DataFrame, words: int, fold: bool) -> DataFrame:
     """``docs`` with shingles for their text."""
 
     def run(rows: pa.Table) -> pa.Table:
-        x, at = shingles(common.column(rows, "text"), words)
+        x, at = shingles(common.column(rows, "text"), words, fold)
         blobs = [x[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         return rows.drop_columns(["text"]).append_column("shingles", pa.array(blobs, pa.binary()))
 
@@ -419,14 +422,18 @@ def _row_key(id: Column, text: Column) -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(id.cast("string"), F.lit("none")).cast("binary"), F.lit(b"|"), F.unhex(F.md5(F.coalesce(text, F.lit("")))))))
 
 
-def _named(docs: DataFrame, id: str, text: str) -> DataFrame:
+def named_rows(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.select(F.col(id).alias("id"), F.col(text).alias("text"), _row_key(F.col(id), F.col(text)).alias("rk"))
 
 
 def _grid(rows: DataFrame, sums: DataFrame, total: int) -> DataFrame:
-    """``rows`` of components dealt to pairs of chunks (root, i, j); ``sums`` has root, sets and chunks."""
-    each = common.hot_join(rows, sums, "root", "sets", total).withColumn("mine", F.pmod(F.xxhash64("set"), F.col("chunks")))
-    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    """``rows`` of components dealt to pairs of chunks (root, i, j); ``sums`` has root, sets, chunks and settled: what is near
+    the root fills the first ``settled`` chunks, which aren't compared with each other."""
+    each = common.hot_join(rows, sums, "root", "sets", total)
+    first = F.col("near") & (F.col("settled") > 0)
+    mine = F.when(first, F.pmod(F.xxhash64("set"), F.col("settled"))).otherwise(F.col("settled") + F.pmod(F.xxhash64("set"), F.col("chunks") - F.col("settled")))
+    begin = F.when(first, F.col("settled")).otherwise(F.lit(0).cast("long"))
+    each = each.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(begin, F.col("chunks") - 1)))
     return each.select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "set", "n", "copies", "offset", "shingles")
 
 
@@ -434,13 +441,13 @@ def _chunks(tokens: Column, sets: Column, most_tokens: int, most_sets: int) -> C
     return F.greatest(F.ceil(tokens / most_tokens), F.ceil(sets / most_sets), F.lit(1)).cast("long")
 
 
-def _classes(docs: DataFrame, words: int, threshold: float, links: bool, **how) -> tuple[DataFrame, DataFrame, int]:
-    """(id, rk, set) of each document; (set, class, first, links, copies) of each set: the class's least
+def classes_of(docs: DataFrame, words: int, threshold: float, links: bool, fold: bool = False, pairs: Callable[..., DataFrame] = likely_pairs, **how) -> tuple[DataFrame, DataFrame, int]:
+    """(id, rk, set, n) of each document; (set, class, first, links, copies) of each set: the class's least
     (id, rk), a set's links to other sets (if asked for), and its own copies; the number of documents."""
-    points = common.cut(_points(docs, words))
+    points = common.cut(_points(docs, words, fold))
     order = F.struct(F.col("id").isNull().alias("null"), "id", "rk")
     sets = common.cut(points.where("set is not null").groupBy("set").agg(F.count("*").alias("copies"), F.min(order).alias("first"), F.max("n").alias("n"), F.max("sketch").alias("sketch")))
-    near = common.cut(components(likely_pairs(sets, threshold, **how)).withColumnRenamed("v", "set").join(sets.select("set", "n", "copies", F.col("first.rk").alias("rk")), "set"))
+    near = common.cut(components(pairs(sets, threshold, **how)).withColumnRenamed("v", "set").join(sets.select("set", "n", "copies", F.col("first.rk").alias("rk")), "set"))
     size = near.groupBy("root").agg(F.sum("n").alias("shingles"), F.count("*").alias("sets"))
     size = common.cut(size.withColumn("chunks", _chunks(F.col("shingles"), F.col("sets"), CHUNK_SHINGLES, CHUNK_SETS)))
     members = common.hot_join(near, size, "root", "sets", near.count())
@@ -448,24 +455,32 @@ def _classes(docs: DataFrame, words: int, threshold: float, links: bool, **how)
     texts = docs.select("rk", "text").join(members, "rk").dropDuplicates(["rk"])
     part = F.pmod(F.xxhash64("set"), F.col("chunks"))
     parts = F.when(F.col("set") == F.col("root"), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(part))
-    whole = _shingled(texts.select("set", "root", "n", "copies", "chunks", "text"), words).withColumn("part", F.explode(parts))
+    whole = _shingled(texts.select("set", "root", "n", "copies", "chunks", "text"), words, fold).withColumn("part", F.explode(parts))
     whole = whole.withColumns({"again": F.col("part") != part, "mine": F.lit(0), "offset": F.lit(0.0)})
-    exact = common.cut(_sorted_groups(whole, ["root", "part"], lambda rows, groups: _compared(rows, groups, threshold), _FOUND))
+    exact = common.cut(sorted_groups(whole, ["root", "part"], lambda rows, groups: _compared(rows, groups, threshold), _FOUND))
     count = exact.where("u is not null and v is null").select(F.col("u").alias("set"), "links")
     label = exact.where("v is not null").select(F.col("v").alias("set"), F.col("u").alias("root"))
     apart = exact.where("shingles is not null").select("root", "set", "n", "copies", "offset", "near", "shingles")
     if not apart.isEmpty():
-        tokens = F.sum(F.octet_length("shingles")) / 8
-        sums = apart.groupBy("root").agg(F.count("*").alias("sets"), F.bool_and("near").alias("near"), tokens.alias("tokens"))
-        sums = common.cut(sums.withColumn("chunks", _chunks(F.col("tokens"), F.col("sets"), CHUNK_DIFFERENCES, CHUNK_SHORT)))
+        tokens = F.octet_length("shingles") / 8
+        near = F.col("near")
+        sums = apart.groupBy("root").agg(F.count("*").alias("sets"), F.bool_and("near").alias("near"), F.sum(tokens).alias("tokens"), F.count_if(near).alias("sets_near"), F.sum(F.when(near, tokens).otherwise(0)).alias("tokens_near"))
+        if links:
+            sums = sums.withColumn("chunks", _chunks(F.col("tokens"), F.col("sets"), CHUNK_DIFFERENCES, CHUNK_SHORT)).withColumn("settled", F.lit(0).cast("long"))
+        else:
+            settled = _chunks(F.col("tokens_near"), F.col("sets_near"), CHUNK_DIFFERENCES, CHUNK_SHORT)
+            rest = _chunks(F.col("tokens") - F.col("tokens_near"), F.col("sets") - F.col("sets_near"), CHUNK_DIFFERENCES, CHUNK_SHORT)
+            sums = sums.withColumn("settled", settled).withColumn("chunks", settled + rest)
+        sums = common.cut(sums.drop("tokens", "sets_near", "tokens_near"))
         # where every set is linked to the root, the class is known
         open = sums if links else sums.where("not near")
-        some = _sorted_groups(_grid(apart.drop("near"), open.select("root", "sets", "chunks"), apart.count()), ["root", "i", "j"], lambda rows, groups: _found([(*x, *[None] * 7) for x in _exact(rows, groups, threshold)]), _FOUND)
+        some = sorted_groups(_grid(apart, open.select("root", "sets", "chunks", "settled"), apart.count()), ["root", "i", "j"], lambda rows, groups: _found([(*x, *[None] * 7) for x in _exact(rows, groups, threshold)]), _FOUND)
         some = common.cut(some.select("u", "links", "v"))
         count = count.unionByName(some.where("v is null").groupBy(F.col("u").alias("set")).agg(F.sum("links").alias("links")))
-        stars = components(some.where("v is not null").select("u", "v")).where("v <> root").select(F.col("v").alias("set"), "root")
+        found = some.where("v is not null").select("u", "v")
         if not links:
-            stars = stars.unionByName(apart.join(sums.where("near").select(F.col("root").alias("r")), F.col("root") == F.col("r"), "left_semi").where("set <> root").select("set", "root"))
+            found = found.unionByName(apart.where("near and set <> root").select(F.col("root").alias("u"), F.col("set").alias("v")))
+        stars = components(found).where("v <> root").select(F.col("v").alias("set"), "root")
         label = label.unionByName(stars)
     label = common.cut(label)
     own = sets.select("set", "copies", "first")
@@ -475,13 +490,13 @@ def _classes(docs: DataFrame, words: int, threshold: float, links: bool, **how)
     classes = own.join(named, "set", "left").withColumn("class", F.coalesce("class", "first"))
     if links:
         classes = classes.join(count, "set", "left")
-    return points.select("id", "rk", "set"), common.cut(classes), points.count()
+    return points.select("id", "rk", "set", "n"), common.cut(classes), points.count()
 
 
 def join_near(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, **how) -> DataFrame:
     """One row per document: id, class_id (the least id it is linked to, over links of links), n_links
     (other documents at least ``threshold`` similar to it)."""
-    points, classes, total = _classes(_named(docs, id, text), words, threshold, True, **how)
+    points, classes, total = classes_of(named_rows(docs, id, text), words, threshold, True, **how)
     got = common.hot_join(points.where("set is not null"), classes, "set", "copies", total)
     got = got.select("id", F.col("class.id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
     alone = points.where("set is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
@@ -492,7 +507,7 @@ def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", words: i
     """The rows of ``docs`` without those that are near copies of an earlier one: of each class the
     document with the least id stays; of rows with that id and text, one. Texts without shingles all stay,
     equal rows of them once."""
-    points, classes, _ = _classes(_named(docs, id, text), words, threshold, False, **how)
+    points, classes, _ = classes_of(named_rows(docs, id, text), words, threshold, False, **how)
     kept = classes.where("class.rk = first.rk").select(F.col("first.rk").alias("rk"))
     kept = common.cut(kept.unionByName(points.where("set is null").select("rk").distinct()))
     row = "__row_key"

@@ -36,4 +36,26 @@ OP10 = f"""WITH dw AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents)
   its AS (SELECT doc_id, count(DISTINCT item) AS m, array_to_string(list_sort(list(DISTINCT item)), ',') AS s FROM hit GROUP BY 1)
   SELECT doc_id, len(w) AS n_words, coalesce(k, 0) AS n_hit, coalesce(m, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(k, 0) > 0 AS contaminated FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)"""
 
-SQL = {"op4_jaccard_join": OP4, "op5_suffix_dedup": OP5, "op8_warc": OP8, "op10_decontamination": OP10}
+OP12 = f"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+  s AS MATERIALIZED (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 2], ' ')) AS s FROM w, LATERAL (SELECT unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i) WHERE len(w) > 0),
+  n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+  pairs AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+  links AS MATERIALIZED (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+  edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+  reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
+  class AS (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY 1)
+  SELECT doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, doc_id = c AS kept FROM class LEFT JOIN n USING (doc_id)"""
+
+OP13 = r"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '""" + _UP + "', '" + _LOW + r"""'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+  g AS (SELECT DISTINCT lang, source FROM d), t AS MATERIALIZED (SELECT k, lang, source, unnest(w) AS item FROM d),
+  kept AS MATERIALIZED (SELECT lang, item FROM t GROUP BY 1, 2 HAVING count(DISTINCT k) >= 30), v AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+  c AS (SELECT lang, source, item, count(*) AS n FROM t SEMI JOIN kept USING (lang, item) GROUP BY 1, 2, 3),
+  f AS MATERIALIZED (SELECT g.lang, g.source, kept.item, coalesce(n, 0) AS n FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, item)),
+  p AS MATERIALIZED (SELECT *, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p,
+    1 + (1000000000::HUGEINT * (sum(n) OVER (PARTITION BY lang, item) + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q FROM f JOIN v USING (lang)),
+  s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS x FROM p a JOIN p b ON a.lang = b.lang AND a.item = b.item AND a.source <> b.source GROUP BY 1, 2, 3),
+  r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+    UNION ALL SELECT lang, source, 'term', item, p - q FROM p WHERE n > 0 AND p > q)
+  SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM r QUALIFY part = 'pair' OR rank <= 50"""
+
+SQL = {"op4_jaccard_join": OP4, "op5_suffix_dedup": OP5, "op8_warc": OP8, "op10_decontamination": OP10, "op12_near_dedup": OP12, "op13_divergence": OP13}

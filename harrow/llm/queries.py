@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and the pipeline: each applies its operator to its whole table."""
+"""The queries op1 to op13 and the pipeline: each applies its operator to its whole table."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontam, jaccard, mixing, oracles, pii, quality, secrets, suffix, tokens, urls, warc
+from . import common, decontam, divergence, hamming, jaccard, mixing, oracles, pii, quality, secrets, suffix, tokens, urls, warc, whitening
 
 
 def vocabulary(name: str) -> str:
@@ -60,8 +60,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_items(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(common.table(spark, sf_dir, "embeddings"))
+
+
+def op12_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.link(common.table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(common.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_pii, op3_fertility, op4_jaccard_join, op5_suffix_dedup, op6_token_counts, op7_url_rules, op8_warc, op9_secrets, op10_decontamination)}
+    return {f.__name__: f for f in (op1_mixing, op2_pii, op3_fertility, op4_jaccard_join, op5_suffix_dedup, op6_token_counts, op7_url_rules, op8_warc, op9_secrets, op10_decontamination, op11_whitening, op12_near_dedup, op13_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
