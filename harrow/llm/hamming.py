@@ -71,8 +71,10 @@ def _forests(rows: pa.Table, groups: list[tuple[int, int]], distance: int) -> pa
     keys, sketch = common.column(rows, "set").to_pylist(), _signatures(rows)
     edges = []
     for a, b in groups:
-        own = sketch[a:b]
-        edges += jaccard.forest_edges(keys[a:b], jaccard.forest(lambda i, of, s=own: _near(s, i, of, distance), b - a))
+        # by their keys, so that buckets of the same points have the same edges
+        order = sorted(range(a, b), key=keys.__getitem__)
+        own = sketch[order]
+        edges += jaccard.forest_edges([keys[i] for i in order], jaccard.forest(lambda i, of, s=own: _near(s, i, of, distance), b - a))
     return jaccard.pair_table(edges)
 
 
@@ -103,9 +105,9 @@ def near_pairs(points: DataFrame, threshold: float = THRESHOLD, small: int = SMA
     distance = 2 * CHUNKS - 1
     nodes = _filed(points)
     sketches = points.select("set", "sketch")
-    size = common.cut(nodes.groupBy("path").agg(F.count("*").alias("size"), F.min("set").alias("pivot")).where("size > 1"))
+    size = common.cut(nodes.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"))
     few = nodes.join(size.where(F.col("size") <= small).select("path"), "path").join(sketches, "set").select("path", "set", "sketch")
-    found = jaccard.sorted_groups(few, ["path"], lambda rows, groups: _forests(rows, groups, distance), jaccard.PAIR)
+    found = jaccard.sorted_groups(few, ["path"], lambda rows, groups: _forests(rows, groups, distance), jaccard.PAIR).distinct()
     large = size.where(F.col("size") > small)
     if large.isEmpty():
         return found
@@ -113,10 +115,11 @@ def near_pairs(points: DataFrame, threshold: float = THRESHOLD, small: int = SMA
     total = large.agg(F.sum("size").alias("n")).first()["n"]
     crowd = common.cut(common.hot_join(nodes, large.withColumn("chunks", chunks), "path", "size", total).withColumn("i", F.pmod(F.xxhash64("set"), F.col("chunks"))))
     # the first point goes to every chunk
-    pivots = large.select("path", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("i"), F.col("pivot").alias("set"))
-    local = crowd.where("set <> pivot").select("path", "i", "set").unionByName(pivots).join(sketches, "set")
+    pivots = crowd.groupBy("path", "chunks").agg(F.min("set").alias("set"))
+    pivots = pivots.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("i"), "set")
+    local = crowd.select("path", "i", "set").unionByName(pivots).distinct().join(sketches, "set")
     local = jaccard.sorted_groups(local, ["path", "i"], lambda rows, groups: _forests(rows, groups, distance), jaccard.PAIR)
-    found = common.cut(found.unionByName(local))
+    found = common.cut(found.unionByName(local).distinct())
     roots = jaccard.components(found).withColumnRenamed("v", "set")
     crowd = crowd.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
     crowd = common.cut(crowd.select("path", "size", "chunks", "i", "set", "root"))
