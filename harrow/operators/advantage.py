@@ -9,9 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
+
+from harrow.operators.scan import CHUNK, affine_scan, compose, longest
 
 EPS = 1e-6
 ESTIMATORS: dict[str, Callable[..., DataFrame]] = {}
@@ -118,12 +123,15 @@ def whiten(df: DataFrame, value: str, weight: Column, shift_mean: bool = True) -
     """``value`` whitened over all rows, each counted ``weight`` times (its unmasked tokens). Mean with
     1e-8 in its divisor, variance by Bessel over the weights, 1e-8 under the root."""
     x, w = F.col(value), weight
-    stats = df.agg((F.sum(x * w) / (F.sum(w) + 1e-8)).alias("__m"), F.sum(w).alias("__n"), F.sum(x * x * w).alias("__s"), F.sum(x * w).alias("__t"))
+    means = df.agg((F.sum(x * w) / (F.sum(w) + 1e-8)).alias("__m"))
+    own = df.crossJoin(F.broadcast(means))
     mean, n = F.col("__m"), F.col("__n")
-    variance = (F.col("__s") - 2 * mean * F.col("__t") + mean * mean * n) / (n + 1e-8)
+    # deviations are squared, not values: no digits cancel where the mean is large
+    spread = own.agg(F.sum(w).alias("__n"), (F.sum((x - mean) * (x - mean) * w) / (F.sum(w) + 1e-8)).alias("__v"))
+    variance = F.col("__v")
     bessel = F.when(n > 1, variance * n / (n - 1)).otherwise(variance)
     scaled = (x - mean) / F.sqrt(bessel + 1e-8)
-    return df.crossJoin(F.broadcast(stats)).withColumn(value, scaled if shift_mean else scaled + mean).drop("__m", "__n", "__s", "__t")
+    return own.crossJoin(F.broadcast(spread)).withColumn(value, scaled if shift_mean else scaled + mean).drop("__m", "__n", "__v")
 
 
 @register("reinforce_baseline")
@@ -146,44 +154,67 @@ def soft_mean(df: DataFrame, reward: str = "reward", beta: float = 1.0) -> DataF
 # ---- token sequences: one row per response, arrays per token ------------------------------------
 
 
-def _reversed_scan(arrays: list[str], zero: Column, step: Callable[[Column, Column], Column], field: str) -> Column:
-    """Values of ``field`` after each step of a fold from the last token to the first, in token order."""
-    kind = zero.withField("out", F.array().cast("array<double>"))
-    zipped = F.reverse(F.arrays_zip(*arrays))
-    return F.reverse(F.aggregate(zipped, kind, lambda acc, x: (lambda s: s.withField("out", F.concat(acc["out"], F.array(s[field]))))(step(acc, x)), lambda acc: acc["out"]))
+@F.pandas_udf(ArrayType(DoubleType()))
+def _scan(a: pd.Series, b: pd.Series) -> pd.Series:
+    """x_i = a_i x_(i+1) + b_i of each sequence, 0 after its last token; a batch of sequences at once."""
+    sizes = [0 if x is None else len(x) for x in a]
+    begins = np.append(0, np.cumsum(sizes))
+    flat = lambda s: np.concatenate([np.zeros(0), *(np.asarray(x, float) for x in s if x is not None)])
+    _, x = compose(flat(a), flat(b), np.unique(begins[:-1])) if begins[-1] else (None, np.zeros(0))
+    return pd.Series([None if s is None else x[i:j] for s, i, j in zip(a, begins[:-1].tolist(), begins[1:].tolist(), strict=True)])
 
 
-def gae(df: DataFrame, gamma: float = 0.9, lam: float = 0.95, reward: str = "reward", value: str = "value", mask: str = "mask") -> DataFrame:
-    """Adds advantages and returns per token, before whitening; masked tokens are passed over."""
-    zero = F.struct(F.lit(0.0).alias("next"), F.lit(0.0).alias("last"))
+def _after(x: Column) -> Column:
+    """The array moved by one: each token sees the next one's value, the last one 0."""
+    return F.when(F.size(x) > 0, F.array_append(F.slice(x, 2, F.size(x)), F.lit(0.0))).otherwise(x)
 
-    def step(acc: Column, x: Column) -> Column:
-        moved = x[reward] + gamma * acc["next"] - x[value] + gamma * lam * acc["last"]
-        on = x[mask] == 1
-        return acc.withField("next", F.when(on, x[value]).otherwise(acc["next"])).withField("last", F.when(on, moved).otherwise(acc["last"]))
 
-    out = df.withColumn("advantages", _reversed_scan([reward, value, mask], zero, step, "last"))
-    return out.withColumn("returns", F.zip_with("advantages", value, lambda a, v: a + v))
+def gae(df: DataFrame, gamma: float = 0.9, lam: float = 0.95, reward: str = "reward", value: str = "value", mask: str = "mask") -> DataFrame:
+    """Adds advantages and returns per token, before whitening; masked tokens are passed over."""
+    on = F.transform(mask, lambda m: (m == 1).cast("double"))
+    later = _after(_scan(F.transform(on, lambda m: 1 - m), F.zip_with(on, value, lambda m, v: m * v)))
+    gain = F.zip_with(F.zip_with(reward, value, lambda r, v: r - v), later, lambda d, n: d + gamma * n)
+    got = _scan(F.transform(on, lambda m: 1 - m + gamma * lam * m), F.zip_with(on, gain, lambda m, g: m * g))
+    return df.withColumn("advantages", got).withColumn("returns", F.zip_with("advantages", value, lambda a, v: a + v))
 
 
 def reinforce_returns(df: DataFrame, gamma: float = 0.9, reward: str = "reward", mask: str = "mask") -> DataFrame:
     """Discounted returns from each token on, started anew after a masked one."""
-    zero = F.struct(F.lit(0.0).alias("run"), F.lit(0.0).alias("got"))
-
-    def step(acc: Column, x: Column) -> Column:
-        got = x[reward] + gamma * acc["run"]
-        return acc.withField("got", got).withField("run", got * x[mask])
-
-    return df.withColumn("returns", _reversed_scan([reward, mask], zero, step, "got"))
+    return df.withColumn("returns", _scan(_after(F.transform(mask, lambda m: gamma * m)), F.transform(reward, lambda r: r.cast("double"))))
 
 
 def remax(df: DataFrame, baseline: Column, reward: str = "reward", mask: str = "mask") -> DataFrame:
     """Sums of the unmasked rewards from each token on, less a baseline on unmasked tokens."""
-    zero = F.struct(F.lit(0.0).alias("run"))
-    out = df.withColumn("returns", _reversed_scan([reward, mask], zero, lambda acc, x: acc.withField("run", acc["run"] + x[reward] * x[mask]), "run"))
+    out = df.withColumn("returns", _scan(F.transform(mask, lambda m: F.lit(1.0)), F.zip_with(reward, mask, lambda r, m: r * m)))
     return out.withColumn("advantages", F.zip_with("returns", mask, lambda r, m: r - baseline * m))
 
 
+# ---- the same over sequences that no row can hold: one row per token ------------------------------
+
+
+def gae_rows(df: DataFrame, gamma: float = 0.9, lam: float = 0.95, seq: str = "group_id", pos: str = "sample_id", reward: str = "reward", value: str = "value", mask: str = "mask", chunk: int = CHUNK) -> DataFrame:
+    """Adds advantage and return to rows of one token each (:mod:`scan`)."""
+    on, last = F.col(mask) == 1, longest(df, pos)
+    later = affine_scan(df, seq, pos, F.when(on, 0.0).otherwise(1.0), F.when(on, F.col(value)).otherwise(0.0), after="__next", last=last, chunk=chunk)
+    gain = F.col(reward) + gamma * F.col("__next") - F.col(value)
+    out = affine_scan(later, seq, pos, F.when(on, gamma * lam).otherwise(1.0), F.when(on, gain).otherwise(0.0), "advantage", last=last, chunk=chunk)
+    return out.withColumn("return", F.col("advantage") + F.col(value)).drop("__next")
+
+
+def reinforce_rows(df: DataFrame, gamma: float = 0.9, seq: str = "group_id", pos: str = "sample_id", reward: str = "reward", mask: str = "mask", chunk: int = CHUNK) -> DataFrame:
+    """Adds return to rows of one token each: a token's return is its reward and, discounted, what the next token passes
+    back, which is its return if it is unmasked."""
+    m = F.col(mask).cast("double")
+    passed = affine_scan(df, seq, pos, m * gamma, m * F.col(reward), after="__passed", chunk=chunk)
+    return passed.withColumn("return", F.col(reward) + gamma * F.col("__passed")).drop("__passed")
+
+
+def remax_rows(df: DataFrame, baseline: Column, seq: str = "group_id", pos: str = "sample_id", reward: str = "reward", mask: str = "mask", chunk: int = CHUNK) -> DataFrame:
+    """Adds return and advantage to rows of one token each."""
+    out = affine_scan(df, seq, pos, F.lit(1.0), F.col(reward) * F.col(mask), "return", chunk=chunk)
+    return out.withColumn("advantage", F.col("return") - baseline * F.col(mask))
+
+
 def prime_rewards(df: DataFrame, sources: dict[str, float], group: str = "group_id") -> DataFrame:
     """Leave-one-out values of several reward columns, summed by weight."""
     total = F.lit(0.0)

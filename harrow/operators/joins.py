@@ -54,47 +54,6 @@ def first_name(wanted: DataFrame, have: DataFrame, candidates: Column, key: str
     return options.join(have.select(F.col("name").alias("option")).distinct(), "option").groupBy(key).agg(F.min_by("option", "place").alias("found"))
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, id: str = "id", vector: str = "v", query_rows: int = 4096) -> DataFrame:
-    """(query, id, score, rank): the ``k`` rows with the largest inner product, ties by id. A stated set of
-    queries goes to every task in blocks whose size is checked; each task keeps its own k per query
-    before they meet."""
-    n = queries.limit(query_rows + 1).count()
-    if n > query_rows:
-        parts = -(-queries.count() // query_rows)
-        blocks = [queries.where(F.pmod(F.xxhash64(id), F.lit(parts)) == i) for i in range(parts)]
-        out = None
-        for b in blocks:
-            got = _nearest(b, corpus, k, id, vector)
-            out = got if out is None else out.union(got)
-        return out
-    return _nearest(queries, corpus, k, id, vector)
-
-
-def _nearest(queries: DataFrame, corpus: DataFrame, k: int, id: str, vector: str) -> DataFrame:
-    q = F.broadcast(queries.select(F.col(id).alias("query"), F.col(vector).alias("__q")))
-    score = F.aggregate(F.zip_with("__q", vector, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    pairs = corpus.crossJoin(q).select("query", F.col(id).alias("id"), score.alias("score"), F.spark_partition_id().alias("p"))
-    order = [F.desc("score"), F.asc("id")]
-    own = pairs.withColumn("r", F.row_number().over(W.partitionBy("query", "p").orderBy(*order))).where(F.col("r") <= k)
-    return own.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(*order)).cast("long")).where(F.col("rank") <= k).select("query", "id", "score", "rank")
-
-
-def bm25(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 0.9, b: float = 0.4, id: str = "id", text: str = "text") -> DataFrame:
-    """(query, id, score, rank) by BM25 over lower-case white-space terms. Terms meet in a join, so a query
-    sees only documents that share one with it; term and length statistics are aggregations."""
-    terms = lambda df: df.select(F.col(id).alias("id"), F.explode(F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")).alias("term"))
-    tf = terms(corpus).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    length = tf.groupBy("id").agg(F.sum("tf").alias("len"))
-    whole = length.agg(F.avg("len").alias("avg_len"), F.count("*").alias("n"))
-    asked = terms(queries).distinct().withColumnRenamed("id", "query")
-    df = tf.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    hits = tf.join(asked, "term").join(df, "term").join(length, "id").crossJoin(F.broadcast(whole))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    got = hits.groupBy("query", "id").agg(F.sum(part).alias("score"))
-    return got.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id")).cast("long")).where(F.col("rank") <= k)
-
-
 def pairs_within(df: DataFrame, group: str, order: str, keep: list[str]) -> DataFrame:
     """All i < j of a group, for groups whose size the sampling fixes (a handful of responses per prompt)."""
     a = df.select(group, F.col(order).alias("i"), *(F.col(c).alias(f"{c}_i") for c in keep))

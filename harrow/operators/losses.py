@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from harrow.operators.draws import multinomial
 from harrow.operators.select import ranked
 
 
@@ -149,29 +150,17 @@ def preference_pairs(df: DataFrame, group: str = "group_id", order: str = "sampl
 
 
 def resample(df: DataFrame, key: list[str], reward: str = "reward", mode: str = "pow", power: float = 2.0, seed: int = 0) -> DataFrame:
-    """As many draws as rows, with replacement, by weight |reward|^power, or by the share of extremes; adds copies.
-
-    The rows' weights lie end to end in a hashed order, and the n points (j + u) / n of the whole, u one hashed number, fall
-    on them, so a row's copies are a difference of counts and expected in proportion to its weight. The
-    running sum is one within hash strata and one over the strata."""
+    """As many independent draws as rows, with replacement, by weight; adds copies. Weights are |reward|^power; or 1 for the
+    largest and the least reward and else 0 (max_min); or 0.4 for the largest and else 0.1 (max_random); plus 1e-8."""
     r = F.col(reward)
     if mode == "pow":
-        weight = F.pow(F.abs(r), F.lit(power))
-    else:
-        ends = df.agg(F.max(r).alias("__hi"), F.min(r).alias("__lo"))
-        df = df.crossJoin(F.broadcast(ends))
-        mid = 0.4 if mode == "max_random" else 0.0
-        weight = F.when(r == F.col("__hi"), 1.0).when(r == F.col("__lo"), 0.1 if mode == "max_random" else 1.0).otherwise(mid)
-    h = F.xxhash64(F.lit(seed), *key)
-    own = df.withColumn("w", weight).withColumn("stratum", F.pmod(h, F.lit(256))).drop("__hi", "__lo")
-    own = own.withColumn("high", F.sum("w").over(W.partitionBy("stratum").orderBy(h, *key).rowsBetween(W.unboundedPreceding, 0)))
-    sums = own.groupBy("stratum").agg(F.sum("w").alias("s"), F.count("*").alias("c"))  # 256 rows at most
-    upto, whole = W.orderBy("stratum").rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
-    sums = sums.select("stratum", F.coalesce(F.sum("s").over(upto), F.lit(0.0)).alias("base"), F.sum("s").over(whole).alias("all"), F.sum("c").over(whole).alias("n"))
-    u = (seed * 2654435761 % (1 << 20)) / float(1 << 20)
-    points = lambda c: F.ceil((F.col("base") + c) / F.col("all") * F.col("n") - u)
-    copies = F.when(F.col("all") > 0, points(F.col("high")) - points(F.col("high") - F.col("w"))).otherwise(1)
-    return own.join(F.broadcast(sums), "stratum").withColumn("copies", copies.cast("long")).drop("w", "stratum", "high", "base", "all", "n")
+        return multinomial(df, key, F.pow(F.abs(r), F.lit(power)) + 1e-8, seed=seed)
+    if mode not in ("max_min", "max_random"):
+        raise ValueError(f"no weights named {mode!r}")
+    ends = df.agg(F.max(r).alias("__hi"), F.min(r).alias("__lo"))
+    hi, lo = r == F.col("__hi"), r == F.col("__lo")
+    weight = F.when(hi | lo, 1.0).otherwise(0.0) if mode == "max_min" else F.when(hi, 0.4).otherwise(0.1)
+    return multinomial(df.crossJoin(F.broadcast(ends)), key, weight + 1e-8, seed=seed).drop("__hi", "__lo")
 
 
 def clip_cov(df: DataFrame, order: list[str], share: float = 0.0002, low: float = 1.0, high: float = 5.0, clip: float = 0.2, seed: int = 0) -> DataFrame:

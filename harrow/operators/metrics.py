@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from harrow.operators.select import ranked
+from harrow.operators.votes import majority as majority_law
 
 
 def accuracy_by_group(df: DataFrame, group: str = "group_id", passed: str = "passed") -> DataFrame:
@@ -70,15 +73,46 @@ def validation(df: DataFrame, source: str = "benchmark", prompt: str = "group_id
 
 
 def expected_extremes(df: DataFrame, group: str = "group_id", value: str = "reward") -> DataFrame:
-    """(group, k, best, worst): what resampling k values with replacement has as mean of the largest and the
-    least, exactly: the largest is at most x with probability F(x)^k. k runs over 2, 4, 8, ..., n."""
-    counts = df.groupBy(group, value).agg(F.count("*").alias("c"))
+    """(group, k, best, worst, best_std, worst_std): what resampling k values with replacement has as mean and deviation of
+    the largest and the least, exactly: the largest is at most x with probability F(x)^k. k runs over 2, 4, 8, ..., n."""
+    counts = df.groupBy(group, F.col(value).cast("double").alias(value)).agg(F.count("*").alias("c"))
     up, whole = W.partitionBy(group).orderBy(value), W.partitionBy(group)
     share = counts.withColumns({"n": F.sum("c").over(whole), "upto": F.sum("c").over(up)}).withColumn("k", F.explode(subset_sizes(F.col("n"))))
     power = lambda c: F.pow(c / F.col("n"), F.col("k").cast("double"))
-    at_most, less = power(F.col("upto")), power(F.col("upto") - F.col("c"))
-    from_on, over = power(F.col("n") - F.col("upto") + F.col("c")), power(F.col("n") - F.col("upto"))
-    return share.groupBy(group, "k").agg(F.sum(F.col(value) * (at_most - less)).alias("best"), F.sum(F.col(value) * (from_on - over)).alias("worst"))
+    is_best = power(F.col("upto")) - power(F.col("upto") - F.col("c"))
+    is_worst = power(F.col("n") - F.col("upto") + F.col("c")) - power(F.col("n") - F.col("upto"))
+    x = F.col(value)
+    mean = {"best": F.sum(x * is_best), "worst": F.sum(x * is_worst)}
+    square = {"best": F.sum(x * x * is_best), "worst": F.sum(x * x * is_worst)}
+    std = [F.sqrt(F.greatest(square[c] - mean[c] * mean[c], F.lit(0.0))).alias(f"{c}_std") for c in mean]
+    return share.groupBy(group, "k").agg(*(m.alias(c) for c, m in mean.items()), *std)
+
+
+def validation_table(df: DataFrame, source: str = "benchmark", prompt: str = "group_id", values: tuple[str, ...] = ("reward",), vote: str | None = None) -> DataFrame:
+    """(source, variable, metric, value): mean@n and std@n of each prompt's n values, and for k = 2, 4, 8, ..., n best@k, worst@k
+    and, where there are votes, maj@k, each with /mean and /std, averaged over the prompts that have the metric. The three are the
+    exact laws of resampling, not drawn. Variables that are strings are passed over; a prompt of one value has its mean alone."""
+    kinds, key = dict(df.dtypes), "__prompt"
+    rows = df.withColumn(key, F.struct(source, prompt))
+    out = None
+    for c in values:
+        if kinds[c] == "string":
+            continue
+        own = rows.where(F.col(c).isNotNull()).withColumn("__v", F.col(c).cast("double"))
+        named = lambda name, k, of: F.concat(F.lit(name), F.col(k).cast("string"), F.lit(of))
+        flat = own.groupBy(key).agg(F.count("*").alias("n"), F.avg("__v").alias("mean"), F.stddev_pop("__v").alias("std"))
+        parts = [flat.select(key, named("mean@", "n", "").alias("metric"), F.col("mean").alias("x")), flat.where("n > 1").select(key, named("std@", "n", "").alias("metric"), F.col("std").alias("x"))]
+        laws = expected_extremes(own, key, "__v")
+        parts += [laws.select(key, named(f"{m}@", "k", f"/{of}").alias("metric"), F.col(col).alias("x")) for m in ("best", "worst") for of, col in (("mean", m), ("std", f"{m}_std"))]
+        if vote is not None:
+            won = majority_law(own, None, key, vote, "__v")
+            parts += [won.select(key, named("maj@", "k", f"/{of}").alias("metric"), F.col(col).alias("x")) for of, col in (("mean", "majority"), ("std", "majority_std"))]
+        long = functools.reduce(DataFrame.unionByName, parts).groupBy(F.col(f"{key}.{source}").alias("source"), "metric").agg(F.avg("x").alias("value"))
+        long = long.select("source", F.lit(c).alias("variable"), "metric", "value")
+        out = long if out is None else out.unionByName(long)
+    if out is None:
+        raise ValueError("no variable is a number")
+    return out
 
 
 def bootstrap(df: DataFrame, k: int, draws: int = 1000, seed: int = 42, group: str = "group_id", sample: str = "sample_id", value: str = "reward") -> DataFrame:

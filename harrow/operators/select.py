@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from harrow.sources.tables import cut
 
 
+#: Rows that one task may gather for a top n.
+MOST_HEAP = 10_000
+
+
 def hash_order(seed: int, id: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}-"), F.col(id).cast("string")))
 
@@ -30,8 +34,11 @@ def ranked(df: DataFrame, order: list[Column | str], name: str = "rank") -> Data
 
 
 def top(df: DataFrame, n: int, order: list[Column | str]) -> DataFrame:
-    """The first ``n`` in ``order``: each partition keeps its own first n before they meet."""
-    return df.orderBy(*order).limit(n)
+    """The first ``n`` in ``order``. Few are the first of each partition's own first n; many, such as a share of the rows, would
+    meet in one task so, and are cut at their rank."""
+    if n <= MOST_HEAP:
+        return df.orderBy(*order).limit(n)
+    return ranked(df, order, "__rank").where(F.col("__rank") <= n).drop("__rank")
 
 
 def top_scores(scores: DataFrame, n: int, descending: bool = True, id: str = "group_id", score: str = "score", line: str | None = None) -> DataFrame:

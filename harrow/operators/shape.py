@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from harrow.operators.select import ranked
 
@@ -204,10 +207,15 @@ def pad(tokens: Column, length: int, fill: Column, left: bool = False) -> Column
     return F.concat(more, tokens) if left else F.concat(tokens, more)
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def _running(masks: pd.Series) -> pd.Series:
+    return pd.Series([None if m is None else np.cumsum(np.asarray(m, np.int64)) for m in masks])
+
+
 def position_ids(mask: Column) -> Column:
     """(running count - 1) where the mask is 1, else 0."""
-    runs = F.transform(mask, lambda m, i: F.aggregate(F.slice(mask, F.lit(1), i + 1), F.lit(0), lambda s, x: s + x.cast("int")))
-    return F.zip_with(runs, mask, lambda r, m: (r - 1) * m.cast("int"))
+    on = F.transform(mask, lambda m: m.cast("int"))
+    return F.zip_with(_running(on), on, lambda r, m: (r - 1) * m)
 
 
 def assemble(prompt: Column, response: Column, most: int) -> dict[str, Column]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from harrow.functions import answers as N
 from harrow.functions import rewards as R
 from harrow.operators import joins as J
+from harrow.operators import search as Q
 from harrow.operators import pack as U
 from harrow.operators import shape as P
 from harrow.operators import select as T
@@ -167,7 +168,7 @@ def leave_class_out(spark, sf_dir):
   r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM p) SELECT query, id, round(score, 6) + 0.0 AS score, rank FROM r WHERE rank <= 5""")
 def nearest_documents(spark, sf_dir):
     v = S.vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), "v")
-    return J.nearest(v.where("id % 50 = 0"), v, 5).select("query", "id", r6("score").alias("score"), "rank")
+    return Q.nearest(v.where("id % 50 = 0"), v, 5).select("query", "id", r6("score").alias("score"), "rank")
 
 
 @query("""WITH t AS (SELECT doc_id AS id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS term FROM documents), tf AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL),
@@ -178,7 +179,7 @@ def nearest_documents(spark, sf_dir):
 def bm25_topk(spark, sf_dir):
     d = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
     q = S.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
-    return J.bm25(q, d, 3).select("query", "id", F.round("score", 5).alias("score"), "rank")
+    return Q.bm25(q, d, 3).select("query", "id", F.round("score", 5).alias("score"), "rank")
 
 
 # ---- packing: orders are groups, their quantity the cost, 2,000 orders a batch --------------------
