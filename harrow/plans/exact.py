@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from harrow.operators import advantage as A
+from harrow.operators import block_svd as B
 from harrow.operators import draws as D
 from harrow.operators import metrics as M
 from harrow.operators import votes as V
@@ -88,3 +89,38 @@ def independent_draws(spark, sf_dir):
     """All draws are dealt, none to rows without weight."""
     got = D.multinomial(S.rollouts(spark, sf_dir), ["group_id", "sample_id"], F.col("reward"), seed=3)
     return got.agg(F.count("*").alias("n"), F.sum(F.when(F.col("reward") > 0, F.col("copies")).otherwise(-F.col("copies"))).alias("copies"), F.bool_or(F.col("copies") > 0).alias("drawn"))
+
+
+# ---- matrices in blocks: the vectors of a label are one matrix, in slices of 16 columns ------------
+
+
+def _label_blocks(spark, sf_dir):
+    rows = S.vectors(spark, sf_dir).select("label", (F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1).alias("i"), "v")
+    slices = rows.select(F.col("label").alias("id"), "i", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.slice("v", j * 16 + 1, F.lit(16)))).alias("j", "v"))
+    return B.blocks(slices, j="j", size=32)
+
+
+@query("SELECT label AS id, round(sqrt(sum(x * x)), 5) AS frobenius, round(sum(x * x), 4) AS energy FROM (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY 1")
+def block_svd_energy(spark, sf_dir):
+    """All 64 singular values: their squares sum up to the matrix's."""
+    got = B.svd(_label_blocks(spark, sf_dir), 64, rounds=1)[0]
+    return got.select("id", F.round("frobenius", 5).alias("frobenius"), F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x), 4).alias("energy"))
+
+
+@query()
+def block_svd(spark, sf_dir):
+    """The leading four, by the range finder; checked against a dense factorization."""
+    got = B.svd(_label_blocks(spark, sf_dir), 4)[0]
+    return got.select("id", F.round("frobenius", 5).alias("frobenius"), F.transform("s", lambda x: F.round(x, 5)).alias("s"))
+
+
+@query("""WITH e AS (SELECT vec_id, 0 AS j, unnest([abs(CAST(x AS DOUBLE)) FOR x IN embedding[1:16]]) AS x FROM embeddings UNION ALL SELECT vec_id, 1, unnest([abs(CAST(x AS DOUBLE)) FOR x IN embedding[17:32]]) FROM embeddings
+    UNION ALL SELECT vec_id, 2, unnest([abs(CAST(x AS DOUBLE)) FOR x IN embedding[33:48]]) FROM embeddings UNION ALL SELECT vec_id, 3, unnest([abs(CAST(x AS DOUBLE)) FOR x IN embedding[49:64]]) FROM embeddings),
+  n AS (SELECT vec_id, j, x / sum(x) OVER (PARTITION BY vec_id, j) AS p FROM e), r AS (SELECT vec_id, j, exp(-sum(p * ln(p)) FILTER (p > 0)) AS r FROM n GROUP BY ALL)
+  SELECT vec_id AS group_id, 1 AS layers, round(sum(r), 5) AS score, round(sum(r) FILTER (j = 3), 5) AS o FROM r GROUP BY 1""")
+def collective_scores(spark, sf_dir):
+    """A vector's quarters as the spectra of a layer's four projections."""
+    names = F.array(*(F.lit(f"model.layers.0.self_attn.{p}_proj.weight") for p in "qkvo"))
+    v = S.vectors(spark, sf_dir).select(F.col("vec_id").alias("group_id"), F.posexplode(names).alias("j", "name"), F.transform("v", F.abs).alias("v"))
+    rows = v.select("group_id", "name", F.slice("v", F.col("j") * 16 + 1, F.lit(16)).alias("s"))
+    return B.collective_scores(rows).select("group_id", F.col("layers").cast("int").alias("layers"), F.round("score", 5).alias("score"), F.round("o", 5).alias("o"))
