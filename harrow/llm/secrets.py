@@ -13,14 +13,17 @@ table gives an empty result; a decoded span within another of its kind is not re
 but for tokens of single lines that also go on over lines; of bytes that are no text the printable stretches are
 scanned; a payload that unpacks to more than ``PIECE`` bytes is scanned in overlapping pieces, however many
 (within it, a compressed payload whose encoded token is longer than ``PIECE`` is opened in its first piece
-only). Only ``doc_id`` and ``text`` are read.
+only). An escape of an escape's first character, many times over, is one step, and maps are kept as runs, so such chains cost
+their length; mixed chains cost its square. UTF-16 isn't opened. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
 
 import binascii
+import bisect
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -49,7 +52,10 @@ _MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00
 _PRINTED = re.compile(rb"[\t\r\n\x20-\x7e]{14,}")
 _INKED = bytes(i if i in b"\t\r\n" or 32 <= i < 127 else 0 for i in range(256))
 _URL = re.compile(r"%[0-9A-Fa-f]{2}")
-_UNICODE = re.compile(r"\\u\{?[0-9A-Fa-f]{4}\}?|\\x[0-9A-Fa-f]{2}|&#x?[0-9A-Fa-f]{2,5};")
+_UNICODE = re.compile(r"\\U[0-9A-Fa-f]{8}|\\u\{?[0-9A-Fa-f]{4}\}?|\\x[0-9A-Fa-f]{2}|&#x?[0-9A-Fa-f]{2,5};")
+#: Escapes of an escape's own first character, four of them or more: one step leads to the last.
+_URL_CHAIN = re.compile(r"%(?:25){4,}")
+_UNICODE_CHAIN = re.compile(r"\\(?:U0000005[Cc]|u005[Cc]|x5[Cc]){4,}|&(?:#38;|#x26;){4,}")
 _SPACE = re.compile(r"[ \t\r\n]")
 
 
@@ -102,15 +108,26 @@ def _member(source: _Source) -> Iterator[bytes]:
 
 def _unpacked(parts: Iterator[bytes], heads: frozenset[bytes]) -> Iterator[bytes]:
     """A stream of bytes with the compressed members at its start unpacked, all of them and through any
-    depth; one that starts like a stream it came out of is left as it is."""
-    source = _Source(parts)
-    while _MAGIC.match(source.ahead(6)):
-        head = hashlib.sha256(source.ahead(OVERLAP)).digest()
-        if head in heads:
-            break
-        yield from _unpacked(_member(source), heads | {head})
-    while part := source.take():
-        yield part
+    depth; one that starts like a stream it came out of is left as it is. A member of up to ``PIECE`` bytes is read as a whole
+    before it is looked into, so that streams don't pile up."""
+    source, seen = _Source(parts), set(heads)
+    open: list[tuple[_Source, bytes]] = [(source, b"")]
+    while open:
+        source, head = open[-1]
+        if _MAGIC.match(source.ahead(6)) and (inner := hashlib.sha256(source.ahead(OVERLAP)).digest()) not in seen:
+            member, held, size = _member(source), [], 0
+            for part in member:
+                held.append(part)
+                size += len(part)
+                if size > PIECE:
+                    break
+            seen.add(inner)
+            open.append((_Source(itertools.chain([b"".join(held)] if held else [], member)), inner))
+            continue
+        while part := source.take():
+            yield part
+        open.pop()
+        seen.discard(head)
 
 
 def _pieces(parts: Iterator[bytes]) -> Iterator[bytes]:
@@ -139,14 +156,14 @@ def _readable(raw: bytes) -> str | None:
     return text if len(text) >= 8 and text.replace("\t", " ").replace("\r", " ").replace("\n", " ").isprintable() else None
 
 
-def _texts(raw: bytes, heads: frozenset[bytes] = frozenset()) -> Iterator[tuple[str, int, int, bool]]:
-    """(text, start, end, packed) of what ``raw`` holds: itself if it is a text, else its printable stretches
-    as one text, and what its compressed payloads hold, wherever they start."""
+def _level(raw: bytes, heads: frozenset[bytes]) -> Iterator[tuple[str, int, int] | Iterator]:
+    """(text, start, end) of what ``raw`` is: a text, or printable stretches taken as one; and for each payload in it, wherever it
+    starts, its place and then an iterator of levels, which must be used up before the next step."""
     if (text := _readable(raw)) is not None:
-        yield text, 0, len(raw), False
+        yield text, 0, len(raw)
         return
     if found := list(_PRINTED.finditer(raw)):
-        yield "\0".join(m.group().decode() for m in found), found[0].start(), found[-1].end(), False
+        yield "\0".join(m.group().decode() for m in found), found[0].start(), found[-1].end()
     at = 0
     while m := _MAGIC.search(raw, at):
         at = m.start() + 1
@@ -154,39 +171,96 @@ def _texts(raw: bytes, heads: frozenset[bytes] = frozenset()) -> Iterator[tuple[
         if head in heads:
             continue
         source = _Source(raw[i : i + OVERLAP] for i in range(m.start(), len(raw), OVERLAP))
-        behind = len(raw)
-
-        def members() -> Iterator[bytes]:
-            nonlocal behind
-            while _MAGIC.match(source.ahead(6)):
-                yield from _unpacked(_member(source), heads | {head})
-            behind = len(raw) - len(source.held) - sum(map(len, source.parts))
-
-        some = False
-        for piece in _pieces(members()):
-            some = True
-            for text, *_ in _texts(piece, heads | {head}):
-                yield text, m.start(), len(raw), True
+        behind, some, inside = len(raw), False, heads | {head}
+
+        def levels() -> Iterator[Iterator]:
+            nonlocal behind, some
+
+            def members() -> Iterator[bytes]:
+                nonlocal behind
+                while _MAGIC.match(source.ahead(6)):
+                    yield from _unpacked(_member(source), inside)
+                behind = len(raw) - len(source.held) - sum(map(len, source.parts))
+
+            for piece in _pieces(members()):
+                some = True
+                yield _level(piece, inside)
+
+        yield m.start()
+        yield levels()
         if some and not source.broken:
             at = behind
 
 
-def _escaped(token: str, pieces: Iterator[tuple[int, int, str]]) -> tuple[str, list[int], list[int]]:
-    """``token`` with pieces replaced, and where each new character starts and ends in it."""
-    text, starts, ends, at = [], [], [], 0
-    for s, e, new in pieces:
+def _texts(raw: bytes) -> Iterator[tuple[str, int, int, bool]]:
+    """(text, start, end, packed) of what ``raw`` holds: itself if it is a text, else its printable stretches
+    as one text, and what its compressed payloads hold, through all depths."""
+    stack, place = [_level(raw, frozenset())], 0
+    while stack:
+        got = next(stack[-1], None)
+        if got is None:
+            stack.pop()
+        elif isinstance(got, int):
+            place = got if len(stack) == 1 else place
+        elif not isinstance(got, tuple):
+            stack.append(got)
+        elif len(stack) == 1:
+            yield *got, False
+        else:
+            yield got[0], place, len(raw), True
+
+
+class _Runs:
+    """Where the characters of a decoded token stand in the token: runs that were copied and pieces that were replaced."""
+
+    def __init__(self, pieces: list[tuple[int, int, str]]):
+        self.new, self.old, self.end_of = [0], [0], [-1]
+        at = moved = 0
+        for s, e, text in pieces:
+            # a piece of no characters can't be asked for
+            for place, old, end in ((moved + s - at, s, e), (moved + s - at + len(text), e, -1)):
+                self.new.append(place)
+                self.old.append(old)
+                self.end_of.append(end)
+            moved += s - at + len(text)
+            at = e
+
+    def start(self, i: int) -> int:
+        k = bisect.bisect_right(self.new, i) - 1
+        return self.old[k] if self.end_of[k] >= 0 else self.old[k] + i - self.new[k]
+
+    def end(self, i: int) -> int:
+        k = bisect.bisect_right(self.new, i) - 1
+        return self.end_of[k] if self.end_of[k] >= 0 else self.old[k] + i - self.new[k] + 1
+
+
+class _Places:
+    """The same of a token over several lines."""
+
+    def __init__(self, first: np.ndarray, last: np.ndarray):
+        self.first, self.last = first, last
+
+    def start(self, i: int) -> int:
+        return int(self.first[i])
+
+    def end(self, i: int) -> int:
+        return int(self.last[i]) + 1
+
+
+def _escaped(token: str, pieces: Iterator[tuple[int, int, str]]) -> tuple[str, _Runs]:
+    """``token`` with pieces replaced, and where its characters come from."""
+    text, at, known = [], 0, list(pieces)
+    for s, e, new in known:
         text += [token[at:s], new]
-        starts += [*range(at, s), *[s] * len(new)]
-        ends += [*range(at + 1, s + 1), *[e] * len(new)]
         at = e
-    text.append(token[at:])
-    starts += range(at, len(token))
-    ends += range(at + 1, len(token) + 1)
-    return "".join(text), starts, ends
+    return "".join([*text, token[at:]]), _Runs(known)
 
 
 def _url_pieces(token: str) -> Iterator[tuple[int, int, str]]:
-    for m in re.finditer(r"(?:%[0-9A-Fa-f]{2})+", token):
+    for m in re.finditer(_URL_CHAIN.pattern + r"|(?:%[0-9A-Fa-f]{2})+", token):
+        if _URL_CHAIN.fullmatch(m.group()):
+            yield m.start(), m.end(), "%"
+            continue
         raw = unquote_to_bytes(m.group())
         try:
             text = raw.decode()
@@ -199,8 +273,11 @@ def _url_pieces(token: str) -> Iterator[tuple[int, int, str]]:
 
 
 def _unicode_pieces(token: str) -> Iterator[tuple[int, int, str]]:
-    for m in _UNICODE.finditer(token):
+    for m in re.finditer(_UNICODE_CHAIN.pattern + "|" + _UNICODE.pattern, token):
         s = m.group()
+        if _UNICODE_CHAIN.fullmatch(s):
+            yield m.start(), m.end(), s[0]
+            continue
         n = int(s[3:-1], 16) if s[:3] == "&#x" else int(s[2:-1]) if s[:2] == "&#" and s[2:-1].isdigit() else int(re.sub(r"[^0-9A-Fa-f]", "", s[2:]), 16) if s[0] == "\\" else -1
         if 0 <= n < 0x110000 and not 0xD800 <= n < 0xE000:
             yield m.start(), m.end(), chr(n)
@@ -259,19 +336,19 @@ def _in_lines(lines: list[tuple[int, str]], hexed: bool) -> Iterator[tuple]:
             else:
                 i = np.arange(len(raw))
                 first, last = (p + 2 * i, p + 2 * i + 1) if hexed else (p + i // 3 * 4 + i % 3, p + i // 3 * 4 + i % 3 + 1)
-                yield raw.translate(_INKED).decode("ascii"), 0, place[first].tolist(), (place[last] + 1).tolist(), True
+                yield raw.translate(_INKED).decode("ascii"), 0, _Places(place[first], place[last]), 0, True
                 if y - x == len(raw):
                     return
 
 
-def layers_in(text: str) -> Iterator[tuple[str, int, list[int] | None, list[int] | int, bool]]:
-    """(decoded text, offset, starts, ends, joined) of every encoded token; starts of None: ends is the
-    token's length, and all of the decoded text stands for the whole token. joined: of several lines."""
+def layers_in(text: str) -> Iterator[tuple[str, int, _Runs | _Places | None, int, bool]]:
+    """(decoded text, offset, places, length, joined) of every encoded token; without places all of the
+    decoded text stands for the whole token of that length. joined: of several lines."""
     for mark, escape, pieces in (("%", _URL, _url_pieces), ("\\", _UNICODE, _unicode_pieces), ("&#", _UNICODE, _unicode_pieces)):
         if mark in text:
             for start, end in _tokens(text, escape):
-                inner, starts, ends = _escaped(text[start:end], pieces(text[start:end]))
-                yield inner, start, starts, ends, False
+                inner, places = _escaped(text[start:end], pieces(text[start:end]))
+                yield inner, start, places, 0, False
     for pattern, hexed in ((_B64, False), (_HEXED, True)):
         for m in pattern.finditer(text):
             yield from _in_token(m.group(), m.start(), hexed)
@@ -294,11 +371,11 @@ def _scanned(layer: str) -> set[Span]:
     return {(*x, False) for x in scan(layer)}
 
 
-def _mapped(found: set[Span], at: int, starts: list[int] | None, ends: list[int] | int, joined: bool) -> set[Span]:
+def _mapped(found: set[Span], at: int, places: _Runs | _Places | None, length: int, joined: bool) -> set[Span]:
     """Spans of a decoded token where they stand in the layer that holds the token."""
-    if starts is None:
-        return {(at, k, at + ends, j or joined) for _, k, _, j in found}
-    return {(at + starts[a], k, at + ends[b - 1], j or joined) for a, k, b, j in found}
+    if places is None:
+        return {(at, k, at + length, j or joined) for _, k, _, j in found}
+    return {(at + places.start(a), k, at + places.end(b - 1), j or joined) for a, k, b, j in found}
 
 
 def _outermost(spans: set[Span]) -> set[Span]:

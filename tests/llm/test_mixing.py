@@ -71,3 +71,54 @@ def test_few_slots_keep_small_sources(spark, slots):
     docs = spark.createDataFrame([(i, s, " ".join(["w"] * k)) for i, (s, k) in enumerate((s, k) for s, n in sizes.items() for k in [1] * (n % 10) + [10] * (n // 10))], "doc_id long, source string, text string")
     taken = {r["source"]: r["taken"] for r in mixing.mix(docs, slots=slots).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg({"taken": "sum"}).withColumnRenamed("sum(taken)", "taken").collect()}
     assert taken == {s: int(t + 0.5) for s, t in fill(sizes).items()}
+
+
+def test_positions_follow_the_schedule(spark, monkeypatch):
+    """Against walking through the slots one by one; another constant gives other positions and the same words."""
+    rng = random.Random(3)
+    rows = [(i, f"s{rng.choice([0, 0, 0, 1, 2])}", " ".join(["w"] * rng.randint(1, 9))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    one = {r["doc_id"]: r for r in mixing.mix(docs, block=10).collect()}
+    taken = {}
+    for i, s, _ in rows:
+        taken[s] = taken.get(s, 0) + one[i]["taken"]
+    blocks = {s: -(-n // 10) for s, n in sorted(taken.items())}
+    slots, given, n = {}, {s: 0 for s in blocks}, 0
+    while any(given[s] < blocks[s] for s in blocks):
+        u, low = (n + 0.5) * mixing._GOLDEN % 1, 0.0
+        for s, k in blocks.items():
+            if low <= u < low + k / sum(blocks.values()):
+                if given[s] < k:
+                    slots[n] = s
+                given[s] += 1
+            low += k / sum(blocks.values())
+        n += 1
+    assert n <= 2.62 * sum(blocks.values()) + 8
+    own = {i: s for i, s, _ in rows}
+    first = {}
+    for i, r in one.items():
+        if r["position"] is None:
+            assert not r["taken"]
+        else:
+            assert slots[r["position"]] == own[i]
+            first.setdefault(own[i], set()).add(r["position"])
+    # a prefix of the schedule holds the sources in proportion
+    for m in (40, 80, len(slots)):
+        held = [s for k, s in sorted(slots.items())[:m]]
+        assert all(abs(held.count(s) - m * k / sum(blocks.values())) <= 4 for s, k in blocks.items())
+    monkeypatch.setattr(mixing, "_GOLDEN", 0.123)
+    other = {r["doc_id"]: r for r in mixing.mix(docs, block=10).collect()}
+    assert [other[i]["taken"] for i in one] == [one[i]["taken"] for i in one]
+    assert [other[i]["position"] for i in one] != [one[i]["position"] for i in one]
+
+
+def test_late_slots(spark):
+    from decimal import Decimal, getcontext
+
+    from pyspark.sql import functions as F
+
+    getcontext().prec = 40
+    golden = (Decimal(5).sqrt() - 1) / 2
+    ids = [0, 1, 65535, 65536, 10**7 + 3, 3 * 10**10 + 7]
+    got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "id long").select(mixing._point(F.col("id"))).collect()]
+    assert got == pytest.approx([float((i + Decimal("0.5")) * golden % 1) for i in ids], abs=1e-9)

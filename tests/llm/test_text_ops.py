@@ -1,5 +1,7 @@
 """Ops 2, 3, 5, 6, 9 and 10 against plain versions, on a whole small table and on odd rows."""
 
+import zlib
+import random
 import base64
 import gzip
 import re
@@ -92,6 +94,46 @@ def test_secret_layers():
     assert added == [(start + 4, 0, start + 4 + len("password%3Dcorrecthorse99"))]
     assert secrets.spans_of("%2525252541%41 aGVsbG8gd29ybGQgaGVsbG8gd29ybGQ=")[2] > 1
 
+def test_secrets_behind_very_many_layers():
+    """Members 5,000 deep, and chains of escaped escapes; within two seconds on a common machine."""
+    packed = b"password=hunter2hunter2 and more"
+    for _ in range(5000):
+        packed = zlib.compress(packed, 1)
+    token = base64.b64encode(packed).decode()
+    chains = ["%" + "25" * 10000 + "41bcdefgh1", "\\" + "u005c" * 4000 + "u0041bcdefgh1", "&" + "#38;" * 5000 + "#65;bcdefgh1", "\\" + "U0000005c" * 9 + "U00000041bcdefgh1"]
+    assert secrets.spans_of(token)[1] == [(0, 0, len(token))]
+    for chain in chains:
+        text = "a secret=" + chain
+        assert secrets.spans_of(text)[1] == [(2, 0, len(text))]
+
+
+def test_secrets_in_random_nestings():
+    """Against opening every token again wherever it stands."""
+    rng = random.Random(12)
+
+    def plain(layer, open):
+        found = {(*x, False) for x in secrets.scan(layer)}
+        for inner, *where in secrets.layers_in(layer):
+            got = {(*x, False) for x in secrets.scan(inner)} if inner in open else plain(inner, open | {inner})
+            found |= secrets._mapped(got, *where)
+        return found
+
+    wraps = [
+        lambda t: "".join(f"%{b:02x}" if rng.random() < 0.4 else chr(b) for b in t.encode()) if t.isascii() else t,
+        lambda t: base64.b64encode(t.encode()).decode(),
+        lambda t: t.encode().hex(),
+        lambda t: "".join(f"\\u{ord(c):04x}" if rng.random() < 0.3 else c for c in t),
+        lambda t: base64.b64encode(zlib.compress(t.encode())).decode(),
+    ]
+    for _ in range(60):
+        text = f"token={rng.randrange(1 << 60):016x}{rng.randrange(1 << 60):016x}"
+        for _ in range(rng.randint(1, 4)):
+            text = rng.choice(["", "see ", "x/"]) + rng.choice(wraps)(text) + rng.choice(["", " end"])
+        base, added, _ = secrets.spans_of(text)
+        found = plain(text, frozenset([text]))
+        want = {x[:3] for x in secrets._outermost({x for x in found if not x[3]}) | secrets._outermost(found)}
+        assert set(added) == want - set(base)
+
 
 def test_secrets_in_every_copy():
     plain = "password=correcthorse99"
