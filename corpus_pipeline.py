@@ -27,7 +27,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(docs)
+    return mixing.mix_documents(docs, position=True)
 
 
 STAGES = [("quality_rules", quality_rules), ("near_copies", near_copies), ("decontamination", decontamination), ("personal_data", personal_data), ("mixture", mixture)]
@@ -37,7 +37,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mixed corpus: the columns of documents and size, source_size, target, taken. Each stage but the
+    """The mixed corpus: the columns of documents and size, source_size, target, taken, position. Each stage but the
     last is written to the shared folder and read again."""
     docs = common.table(spark, sf_dir, "documents")
     folder = f"{common.shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
