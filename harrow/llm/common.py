@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -34,6 +35,8 @@ def arrow_pass(df: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str) -
     bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a worker is used again, and what the functions of its last task held lies in cycles
+        gc.collect()
         for batch in batches:
             if batch.num_rows:
                 yield from fn(pa.Table.from_batches([batch])).combine_chunks().to_batches()

@@ -27,6 +27,7 @@ a class is named by its least id (nulls only if there is no other); an empty tab
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Callable, Iterator
 
@@ -122,6 +123,7 @@ def sorted_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table, list[t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
+        gc.collect()
         held: list[pa.RecordBatch] = []
         for last, batch in _with_last(batches):
             held.append(batch)
