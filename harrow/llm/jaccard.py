@@ -44,6 +44,8 @@ WORDS, THRESHOLD, COORDINATES, RUNS, DEPTH, SMALL = 5, 0.8, 64, 12, 5, 4096
 SLACK = 0.2
 #: A chunk of a component has about this many shingles, and sets.
 CHUNK_SHINGLES, CHUNK_SETS = 250_000, 512
+#: Bytes of texts that are cut into shingles at once.
+STRETCH = 1 << 20
 #: The same of a chunk of differences.
 CHUNK_DIFFERENCES, CHUNK_SHORT = 250_000, 1024
 _RNG = np.random.default_rng(20_24)
@@ -57,9 +59,18 @@ _LOWER[65:91] += 32
 
 
 def shingles(texts: pa.Array, words: int = WORDS, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of each text as sorted 64-bit numbers, and the n + 1 offsets; ``fold`` lower-cases A to Z."""
+    """The distinct shingles of each text as sorted 64-bit numbers, and the n + 1 offsets; ``fold`` lower-cases A to Z. Texts are
+    taken some ``STRETCH`` bytes at a time, as their letters need many times their own memory."""
     raw, ends = common.utf8(texts)
-    raw = _LOWER[raw] if fold else raw
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], STRETCH)), [0, len(ends) - 1]))
+    parts = [_shingles(_LOWER[x] if fold else x, ends[a : b + 1] - ends[a], words) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) for x in [raw[ends[a] : ends[b]]]]
+    if len(parts) < 2:
+        return parts[0] if parts else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
+    sizes = np.concatenate([np.diff(at) for _, at in parts])
+    return np.concatenate([x for x, _ in parts]), np.append(0, np.cumsum(sizes))
+
+
+def _shingles(raw: np.ndarray, ends: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     ink = ~_WHITE[raw]
     begins = ink.copy()
     begins[1:] &= ~ink[:-1]
