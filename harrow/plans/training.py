@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from harrow.functions import answers as N
+from harrow.functions.expressions import value_text
 from harrow.operators import joins as J
 from harrow.operators import losses as L
 from harrow.operators import metrics as M
@@ -143,7 +144,7 @@ def expression_values(spark, sf_dir):
     p = S.table(spark, sf_dir, "part")
     text = F.concat(F.col("p_size").cast("string"), F.lit("@"), (F.col("p_partkey") % 9).cast("string"), F.lit("+4"))
     half = F.concat(F.lit("("), F.col("p_size").cast("string"), F.lit(" + 1) / 2"))
-    return p.select("p_partkey", N.custom_value(text).alias("value"), N.arithmetic_value(half).alias("quotient"))
+    return p.select("p_partkey", value_text(text).cast("long").alias("value"), N.arithmetic_value(half).alias("quotient"))
 
 
 @query("SELECT user_id, count(*) AS queued, count(*) >= 60 OR sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END) >= 16 * 2 AS pause FROM events GROUP BY 1")
