@@ -45,7 +45,7 @@ def parts(messages: DataFrame, tokens: Callable[[Column], Column] = words, head:
 def folded(parts: DataFrame, conv: str = "conv_id") -> DataFrame:
     """(conv, tokens, mask) of whole chats."""
     got = parts.groupBy(conv).agg(F.array_sort(F.collect_list(F.struct("part", "tokens", "mask"))).alias("__p"))
-    return got.select(conv, *(F.flatten(F.transform("__p", lambda p, k=k: p[k])).alias(k) for k in ("tokens", "mask")))
+    return got.select(conv, *(F.flatten(f"__p.{k}").alias(k) for k in ("tokens", "mask")))
 
 
 def faults(messages: DataFrame, override: str | None = None, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

@@ -74,8 +74,16 @@ def _total(values: Column, of=lambda x: x.cast("double")) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + of(x))
 
 
+def moments(records: DataFrame) -> DataFrame:
+    """Adds the rewards' mean and deviation, as of a lone reward 0 and 1, each computed once for all checks."""
+    rewards, mean = F.col("group_stats.rewards"), F.col("__mean")
+    n = F.size(rewards)
+    own = records.withColumn("__mean", F.when(n == 1, 0.0).otherwise(F.try_divide(_total(rewards), n)))
+    return own.withColumn("__std", F.when(n == 1, 1.0).otherwise(F.sqrt(F.try_divide(_total(rewards, lambda x: (x - mean) * (x - mean)), n - 1))))
+
+
 def checks(rollouts: int | Column, worker: int | Column) -> list[tuple[str, Column]]:
-    """(fault, what must hold) of a record in the columns of ``SCHEMA``."""
+    """(fault, what must hold) of a record in the columns of ``SCHEMA`` and ``moments``."""
     rollouts, worker = (F.lit(x) if isinstance(x, int) else x for x in (rollouts, worker))
     c, true = F.col, F.lit(True)
     stats, spectrum, overlap = c("group_stats"), c("effective_rank_topk"), c("subspace_similarity")
@@ -132,11 +140,8 @@ def checks(rollouts: int | Column, worker: int | Column) -> list[tuple[str, Colu
         ("selection_eligible is not that of the reason", only_sub(c("selection_eligible") == reason.isNull())),
     ]
     out += [(f"group_stats.{k} has not one value per response", F.size(stats[k]) == rollouts) for k in LISTS]
-    rewards, advantages = stats["rewards"], stats["advantages"]
-    n = F.size(rewards)
-    mean = F.when(n == 1, 0.0).otherwise(F.try_divide(_total(rewards), n))
-    std = F.when(n == 1, 1.0).otherwise(F.sqrt(F.try_divide(_total(rewards, lambda x: (x - mean) * (x - mean)), n - 1)))
-    expected = F.zip_with(rewards, advantages, lambda r, a: F.coalesce(close(a, F.try_divide(r - stats["reward_mean"], stats["reward_std"] + 1e-6), 1e-6, 1e-6), F.lit(False)))
+    advantages, mean, std = stats["advantages"], c("__mean"), c("__std")
+    expected = F.zip_with(stats["rewards"], advantages, lambda r, a: F.coalesce(close(a, F.try_divide(r - stats["reward_mean"], stats["reward_std"] + 1e-6), 1e-6, 1e-6), F.lit(False)))
     total = F.coalesce(stats["total_response_tokens"], stats["question_tokens"])
     tokens = F.arrays_zip(*(stats[k].alias(k) for k in COUNTS))
     every = lambda holds: F.forall(tokens, lambda t: F.coalesce(holds(t), F.lit(False)))
@@ -180,7 +185,7 @@ def checks(rollouts: int | Column, worker: int | Column) -> list[tuple[str, Colu
 def faults(records: DataFrame, rollouts: int | Column, worker: int | Column) -> DataFrame:
     """Adds faults, an array of messages; empty for a good record. A narrow pass: nothing is shuffled."""
     found = F.array_compact(F.array(*(F.when(~F.coalesce(holds, F.lit(False)), F.lit(text)) for text, holds in checks(rollouts, worker))))
-    return records.withColumn("faults", found)
+    return moments(records).withColumn("faults", found).drop("__mean", "__std")
 
 
 def fault_counts(records: DataFrame, rollouts: int | Column, worker: int | Column) -> DataFrame:
