@@ -372,3 +372,34 @@ def distinct_by_json(df: DataFrame, columns: list[str], order: str) -> DataFrame
     """The first row by ``order`` of each canonical JSON of the columns."""
     first = df.withColumn("__j", canonical_json(*columns)).groupBy("__j").agg(F.min_by(F.struct(*df.columns), order).alias("r"))
     return first.select("r.*")
+
+
+def sequence_metrics(df: DataFrame, longest_response: int, longest_prompt: int, values: bool = True) -> DataFrame:
+    """(metric, value) of a batch of sequences with score, reward, advantages, returns, mask, response_length and
+    prompt_length, and values for a critic. Scores and rewards are those of sequences with a response, tokens those that
+    the mask keeps. Extremes and deviations of nothing are null; a batch without any response is an error."""
+    kept, tokens = F.col("response_length") > 0, ["advantages", "returns", *(["values"] if values else [])]
+    three = lambda name, x: [F.avg(x).alias(f"{name}/mean"), F.max(x).cast("double").alias(f"{name}/max"), F.min(x).cast("double").alias(f"{name}/min")]
+    share = lambda name, hit: F.avg(hit.cast("double")).alias(name)
+    long, prompt = F.col("response_length"), F.col("prompt_length")
+    alive = F.when(kept, long)
+    of_rows = df.agg(
+        *three("critic/score", F.when(kept, F.col("score"))),
+        *three("critic/rewards", F.when(kept, F.col("reward"))),
+        *three("response_length", long),
+        share("response_length/clip_ratio", long == longest_response),
+        *three("response_length_non_aborted", alive),
+        share("response_length_non_aborted/clip_ratio", alive == longest_response),
+        share("response/aborted_ratio", ~kept),
+        *three("prompt_length", prompt),
+        share("prompt_length/clip_ratio", prompt == longest_prompt),
+        F.when(F.count_if(kept) > 0, F.lit(True)).otherwise(F.raise_error(F.lit("no sequence of the batch has a response")).cast("boolean")).alias("__alive"),
+    )
+    zipped = F.explode(F.arrays_zip(F.col("mask").alias("__m"), *(F.col(t).alias(t) for t in tokens)))
+    t = df.select(zipped.alias("t")).where("t.__m = 1").select("t.*")
+    of_tokens = t.agg(
+        *(x for c in tokens for x in three(f"critic/{c}", F.col(c))),
+        *([(1 - F.var_samp(F.col("returns") - F.col("values")) / (F.var_samp("returns") + 1e-5)).alias("critic/vf_explained_var")] if values else []),
+    )
+    one = of_rows.where("__alive").drop("__alive").crossJoin(of_tokens)  # one row each
+    return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(f"`{c}`").alias("value")) for c in one.columns))).alias("r")).select("r.*")

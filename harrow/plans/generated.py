@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from harrow.functions import answers as N
 from harrow.functions import expressions as E
 from harrow.operators import chat as C
 from harrow.operators import generate as G
+from harrow.operators import metrics as M
 from harrow.operators import records as R
 from harrow.plans import standins as S
 from harrow.plans.registry import query, r6
@@ -161,3 +163,40 @@ def curriculum_weights(spark, sf_dir):
 def curriculum_draw(spark, sf_dir):
     """A step's batch of 256 prompts, by weight."""
     return U.drawn(_weights(spark, sf_dir), 256, step=3).select("prompt")
+
+
+# ---- answers and metrics ----------------------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT DISTINCT p_partkey, CAST(p_size AS BIGINT) AS n, p_name FROM part)
+  SELECT p_partkey, p_partkey % 6 <> 5 AS matched, CASE p_partkey % 6 WHEN 5 THEN p_name WHEN 4 THEN CAST(n AS VARCHAR) || '/2' ELSE CAST(n AS VARCHAR) END AS answer, p_partkey % 6 NOT IN (4, 5) AS correct FROM p WHERE NOT regexp_matches(p_name, '[0-9=:.]|be |is |are |get ')""")
+def marked_answers(spark, sf_dir):
+    """Sentences about a part's size, marked in six ways; the last has no number."""
+    kind, n, name = F.col("p_partkey") % 6, F.col("p_size").cast("long").cast("string"), F.col("p_name")
+    text = (
+        F.when(kind == 0, F.concat(name, F.lit(": the answer is "), n))
+        .when(kind == 1, F.concat(F.lit("ANSWER: "), n, F.lit(". "), name))
+        .when(kind == 2, F.concat(n, F.lit(" is the answer for "), name))
+        .when(kind == 3, F.concat(name, F.lit(r" has \boxed{x = "), n, F.lit("} in all")))
+        .when(kind == 4, F.concat(F.lit("We get "), n, F.lit("/2")))
+        .otherwise(name)
+    )
+    p = S.table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name").distinct().where(~name.rlike("[0-9=:.]|be |is |are |get "))
+    return p.select("p_partkey", N.marked(text).alias("m"), N.equals_any(text, F.array(F.lit("none"), n)).alias("correct")).select("p_partkey", "m.*", "correct")
+
+
+_TOKENS = f"""{ROLL}, t AS (SELECT group_id, reward, value, reward - 0.5 AS advantage, CASE WHEN masked_in THEN 1 ELSE 0 END AS m FROM rollouts),
+  g AS (SELECT group_id, sum(reward) AS score, sum(reward) - 0.25 * count(*) AS reward, sum(m) AS n, count(*) AS k FROM t GROUP BY 1)"""
+
+
+@query(f"""{_TOKENS}, a AS (SELECT {", ".join(f"avg({x}) AS {y}_mean, max({x}) AS {y}_max, min({x}) AS {y}_min" for x, y in (("CASE WHEN n > 0 THEN score END", "score"), ("CASE WHEN n > 0 THEN reward END", "rewards"), ("n", "len"), ("CASE WHEN n > 0 THEN n END", "alive"), ("k", "prompt")))},
+    avg((n = 6)::INT) AS len_clip, avg(CASE WHEN n > 0 THEN (n = 6)::INT END) AS alive_clip, avg((n = 0)::INT) AS aborted, avg((k = 7)::INT) AS prompt_clip FROM g),
+  b AS (SELECT {", ".join(f"avg({x}) AS {y}_mean, max({x}) AS {y}_max, min({x}) AS {y}_min" for x, y in (("advantage", "adv"), ("reward", "ret"), ("value", "val")))}, 1 - var_samp(reward - value) / (var_samp(reward) + 1e-5) AS vf FROM t WHERE m = 1)
+  SELECT metric, round(value, 5) + 0.0 AS value FROM ({" UNION ALL ".join(f"SELECT '{name}' AS metric, CAST({c} AS DOUBLE) AS value FROM {t}" for t, name, c in [(t, f"{n}/{k}", f"{c}_{k}") for t, n, c in (("a", "critic/score", "score"), ("a", "critic/rewards", "rewards"), ("a", "response_length", "len"), ("a", "response_length_non_aborted", "alive"), ("a", "prompt_length", "prompt"), ("b", "critic/advantages", "adv"), ("b", "critic/returns", "ret"), ("b", "critic/values", "val")) for k in ("mean", "max", "min")] + [("a", "response_length/clip_ratio", "len_clip"), ("a", "response_length_non_aborted/clip_ratio", "alive_clip"), ("a", "response/aborted_ratio", "aborted"), ("a", "prompt_length/clip_ratio", "prompt_clip"), ("b", "critic/vf_explained_var", "vf")])})""")
+def sequence_metrics(spark, sf_dir):
+    """An order is a sequence; what its masks keep is its response, and none where they keep nothing."""
+    s = S.sequences(spark, sf_dir).withColumnsRenamed({"value": "values", "reward": "returns"})
+    total = F.aggregate("returns", F.lit(0.0), lambda a, x: a + x)
+    kept = F.aggregate("mask", F.lit(0).cast("long"), lambda a, x: a + x)
+    rows = s.select("returns", "values", "mask", F.transform("returns", lambda x: x - 0.5).alias("advantages"), total.alias("score"), (total - 0.25 * F.size("returns")).alias("reward"), kept.alias("response_length"), F.size("returns").cast("long").alias("prompt_length"))
+    return M.sequence_metrics(rows, 6, 7).select("metric", F.round(F.round("value", 5) + F.lit(0.0), 5).alias("value"))

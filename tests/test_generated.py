@@ -4,10 +4,12 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from harrow.functions import answers as A
 from harrow.functions import expressions as E
-from harrow.operators import chat, generate
+from harrow.operators import chat, generate, metrics
 from harrow.streaming import curriculum
 
 # ---- chats ------------------------------------------------------------------------------------------
@@ -178,3 +180,47 @@ def test_generated_expressions(spark):
         E.expression(F.col("id"), operators={"%": 1})
     with pytest.raises(ValueError):
         E.expression(F.col("id"), numbers=(3, 3))
+
+
+# ---- answers and metrics ----------------------------------------------------------------------------
+
+
+def test_marked_answers():
+    cases = {
+        "Thus the answer is 12": (True, "12"),
+        "Answer: x = 5. It was asked for": (True, "5"),
+        "After all 4 is the answer": (True, "After all 4"),
+        "the answers are 1, 2": (True, "1, 2"),
+        r"first 3, then \boxed{\frac{1}{2}}": (True, r"\frac{1}{2}"),
+        "the answer is seven": (False, "seven"),
+        "17": (False, "17"),
+        "": (False, ""),
+    }
+    assert {t: A.marked_answer(t) for t in cases} == cases
+
+
+def test_matrices_and_lists():
+    m = r"\begin{pmatrix} 1 & 0.5 \\ -3 & 4 \end{pmatrix}"
+    for same in ("[[1, 1/2], [-3, 4]]", "Matrix([[1, 0.5], [-3, 4.0]])", r"$\begin{bmatrix}1&\frac{1}{2}\\-3&4\end{bmatrix}$"):
+        assert A.same_answer(same, m) and A.same_answer(m, same)
+    for other in ("[[1, 0.5], [-3, 5]]", "[[1, 0.5, -3, 4]]", "[[1, 0.5], [-3]]", "[1, 0.5]", "[]", "Matrix()"):
+        assert not A.same_answer(other, m)
+    assert A.parts_of("(1,000, 2)") == ["1000", "2"] and A.parts_of("[a, b)") == ["a", "b"] and A.parts_of("1,234") == ["1234"] and A.parts_of("((1),2)") == ["((1),2)"]
+    assert A.any_same("so the answer is 50%", ["1", "0.5"]) and A.any_same(r"\boxed{(1,2)}", ["(1, 2)"])
+    assert not A.any_same("3", ["4", None]) and not A.any_same(None, ["4"]) and not A.any_same("3", None) and not A.any_same("3", [])
+
+
+def test_sequence_metrics(spark):
+    schema = "score double, reward double, advantages array<double>, returns array<double>, values array<double>, mask array<int>, response_length long, prompt_length long"
+    rows = [(1.0, 0.5, [1.0, -1.0, 9.0], [2.0, 4.0, 9.0], [1.0, 4.0, 0.0], [1, 1, 0], 2, 3), (7.0, 7.0, [5.0], [5.0], [5.0], [0], 0, 4), (3.0, 2.5, [3.0], [6.0], [5.0], [1], 1, 2)]
+    df = spark.createDataFrame(rows, schema)
+    got = {r.metric: r.value for r in metrics.sequence_metrics(df, 2, 4).collect()}
+    assert got["critic/score/mean"] == 2.0 and got["critic/score/max"] == 3.0 and got["critic/rewards/min"] == 0.5
+    assert got["critic/advantages/mean"] == 1.0 and got["critic/returns/max"] == 6.0 and got["critic/values/min"] == 1.0
+    assert got["critic/vf_explained_var"] == pytest.approx(1 - (1 / 3) / (4 + 1e-5))
+    assert got["response_length/mean"] == 1.0 and got["response_length_non_aborted/mean"] == 1.5 and got["response/aborted_ratio"] == pytest.approx(1 / 3)
+    assert got["response_length_non_aborted/clip_ratio"] == 0.5 and got["prompt_length/clip_ratio"] == pytest.approx(1 / 3) and len(got) == 29
+    assert len(metrics.sequence_metrics(df.drop("values"), 2, 4, values=False).collect()) == 25
+    for none in (df.where("response_length = 0"), df.limit(0)):
+        with pytest.raises(PySparkException, match="no sequence of the batch has a response"):
+            metrics.sequence_metrics(none, 2, 4).collect()
