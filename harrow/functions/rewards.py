@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
 from collections.abc import Callable
 
 import pandas as pd
@@ -62,6 +61,19 @@ def char_count(response: Column, truth: Column) -> Column:
     return F.when(A.boxed_flat(response) == truth, 1.0).otherwise(0.0)
 
 
+@scorer("countdown")
+def countdown(response: Column, problem: Column) -> Column:
+    """1 for a boxed expression that uses each number of the problem once and makes its target; 0 for others, and for a
+    problem that states neither."""
+    listed = F.coalesce(F.nullif(F.regexp_extract(problem, r"Given the numbers \[(.*?)\],", 1), F.lit("")), F.regexp_extract(problem, "Given the numbers (.*?), find", 1))
+    numbers = F.transform(F.split(listed, ","), lambda x: F.trim(x).try_cast("int"))
+    target = F.regexp_extract(problem, "reach the target ([0-9]+)", 1).try_cast("int")
+    stated = F.coalesce(target.isNotNull() & F.forall(numbers, lambda x: x.isNotNull()), F.lit(False))
+    # the function runs on all rows of a dispatch; a null text passes it at once
+    reason = A.countdown_reason(F.when(stated, response), numbers, target)
+    return F.when(stated & response.isNotNull() & reason.isNull(), 1.0).otherwise(0.0)
+
+
 def dispatch(source: Column, response: Column, truth: Column, strict: bool = True) -> Column:
     """The score by the row's source; an unknown source is an error, or null if not ``strict``."""
     out = F.raise_error(F.concat(F.lit("no scorer for "), source)).cast("double") if strict else F.lit(None).cast("double")
@@ -120,20 +132,6 @@ def rescored(df: DataFrame, score: Column, key: Column, name: str, version: str)
     return old.unionByName(new)
 
 
-def loaded(path: str, name: str) -> Callable[[pd.Series, pd.Series], pd.Series]:
-    """A column function from a file's function of (response, truth), which returns a number, or a dict with score or acc."""
-
-    @F.pandas_udf("double")
-    def run(response: pd.Series, truth: pd.Series) -> pd.Series:
-        spec = importlib.util.spec_from_file_location("reward_module", path)
-        module = importlib.util.module_from_spec(spec)
-        spec.loader.exec_module(module)
-        got = [getattr(module, name)(r, t) for r, t in zip(response, truth, strict=True)]
-        return pd.Series([float(x.get("score", x.get("acc", 0))) if isinstance(x, dict) else float(x) for x in got])
-
-    return run
-
-
 def at_last_token(score: Column, length: Column) -> Column:
     """Per token: 0, and the score on the last valid one."""
     return F.transform(F.sequence(F.lit(1), F.greatest(length, F.lit(1)).cast("int")), lambda i: F.when(i == length, score).otherwise(0.0))

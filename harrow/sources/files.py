@@ -6,7 +6,6 @@ import base64
 import json
 import uuid
 import zlib
-from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -163,6 +162,22 @@ def content_hash(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
 
 
+def canonical_json(df: DataFrame, *columns: str) -> Column:
+    """The columns as compact JSON with sorted keys, nested ones too, and nulls written; a map's keys ascend."""
+
+    def ordered(x: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StructType):
+            return F.when(x.isNotNull(), F.struct(*(ordered(x[f], kind[f].dataType).alias(f) for f in sorted(kind.names))))
+        if isinstance(kind, T.ArrayType):
+            return F.transform(x, lambda y: ordered(y, kind.elementType))
+        if isinstance(kind, T.MapType):
+            entries = F.array_sort(F.map_entries(x), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+            return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], ordered(e["value"], kind.valueType))))
+        return x
+
+    return F.to_json(F.struct(*(ordered(F.col(c), df.schema[c].dataType).alias(c) for c in sorted(columns))), {"ignoreNullFields": "false"})
+
+
 def cache_valid(df: DataFrame, rows: int, version: int, column: str = "token_schema_version") -> bool:
     """Are there as many rows as there should be, all of the current version?"""
     r = df.agg(F.count("*").alias("n"), F.coalesce(F.bool_and(F.col(column).eqNullSafe(F.lit(version))), F.lit(False)).alias("ok")).first()
@@ -245,37 +260,3 @@ def complete_steps(files: DataFrame, path: str = "path") -> DataFrame:
     f = F.col(path)
     rows = files.select(F.regexp_extract(f, r"global_step_(\d+)", 1).try_cast("long").alias("step"), F.regexp_extract(f, r"world_size_(\d+)_rank_(\d+)", 1).try_cast("int").alias("world"), F.regexp_extract(f, r"world_size_(\d+)_rank_(\d+)", 2).try_cast("int").alias("rank"))
     return rows.where("step is not null and rank is not null").groupBy("step").agg(F.countDistinct("rank").alias("ranks"), F.max("world").alias("world")).where("ranks = world").select("step", "ranks")
-
-
-SOURCES: dict[str, Callable[[DataFrame], DataFrame]] = {}
-
-
-def source(name: str, problem: str, answer: Callable[[], Column] | str) -> None:
-    """Registers the projection of a named dataset to (id, problem, answer)."""
-    if name in SOURCES:
-        raise ValueError(f"a source named {name!r} exists already")
-
-    def project(df: DataFrame) -> DataFrame:
-        got = F.col(answer) if isinstance(answer, str) else answer()
-        id = F.col("id").cast("string") if "id" in df.columns else F.sha2(F.col(problem).cast("string"), 256)
-        return df.select(id.alias("id"), F.col(problem).cast("string").alias("problem"), got.cast("string").alias("answer"))
-
-    SOURCES[name] = project
-
-
-def _register() -> None:
-    from harrow.functions.answers import boxed
-    from harrow.operators.shape import after_last, answer_letter, integer_text
-
-    source("gsm8k", "question", lambda: F.replace(after_last(F.col("answer"), "####"), F.lit(","), F.lit("")))
-    source("math", "problem", lambda: boxed("solution"))
-    source("aime", "problem", "answer")
-    source("amc", "problem", lambda: integer_text(F.col("answer").cast("double")))
-    source("math500", "problem", "answer")
-    source("minerva", "problem", lambda: boxed("solution"))
-    source("olympiad", "question", lambda: F.array_join("final_answer", ", "))
-    source("mmlu", "question", lambda: answer_letter(F.lit(None).cast("string"), F.col("answer").cast("int")))
-    source("dapo", "prompt", "answer")
-
-
-_register()
