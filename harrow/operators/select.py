@@ -47,6 +47,13 @@ def top_scores(scores: DataFrame, n: int, descending: bool = True, id: str = "gr
     return top(scores, n, [key, line or id]).select(id).distinct()
 
 
+def top_lines(scores: DataFrame, lines: DataFrame, n: int, id: str = "group_id", score: str = "score", line: str = "line") -> DataFrame:
+    """The first ``n`` rows by score, ties by id, with their place from 1 and what stands in the line of that number (null where
+    there is none). Only the chosen ids meet the lines."""
+    chosen = ranked(top(scores.select(id, score), n, [F.desc(score), F.asc(id)]), [F.desc(score), F.asc(id)], "place")
+    return chosen.join(lines.withColumnRenamed(line, "__line"), F.col(id) == F.col("__line"), "left").drop("__line")
+
+
 def rank_list(scores: DataFrame, n: int, id: str = "group_id", score: str = "score") -> DataFrame:
     """All rows with rank and whether they are among the first ``n``."""
     return ranked(scores, [F.desc(score), F.asc(id)]).withColumn("selected", F.col("rank") <= n)

@@ -35,12 +35,20 @@ def summary(s: Column, frobenius: Column) -> dict[str, Column]:
     }
 
 
-def classify(name: Column) -> dict[str, Column]:
-    """Layer and family of a parameter name; null for others."""
-    key = F.regexp_extract(name, r"layers\.(\d+)\..*?(q_proj|k_proj|v_proj|o_proj|gate_proj|up_proj|down_proj)(\.|$)", 2)
-    layer = F.regexp_extract(name, r"layers\.(\d+)\.", 1)
-    family = F.create_map(*(F.lit(x) for kv in FAMILIES.items() for x in kv))[key]
-    return {"layer": F.when(family.isNotNull(), layer.cast("int")), "family": family}
+#: Where a transformer's layers and its weights stand in a parameter's name.
+_LAYER, _ATTENTION, _MLP = r"(?:^|\.)(?:layers|h|blocks|block)\.(\d+)\.", r".*?self_attn\.(q_proj|k_proj|v_proj|o_proj)\.weight$", r".*?mlp\.(gate_proj|up_proj|down_proj)\.weight$"
+
+
+def classify(name: Column, shape: Column | None = None, scope: str = "all") -> dict[str, Column]:
+    """Layer and family of a weight by its parameter's name; null for others, for those outside ``scope`` (qkvo or all), and for
+    shapes that aren't a matrix's, where a ``shape`` is given."""
+    if scope not in ("qkvo", "all"):
+        raise ValueError(f"unknown scope {scope!r}")
+    patterns = [_LAYER + _ATTENTION] + [_LAYER + _MLP] * (scope == "all")
+    got = lambda i: F.coalesce(*(F.nullif(F.regexp_extract(name, p, i), F.lit("")) for p in patterns))
+    matrix = F.lit(True) if shape is None else F.coalesce(F.size(shape) == 2, F.lit(False))
+    family = F.create_map(*(F.lit(x) for kv in FAMILIES.items() for x in kv))[got(2)]
+    return {"layer": F.when(matrix, got(1).cast("int")), "family": F.when(matrix, family)}
 
 
 def scope_scores(matrices: DataFrame, value: str = "total", id: str = "id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from harrow.plans import advantages, data, evaluation, exact, generated, reports, selection, shaping, sourcing, training  # noqa: F401
+from harrow.plans import advantages, data, evaluation, exact, filed, generated, reports, selection, shaping, sourcing, training  # noqa: F401
 from harrow.plans.registry import QUERIES, SQL, Query
 
 

@@ -6,6 +6,7 @@ import base64
 import json
 import uuid
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -255,6 +256,15 @@ def leaderboard_html(df: DataFrame, most: int = 10_000) -> str:
     return f"<table><tr>{cells(df.columns, 'th')}</tr>{''.join(f'<tr>{cells(r, "td")}</tr>' for r in rows)}</table>"
 
 
+def kept(spark: SparkSession, root: str, name: tuple[str, str], batch: int, n: int, make: Callable[[], DataFrame]) -> DataFrame:
+    """Rollouts of (experiment, project) with ``n`` responses to each of a ``batch`` of prompts: those that a finished write left
+    in ``root``, else what ``make`` gives, written there first. A write that was cut short is done again."""
+    path = f"{root.rstrip('/')}/{name[0]}_{name[1]}_GBS{batch}__N{n}"
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def complete_steps(files: DataFrame, path: str = "path") -> DataFrame:
     """(step, ranks): steps of checkpoint files ".../global_step_<n>/..._world_size_<w>_rank_<r>..." of which all ranks are there."""
     f = F.col(path)

@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.functions.answers import boxed
 from harrow.operators.select import hash_order, ranked, top
 from harrow.operators.shape import between, choices, integer_text
+from harrow.sources.benchmarks import read as read_lines_as_variants
 
 _ASK = "Please reason step by step, and put your final answer within \\boxed{}.\n\n"
 _OPTIONS = "\nChoose the correct option by its alphabet. You answer should be \\boxed{A/B/C/...}\\n"
@@ -170,3 +171,36 @@ def of_split(records: DataFrame, split: str) -> DataFrame:
     """The records of a split; all of them where it has none."""
     own = records.where(F.col("extra_info.split") == split)
     return records if own.isEmpty() else own
+
+
+# ---- prompt files ------------------------------------------------------------------------------------------
+
+
+def read_prompts(spark: SparkSession, path: str, first: int = 1, last: int = 10_000) -> DataFrame:
+    """(line, problem, answer, index, source, entry) of the physical lines ``first`` to ``last`` of a file of JSON objects, or of
+    the elements of a file that holds one list. Where all have a training record's fields, the problem is its messages as JSON;
+    else, for all, it is what stands under problem, else under prompt, else the entry itself. Blank lines count but give no
+    row; a line that is no object is an error."""
+    head = spark.read.text(path).where(F.btrim("value", F.lit(" \t\ufeff")) != "").limit(1).collect()
+    if head and head[0][0].lstrip(" \t\ufeff").startswith("["):
+        listed = F.posexplode(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>"))
+        rows = spark.read.text(path, wholetext=True).select(listed.alias("line", "row"))
+    else:
+        rows = read_lines_as_variants(spark, path)
+    rows = rows.withColumn("line", F.col("line").cast("long") + 1).where(F.col("line").between(first, last))
+    return prompts_of(rows)
+
+
+def prompts_of(rows: DataFrame) -> DataFrame:
+    """The same of (line, row) with a VARIANT each."""
+    row = F.col("row")
+    text = lambda *keys: F.coalesce(*(F.try_variant_get(row, f"$.{k}", "string") for k in keys))
+    there = lambda key: F.try_variant_get(row, f"$.{key}", "variant").isNotNull()
+    full = there("prompt") & there("reward_model.ground_truth") & there("extra_info.index") & there("data_source")
+    whole = rows.where(F.assert_true(row.isNotNull(), F.concat(F.lit("no JSON object in line "), F.col("line").cast("string"))).isNull())
+    trained = whole.agg(F.coalesce(F.bool_and(full), F.lit(False)).alias("all")).first()["all"]
+    if trained:
+        fields = (text("prompt"), text("reward_model.ground_truth"), F.try_variant_get(row, "$.extra_info.index", "long"), text("data_source"))
+    else:
+        fields = (F.coalesce(text("problem", "prompt"), F.to_json(row)), F.coalesce(text("answer", "ground_truth"), F.lit("")), F.lit(None).cast("long"), F.coalesce(text("data_source"), F.lit("")))
+    return whole.select("line", *(f.alias(n) for f, n in zip(fields, ("problem", "answer", "index", "source"), strict=True)), F.to_json(row).alias("entry"))

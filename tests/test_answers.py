@@ -40,7 +40,10 @@ def test_boxes_and_equality():
     like = " ".join(f"sentence number {i} of the list says that {i * 7919 % 10007} is not {i * 104729 % 9973} and then some more words follow." for i in range(150))
     assert not A.repeats_itself(like)  # much alike, yet its common prefixes are short
     assert A.repeats_itself("abc" * 200) and not A.repeats_itself("the quick brown fox jumps over")
-    assert A.transcript("think <code>x</code><interpreter>1</interpreter> done") == [("assistant", "think <code>x</code>"), ("tool", "1"), ("assistant", "done")]
+    assert A.tool_messages("think <code>\n```python\nx = 1\n```</code>\n<interpreter> 1\n</interpreter> so <answer>\\boxed{1}</answer> \n") == ([("assistant", "think", "x = 1"), ("tool", "1", None), ("assistant", "so \\boxed{1}", None)], None)
+    assert A.tool_messages("<code>y</code>") == ([("assistant", "", "y")], None) and A.tool_messages(" ") == ([], None)
+    assert A.tool_messages("<code>y</code> no") == ([("assistant", "", "y")], "the tool has no turn")
+    assert A.tool_messages("a</answer><answer>b</answer>")[1] == A.tool_messages("<answer>b")[1] == "<answer> is not closed"
 
 
 def test_columns(spark):
