@@ -57,11 +57,10 @@ def gspo(df: DataFrame, seq: str = "group_id", low: float = 0.2, high: float = 0
 
 def geometric(df: DataFrame, seq: str = "group_id", low: float = 0.4, high: float = 0.4) -> DataFrame:
     """One row per sequence: the geometric mean of its ratios, each clamped in log space on the side that
-    the sign of the advantage asks for, times the mean advantage."""
+    the sign of the advantage asks for (1 where the advantage is 0), times the mean advantage."""
     step = clamp(F.col("logp") - F.col("old_logp"), -20.0, 20.0)
     sign = F.signum(F.col("advantage"))
     held = sign * F.least(sign * step, sign * clamp(step, -low, high))
-    held = F.when(sign == 0, step).otherwise(held)
     n = F.sum("mask")
     return df.withColumn("held", held).groupBy(seq).agg((F.exp(F.sum(F.col("held") * F.col("mask")) / (n + 1e-8)) * -(F.sum(F.col("advantage") * F.col("mask")) / (n + 1e-8))).alias("loss"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from harrow.operators import advantage as A
 from harrow.operators import losses as L
+from harrow.operators import policies as P
 from harrow.plans import standins as S
 from harrow.plans.registry import query, r6
 
@@ -180,7 +181,7 @@ def gspo(spark, sf_dir):
 
 
 @query(f"""{TOK}, s AS (SELECT *, sign(advantage) AS sg, {_CLAMPED} AS d FROM tok),
-  h AS (SELECT *, CASE WHEN sg = 0 THEN d ELSE sg * least(sg * d, sg * greatest(least(d, 0.4), -0.4)) END AS held FROM s)
+  h AS (SELECT *, sg * least(sg * d, sg * greatest(least(d, 0.4), -0.4)) AS held FROM s)
   SELECT group_id, round(exp(sum(held * mask) / (sum(mask) + 1e-8)) * -(sum(advantage * mask) / (sum(mask) + 1e-8)), 6) + 0.0 AS loss FROM h GROUP BY group_id""")
 def geo_mean(spark, sf_dir):
     return L.geometric(tokens(spark, sf_dir)).select("group_id", r6("loss").alias("loss"))
@@ -238,3 +239,38 @@ def dpo_pairs(spark, sf_dir):
 def policy_resampling(spark, sf_dir):
     """Draws are hashed, which SQL cannot repeat: rows only."""
     return L.resample(S.rollouts(spark, sf_dir), ["group_id", "sample_id"]).select(*OUT, "reward", "copies")
+
+
+# ---- policies by name: a batch's loss and what was clipped ------------------------------------------
+
+_WEIGHED = f"""{TOK}, t AS (SELECT *, logp - old_logp AS d, exp(logp - old_logp) AS r, sign(advantage) AS sg, 1 + sample_id % 3 / 4 AS w, exp(least(sum((logp - old_logp) * mask) OVER g / greatest(sum(mask) OVER g, 1), 10)) AS sr FROM tok WINDOW g AS (PARTITION BY group_id)),
+  u AS (SELECT avg(advantage) FILTER (mask = 1) AS a, avg(logp) FILTER (mask = 1) AS l, greatest(floor(0.002 * sum(mask)), 1) AS k FROM t),
+  c AS (SELECT t.*, k, row_number() OVER (PARTITION BY mask ORDER BY (advantage - a) * (logp - l) DESC, group_id, sample_id) AS nth FROM t, u),
+  x AS (SELECT *, -advantage * r AS p1, -advantage * greatest(least(r, 1.2), 0.8) AS p2, -advantage * sr AS g1, -advantage * greatest(least(sr, 1.2), 0.8) AS g2, mask = 1 AND nth <= k AS top, sg * least(sg * d, sg * greatest(least(d, 0.2), -0.2)) AS held FROM c)"""
+_MASKED = lambda e: f"round(sum(({e}) * mask) / (sum(mask) + 1e-8), 5) + 0.0"
+
+
+def _policy_sql() -> str:
+    worst = "CASE WHEN advantage < 0 THEN least(-advantage * 3, greatest(p1, p2)) ELSE greatest(p1, p2) END"
+    row = lambda name, loss, clipped, kl, lower: f"SELECT '{name}' AS policy, {loss} AS loss, {clipped} AS clipped, {kl} AS kl, {lower} AS clipped_lower"
+    by_seq = "SELECT group_id, sum(w * greatest(g1, g2) * mask) / (sum(mask) + 1e-8) AS s, exp(sum(held * mask) / (sum(mask) + 1e-8)) * -(sum(advantage * mask) / (sum(mask) + 1e-8)) * exp(sum(ln(w + 1e-10) * mask) / (sum(mask) + 1e-8)) AS q FROM x GROUP BY 1"
+    out = "(d < -0.2 OR d > 0.2)"
+    parts = [
+        row("vanilla", _MASKED(f"w * {worst}"), _MASKED("(p2 > p1)::INT"), _MASKED("-d"), _MASKED("(greatest(p1, p2) > -advantage * 3 AND advantage < 0)::INT")) + " FROM x",
+        row("gspo", "(SELECT round(avg(s), 5) + 0.0 FROM q)", _MASKED("(g2 > g1)::INT"), _MASKED("-d"), "0.0::DOUBLE") + " FROM x",
+        row("gpg", _MASKED("w * -logp * advantage"), "0.0::DOUBLE", "0.0::DOUBLE", "0.0::DOUBLE") + " FROM x",
+        row("kl_cov", _MASKED("w * (p1 + CASE WHEN top THEN abs(d) ELSE 0 END)"), "0.0::DOUBLE", _MASKED("abs(d)"), "0.0::DOUBLE") + " FROM x",
+        row("geo_mean", "(SELECT round(avg(q), 5) + 0.0 FROM q)", _MASKED(f"({out} AND advantage > 0)::INT"), _MASKED("-d"), _MASKED(f"({out} AND advantage < 0)::INT")) + " FROM x",
+    ]
+    return f"{_WEIGHED}, q AS ({by_seq}) " + " UNION ALL ".join(parts)
+
+
+@query(_policy_sql())
+def policy_losses(spark, sf_dir):
+    """Five policies over weighted tokens; the sixth draws at random."""
+    rows = tokens(spark, sf_dir).withColumn("w", 1 + F.col("sample_id") % 3 / 4)
+    batch, out = P.Batch(rows, weight="w"), None
+    for name, options in {"vanilla": {}, "gspo": {}, "gpg": {}, "kl_cov": {"share": 0.002}, "geo_mean": {}}.items():
+        one = P.policy_loss(name, batch, **options).select(F.lit(name).alias("policy"), *((F.round(c, 5) + 0.0).alias(c) for c in P.PARTS))
+        out = one if out is None else out.unionByName(one)
+    return out
