@@ -2,18 +2,20 @@
 
 Four base patterns are always redacted. Beside them, generators with high recall propose
 spans that the base patterns miss (written-out addresses, loosely grouped numbers, numbers
-without a plus). Spark ML fits gradient-boosted trees on the documents of a small share of all hash values.
+without a plus). Spark ML fits gradient-boosted trees on all documents that can hold a base span: those with an @ or a digit.
 Positive are base spans and the same spans rewritten the way the generators look for, in their own context; negative
 are matches that fail their check, these rewritten, and what the generators propose in the texts as they
 stand: nobody has labelled those, and counting them as wrong makes the thresholds err on the side of
-precision. The features describe format and context, not the check. Documents, not candidates, are dealt to two halves:
-one fits the trees, on the other a threshold for each kind is set for the precision asked for, over the
-candidates that thresholds decide on (not over base spans, which stay in any case). Texts become feature rows where they are;
+precision. The features describe format and context, not the check; they are whole numbers of a byte, so that equal examples
+are counted and the trees see each once, with its number as weight. Documents, not candidates, are dealt to two halves:
+trees of each half score the other, and a threshold for each kind is set for the precision asked for over these scores of all
+candidates that thresholds decide on (not over base spans, which stay in any case); the trees that are used are fitted on both. Texts become
+feature rows where they are;
 trees and thresholds are a small array that every task holds, so that all documents are judged in one pass without a shuffle.
 
-Defined results: a null or empty text has no spans; repeated rows are each judged alike and count once in the
-sample; an empty table gives an empty result; ties between overlapping added spans go to the higher score, then the
-earlier start; where the sample lacks either class no span is added. Columns beside ``doc_id`` and
+Defined results: a null or empty text has no spans; repeated rows are each judged alike and equal texts count once when
+trees are fitted; an empty table gives an empty result; ties between overlapping added spans go to the higher score, then the
+earlier start; where a half lacks either class no span is added. Columns beside ``doc_id`` and
 ``text`` don't matter to :func:`find_spans` and are passed through by :func:`redact`.
 """
 
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,21 +96,26 @@ def candidates(text: str, good: list, bad: list) -> list[tuple[int, int, int]]:
     return list(found)
 
 
-def features(text: str, start: int, kind: int, end: int) -> list[float]:
+def features(text: str, start: int, kind: int, end: int) -> bytes:
+    """Format and context, each a number from 0 to 255; shares are in 32nds."""
     s, left, right = text[start:end], text[max(0, start - 24) : start], text[end : end + 8]
     n = len(s)
     digits, groups = sum(map(str.isdigit, s)), re.findall(r"[0-9]+", s)
-    return [
-        float(kind == 0), float(kind == 1), float(kind == 2), float(kind == 3), n, digits, digits / n, sum(map(str.isalpha, s)) / n,
-        len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0), s.count("."), s.count("-"), s.count(" "), s.count("("),
-        float(s[:1] == "+"), len(set(s)) / n, float(left[-1:].isalnum()), float(right[:1].isalnum()), float(left[-1:] in "\"'=#_"),
-        *(float(bool(w.search(left))) for w in _WORDS),
-    ]
+    return bytes((
+        kind == 0, kind == 1, kind == 2, kind == 3, min(n, 255), min(digits, 255), 32 * digits // n, 32 * sum(map(str.isalpha, s)) // n,
+        min(len(groups), 255), min(max(map(len, groups), default=0), 255), min(min(map(len, groups), default=0), 255), min(s.count("."), 255), min(s.count("-"), 255), min(s.count(" "), 255), min(s.count("("), 255),
+        s[:1] == "+", 32 * len(set(s)) // n, left[-1:].isalnum(), right[:1].isalnum(), left[-1:] in "\"'=#_",
+        *(bool(w.search(left)) for w in _WORDS),
+    ))
 
 
 N_FEATURES = 24
 #: Scores are told apart to one part in this many when thresholds are set.
 BINS = 1000
+#: Different examples that one task of the trees holds.
+FIT_ROWS = 1 << 18
+#: Spark ML seeks split points among this many rows squared at least, so among all; a feature has 256 values at most.
+MOST_BINS = 46_340
 
 
 class Model:
@@ -116,7 +124,7 @@ class Model:
     def __init__(self, trees: list[list[tuple]], weights: list[float], thresholds: list[float]):
         self.trees, self.weights, self.thresholds = trees, weights, thresholds
 
-    def score(self, x: list[float]) -> float:
+    def score(self, x: bytes) -> float:
         total = 0.0
         for nodes, w in zip(self.trees, self.weights, strict=True):
             i = 0
@@ -155,59 +163,79 @@ def _rewritten(kind: int, span: str) -> str | None:
     return "00" + span[1:].lstrip("0") if kind == 3 else None
 
 
-def examples(text: str) -> Iterator[tuple[int, bool, float, list[float]]]:
-    """(kind, decided by a threshold, label, features) of a text's candidates and of rewritten ones."""
+def examples(text: str) -> Iterator[bytes]:
+    """Kind, whether a threshold decides on it, label and features, a byte each, of a text's candidates and of rewritten ones."""
     good, bad = base_spans(text)
     taken = [(s, e) for s, _, e in good]
-    for label, spans in ((1.0, good), (0.0, bad)):
+    for label, spans in ((1, good), (0, bad)):
         for start, kind, end in spans:
-            yield kind, label == 0.0, label, features(text, start, kind, end)
+            yield bytes((kind, label == 0, label)) + features(text, start, kind, end)
             new = _rewritten(kind, text[start:end])
             if new is not None:
                 around = text[max(0, start - 80) : start] + new + text[end : end + 80]
                 at = min(start, 80)
                 for k, pattern in _LOOSE:
-                    for m in pattern.finditer(around):
-                        if k == kind and m.start() < at + len(new) and m.end() > at:
-                            yield kind, True, label, features(around, m.start(), kind, m.end())
+                    if k == kind:
+                        for m in pattern.finditer(around):
+                            if m.start() < at + len(new) and m.end() > at:
+                                yield bytes((kind, True, label)) + features(around, m.start(), kind, m.end())
     for start, kind, end in candidates(text, [], []):
         if all(end <= s or start >= e for s, e in taken):
-            yield kind, True, 0.0, features(text, start, kind, end)
+            yield bytes((kind, True, 0)) + features(text, start, kind, end)
 
 
-def fit(docs: DataFrame, text: str = "text", train_documents: int = 2000, precision: float = 0.95, rounds: int = 12, depth: int = 3) -> Model | None:
-    """Fit on about ``train_documents`` documents: those with an @ or digits whose text's hash is in a share of all
-    hashes that holds so many on average. None if they hold only one class."""
+def counted(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(half, example, n): the examples of all different texts that can hold a base span, which takes an @ or a digit, and how often
+    each stands in those of a half. What the generators propose in other texts has no label beside it, so says nothing."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        texts = zip(rows.column("h").to_pylist(), rows.column("t").to_pylist(), strict=True)
+        out = [(h, x, n) for h, t in texts for x, n in Counter(examples(t)).items()]
+        cols = list(zip(*out, strict=True)) if out else [[]] * 3
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("h", "example", "n"), cols, (pa.int64(), pa.binary(), pa.int64()), strict=True)})
+
+    texts = docs.select(F.col(text).alias("t"), F.xxhash64(text).alias("h")).where(F.contains("t", F.lit("@")) | F.col("t").rlike("[0-9]"))
+    found = common.arrow_pass(texts, run, "h long, example binary, n long").distinct()
+    return found.groupBy(F.pmod(F.xxhash64(F.lit(3), "h"), F.lit(2)).cast("int").alias("half"), "example").agg(F.sum("n").alias("n"))
+
+
+def _grown(rows: DataFrame, rounds: int, depth: int) -> Model:
+    """Trees fitted on rows (example, x, label, n). Up to ``FIT_ROWS`` different examples are summed up by one task, in their order, so that reruns agree."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    hinted = docs.select(F.col(text).alias("t"), F.xxhash64(text).alias("h")).where(F.contains("t", F.lit("@")) | F.col("t").rlike("[0-9]{2}"))
-    total = hinted.select("h").count()
-    if not total:
-        return None
-    below = -(1 << 63) + int((1 << 64) * min(1.0, train_documents / total)) - 1
+    train = rows.groupBy("example").agg(F.first("x").alias("x"), F.first("label").alias("label"), F.sum("n").cast("double").alias("n"))
+    train = train.coalesce(-(-rows.count() // FIT_ROWS)).sortWithinPartitions("example").select(array_to_vector("x").alias("features"), "label", "n").cache()
+    fitted = GBTClassifier(maxIter=rounds, maxDepth=depth, maxBins=MOST_BINS, seed=7, cacheNodeIds=False, weightCol="n").fit(train)
+    train.unpersist()
+    return Model([_tree(t._call_java("rootNode")) for t in fitted.trees], list(fitted.treeWeights), [2.0] * len(KINDS))
 
-    def run(rows: pa.Table) -> pa.Table:
-        out = [(h, i, *x) for h, t in zip(rows.column("h").to_pylist(), rows.column("t").to_pylist(), strict=True) for i, x in enumerate(examples(t))]
-        cols = list(zip(*out, strict=True)) if out else [[]] * 6
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.float64(), pa.list_(pa.float64()))
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(("h", "i", "kind", "open", "label", "x"), cols, kinds, strict=True)})
 
-    found = common.arrow_pass(hinted.where(F.col("h") <= below), run, "h long, i long, kind int, open boolean, label double, x array<double>")
-    found = common.cut(found.dropDuplicates(["h", "i"]).withColumn("half", F.pmod(F.xxhash64(F.lit(3), "h"), F.lit(2))))
+def fit(docs: DataFrame, text: str = "text", train_documents: int | None = None, precision: float = 0.95, rounds: int = 12, depth: int = 3) -> Model | None:
+    """Fit on all documents that can hold a base span, or on about ``train_documents`` of them where a caller asks for fewer: those whose text's hash is in
+    a share of all hashes that holds so many on average. None if a half holds only one class."""
+    if train_documents is not None:
+        share = min(1.0, train_documents / max(1, docs.count()))
+        docs = docs.where(F.xxhash64(text) <= -(1 << 63) + int((1 << 64) * share) - 1)
+
+    def unpacked(rows: pa.Table) -> pa.Table:
+        flat = np.frombuffer(b"".join(rows.column("example").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+        x = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * N_FEATURES), pa.array(flat[:, 3:].reshape(-1).astype(np.float64)))
+        return rows.append_column("kind", pa.array(flat[:, 0].astype(np.int32))).append_column("open", pa.array(flat[:, 1] == 1)).append_column("label", pa.array(flat[:, 2].astype(np.float64))).append_column("x", x)
+
+    found = common.cut(common.arrow_pass(counted(docs, text), unpacked, "half int, example binary, n long, kind int, open boolean, label double, x array<double>"))
     if found.groupBy("half").agg(F.countDistinct("label").alias("n")).where("n = 2").count() < 2:
         return None
-    train = found.where("half = 0").orderBy("h", "i").select(array_to_vector("x").alias("features"), "label").coalesce(1).cache()
-    fitted = GBTClassifier(maxIter=rounds, maxDepth=depth, maxBins=16, seed=7, cacheNodeIds=False).fit(train)
-    train.unpersist()
-    model = Model([_tree(t._call_java("rootNode")) for t in fitted.trees], list(fitted.treeWeights), [2.0] * len(KINDS))
+    halves = [_grown(found.where(F.col("half") == k), rounds, depth) for k in (0, 1)]
+    model = _grown(found, rounds, depth)
 
     def score(rows: pa.Table) -> pa.Table:
-        return pa.table({"kind": rows.column("kind"), "bin": pa.array([int(model.score(x) * BINS) for x in rows.column("x").to_pylist()], pa.int32()), "label": rows.column("label")})
+        bins = [int(halves[1 - h].score(x[3:]) * BINS) for h, x in zip(rows.column("half").to_pylist(), rows.column("example").to_pylist(), strict=True)]
+        return pa.table({"kind": rows.column("kind"), "bin": pa.array(bins, pa.int32()), "label": rows.column("label"), "n": rows.column("n")})
 
-    scored = common.arrow_pass(found.where("half = 1 and open").select("kind", "x", "label"), score, "kind int, bin int, label double")
+    scored = common.arrow_pass(found.where("open").select("half", "example", "kind", "label", "n"), score, "kind int, bin int, label double, n long")
     bins: dict[int, list] = {k: [] for k in range(len(KINDS))}
-    for r in scored.groupBy("kind", "bin").agg(F.count("*").alias("n"), F.sum("label").alias("right")).orderBy(F.desc("bin")).collect():  # at most BINS + 1 rows of a kind
+    for r in scored.groupBy("kind", "bin").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("right")).orderBy(F.desc("bin")).collect():  # at most BINS + 1 rows of a kind
         bins[r["kind"]].append((r["bin"], r["n"], r["right"]))
     for kind, own in bins.items():
         n = right = 0.0

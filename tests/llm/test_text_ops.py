@@ -5,6 +5,7 @@ import random
 import base64
 import gzip
 import re
+from collections import Counter
 from urllib.parse import quote
 
 import brute
@@ -70,6 +71,16 @@ def test_pii_added_spans_are_right(spark):
     assert right >= 0.95 * sum(map(len, added.values())) and right >= 0.8 * 300
 
 
+def test_pii_is_fitted_on_all_documents(spark):
+    """Few of very many documents hold personal data; every example of every different text counts."""
+    rare = [f"please mail user{i}.x@mail{i}.example.com now" for i in range(8)]
+    texts = [rare[i // 3000] if i % 3000 == 0 else f"order 12{i} 99{i % 7} of 2020" for i in range(24000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts[:50]])], "doc_id long, text string")
+    assert pii.fit(docs, rounds=2) is not None
+    got = {bytes(r["example"]): r["n"] for r in pii.counted(docs).groupBy("example").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    assert got == Counter(x for t in set(texts) for x in pii.examples(t))
+
+
 def test_secrets(docs):
     got = rows(secrets.find_secrets(docs), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
     assert got == sorted(((i, *brute.secrets(t)) for i, t in source(docs)), key=repr)
