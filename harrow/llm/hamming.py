@@ -103,9 +103,9 @@ def near_pairs(points: DataFrame, threshold: float = THRESHOLD, small: int = SMA
     """(u, v): edges whose components are those of all pairs of signatures that differ in at most 2 x CHUNKS - 1 coordinates.
     ``points`` has distinct sets and their sketches."""
     distance = 2 * CHUNKS - 1
-    nodes = _filed(points)
+    nodes, filed = _filed(points), COORDINATES * points.count()
     sketches = points.select("set", "sketch")
-    size = common.cut(nodes.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"))
+    size = common.cut(nodes.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), filed)
     few = nodes.join(size.where(F.col("size") <= small).select("path"), "path").join(sketches, "set").select("path", "set", "sketch")
     found = jaccard.sorted_groups(few, ["path"], lambda rows, groups: _forests(rows, groups, distance), jaccard.PAIR).distinct()
     large = size.where(F.col("size") > small)
@@ -113,19 +113,19 @@ def near_pairs(points: DataFrame, threshold: float = THRESHOLD, small: int = SMA
         return found
     chunks = F.ceil(F.col("size") / (small // 2)).cast("long")
     total = large.agg(F.sum("size").alias("n")).first()["n"]
-    crowd = common.cut(common.hot_join(nodes, large.withColumn("chunks", chunks), "path", "size", total).withColumn("i", F.pmod(F.xxhash64("set"), F.col("chunks"))))
+    crowd = common.cut(common.hot_join(nodes, large.withColumn("chunks", chunks), "path", "size", total).withColumn("i", F.pmod(F.xxhash64("set"), F.col("chunks"))), total)
     # the first point goes to every chunk
     pivots = crowd.groupBy("path", "chunks").agg(F.min("set").alias("set"))
     pivots = pivots.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("i"), "set")
     local = crowd.select("path", "i", "set").unionByName(pivots).distinct().join(sketches, "set")
     local = jaccard.sorted_groups(local, ["path", "i"], lambda rows, groups: _forests(rows, groups, distance), jaccard.PAIR)
-    found = common.cut(found.unionByName(local).distinct())
+    found = common.cut(found.unionByName(local).distinct(), filed)
     roots = jaccard.components(found).withColumnRenamed("v", "set")
     crowd = crowd.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
-    crowd = common.cut(crowd.select("path", "size", "chunks", "i", "set", "root"))
+    crowd = common.cut(crowd.select("path", "size", "chunks", "i", "set", "root"), total)
     shares = crowd.groupBy("path", "root").agg(F.count("*").alias("n"))
     most = shares.groupBy("path").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"))
-    split = common.cut(most.where("most.n < all").select("path", F.col("most.root").alias("main"), (F.col("all") - F.col("most.n")).alias("apart"), "all"))
+    split = common.cut(most.where("most.n < all").select("path", F.col("most.root").alias("main"), (F.col("all") - F.col("most.n")).alias("apart"), "all"), total)
     if split.isEmpty():
         return found
     part = F.ceil(F.col("apart") / (small // 2)).cast("long")

@@ -327,19 +327,19 @@ def components(pairs: DataFrame) -> DataFrame:
     spark = pairs.sparkSession
     edges, old = common.store(_shrunk(pairs))
     while True:
+        total = edges.count()
         ends = edges.select(F.col("u").alias("k"), F.col("v").alias("o"), F.lit(1).alias("up")).union(edges.select("v", "u", F.lit(0)))
         around = ends.groupBy("k").agg(F.min("o").alias("low"), F.max("o").alias("high"), F.max("up").alias("up"), F.min("up").alias("down"), F.sum("up").alias("above"), F.count("*").alias("rows"))
-        around, path = common.store(around)
+        around, path = common.store(around, 2 * total)
         # stars: no key is both a centre and a leaf, and a leaf has one centre
         if around.where("up <> down or (up = 0 and low <> high)").isEmpty():
             return around.select(F.col("k").alias("v"), F.when(F.col("up") == 1, F.col("k")).otherwise(F.col("low")).alias("root"))
-        total = edges.count()
         least = around.where("up = 1").select(F.col("k").alias("u"), F.least("k", "low").alias("m"), "above")
-        large, middle = common.store(common.hot_join(edges, least, "u", "above", total).where("m <> v").select(F.col("m").alias("u"), "v"))
+        large, middle = common.store(common.hot_join(edges, least, "u", "above", total).where("m <> v").select(F.col("m").alias("u"), "v"), total)
         low = large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("rows"))
         star = common.hot_join(large, low, "v", "rows", total)
         star = star.select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u <> v")
-        edges, new = common.store(_shrunk(star.unionByName(least.where("m <> u").select(F.col("m").alias("u"), F.col("u").alias("v")))))
+        edges, new = common.store(_shrunk(common.few(star.unionByName(least.where("m <> u").select(F.col("m").alias("u"), F.col("u").alias("v"))), 2 * total)))
         for gone in (old, path, middle):
             common.remove(spark, gone)
         old = new
@@ -458,11 +458,12 @@ def classes_of(docs: DataFrame, words: int, threshold: float, links: bool, fold:
     """(id, rk, set, n) of each document; (set, class, first, links, copies) of each set: the class's least
     (id, rk), a set's links to other sets (if asked for), and its own copies; the number of documents."""
     points = common.cut(_points(docs, words, fold))
+    total = points.count()
     order = F.struct(F.col("id").isNull().alias("null"), "id", "rk")
-    sets = common.cut(points.where("set is not null").groupBy("set").agg(F.count("*").alias("copies"), F.min(order).alias("first"), F.max("n").alias("n"), F.max("sketch").alias("sketch")))
-    near = common.cut(components(pairs(sets, threshold, **how)).withColumnRenamed("v", "set").join(sets.select("set", "n", "copies", F.col("first.rk").alias("rk")), "set"))
+    sets = common.cut(points.where("set is not null").groupBy("set").agg(F.count("*").alias("copies"), F.min(order).alias("first"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), total)
+    near = common.cut(components(pairs(sets, threshold, **how)).withColumnRenamed("v", "set").join(sets.select("set", "n", "copies", F.col("first.rk").alias("rk")), "set"), total)
     size = near.groupBy("root").agg(F.sum("n").alias("shingles"), F.count("*").alias("sets"))
-    size = common.cut(size.withColumn("chunks", _chunks(F.col("shingles"), F.col("sets"), CHUNK_SHINGLES, CHUNK_SETS)))
+    size = common.cut(size.withColumn("chunks", _chunks(F.col("shingles"), F.col("sets"), CHUNK_SHINGLES, CHUNK_SETS)), total)
     members = common.hot_join(near, size, "root", "sets", near.count())
     # one text of each set, dealt by id and text, so that copies don't meet; of repeated rows one
     texts = docs.select("rk", "text").join(members, "rk").dropDuplicates(["rk"])
@@ -484,7 +485,7 @@ def classes_of(docs: DataFrame, words: int, threshold: float, links: bool, fold:
             settled = _chunks(F.col("tokens_near"), F.col("sets_near"), CHUNK_DIFFERENCES, CHUNK_SHORT)
             rest = _chunks(F.col("tokens") - F.col("tokens_near"), F.col("sets") - F.col("sets_near"), CHUNK_DIFFERENCES, CHUNK_SHORT)
             sums = sums.withColumn("settled", settled).withColumn("chunks", settled + rest)
-        sums = common.cut(sums.drop("tokens", "sets_near", "tokens_near"))
+        sums = common.cut(sums.drop("tokens", "sets_near", "tokens_near"), total)
         # where every set is linked to the root, the class is known
         open = sums if links else sums.where("not near")
         some = sorted_groups(_grid(apart, open.select("root", "sets", "chunks", "settled"), apart.count()), ["root", "i", "j"], lambda rows, groups: _found([(*x, *[None] * 7) for x in _exact(rows, groups, threshold)]), _FOUND)
@@ -495,15 +496,15 @@ def classes_of(docs: DataFrame, words: int, threshold: float, links: bool, fold:
             found = found.unionByName(apart.where("near and set <> root").select(F.col("root").alias("u"), F.col("set").alias("v")))
         stars = components(found).where("v <> root").select(F.col("v").alias("set"), "root")
         label = label.unionByName(stars)
-    label = common.cut(label)
+    label = common.cut(label, total)
     own = sets.select("set", "copies", "first")
     named = label.unionByName(label.select(F.col("root").alias("set"), "root").distinct()).join(own, "set")
-    first = common.cut(named.groupBy("root").agg(F.min("first").alias("class"), F.count("*").alias("rows")))
-    named = common.hot_join(common.cut(named.select("set", "root")), first, "root", "rows", label.count()).select("set", "class")
+    first = common.cut(named.groupBy("root").agg(F.min("first").alias("class"), F.count("*").alias("rows")), total)
+    named = common.hot_join(common.cut(named.select("set", "root"), total), first, "root", "rows", label.count()).select("set", "class")
     classes = own.join(named, "set", "left").withColumn("class", F.coalesce("class", "first"))
     if links:
         classes = classes.join(count, "set", "left")
-    return points.select("id", "rk", "set", "n"), common.cut(classes), points.count()
+    return points.select("id", "rk", "set", "n"), common.cut(classes, total), total
 
 
 def join_near(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, **how) -> DataFrame:
@@ -520,9 +521,9 @@ def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", words: i
     """The rows of ``docs`` without those that are near copies of an earlier one: of each class the
     document with the least id stays; of rows with that id and text, one. Texts without shingles all stay,
     equal rows of them once."""
-    points, classes, _ = classes_of(named_rows(docs, id, text), words, threshold, False, **how)
+    points, classes, total = classes_of(named_rows(docs, id, text), words, threshold, False, **how)
     kept = classes.where("class.rk = first.rk").select(F.col("first.rk").alias("rk"))
-    kept = common.cut(kept.unionByName(points.where("set is null").select("rk").distinct()))
+    kept = common.cut(kept.unionByName(points.where("set is null").select("rk").distinct()), total)
     row = "__row_key"
     while row in docs.columns:
         row += "_"

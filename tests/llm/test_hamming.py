@@ -106,3 +106,20 @@ def test_every_pair_within_the_distance(spark, crowd, small):
 
 def test_chance_to_miss():
     assert hamming.miss() < 1.1e-4 and hamming.miss(0.9) < 2e-7
+
+
+def test_small_tables_are_few_files(spark):
+    """Whatever the number of shuffle partitions is, some thousand rows are written by as many tasks as there are cores."""
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        table = common.cut(spark.range(4000).groupBy("id").count(), 4000)
+        assert len(table.inputFiles()) <= spark.sparkContext.defaultParallelism and table.count() == 4000
+        pairs = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(0, 200) if i % 10 < 9], "u binary, v binary").repartition(40)
+        found = jaccard.components(pairs)
+        assert len(found.inputFiles()) <= spark.sparkContext.defaultParallelism
+        assert {(bytes(r["v"])[0], bytes(r["root"])[0]) for r in found.collect()} == {(i, i - i % 10) for i in range(200)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
