@@ -27,7 +27,6 @@ a class is named by its least id (nulls only if there is no other); an empty tab
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Callable, Iterator
 
@@ -134,7 +133,6 @@ def sorted_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table, list[t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
-        gc.collect()
         held: list[pa.RecordBatch] = []
         for last, batch in _with_last(batches):
             held.append(batch)
@@ -146,6 +144,8 @@ def sorted_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table, list[t
             if len(whole) > 1:
                 yield from fn(rows, list(zip(whole[:-1], whole[1:], strict=True))).combine_chunks().to_batches()
             held = rows.slice(whole[-1]).to_batches()
+        held, rows, batch = [], None, None
+        common.give_back()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 

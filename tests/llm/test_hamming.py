@@ -6,7 +6,7 @@ import pytest
 from brute import WORD
 from pyspark.sql import functions as F
 
-from harrow.llm import hamming, jaccard
+from harrow.llm import common, hamming, jaccard
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 

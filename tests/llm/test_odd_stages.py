@@ -42,3 +42,20 @@ def test_mixture(docs):
     assert got.columns == [c for c in docs.columns if c not in ("size", "taken")] + ["size", "source_size", "target", "taken"]
     plain = sorted((r["doc_id"] is None, r["doc_id"], r["taken"]) for r in mixing.mix(docs).collect() if r["taken"])
     assert sorted((r["doc_id"] is None, r["doc_id"], r["taken"]) for r in got.collect()) == plain
+
+
+def test_a_worker_gives_its_memory_back():
+    """Freed memory below something that is kept goes back to the system."""
+    import os
+
+    from harrow.llm import common
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+    many = [bytearray(100_000) for _ in range(2000)]
+    full, last = resident(), many[-1]
+    del many
+    common.give_back()
+    assert resident() < full - 150_000_000 and len(last) == 100_000
