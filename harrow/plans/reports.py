@@ -269,9 +269,10 @@ def box_faults(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_orderkey % 2 = 0 AS correct, o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 AS format, CAST(o_custkey AS VARCHAR) AS answer FROM orders")
 def step_scores(spark, sf_dir):
+    """The truth of an odd order lies outside the tolerance of numbers, however large the key: that of key + 1 doesn't from 10,000 on."""
     key = F.col("o_custkey")
     text = F.concat(F.when(F.col("o_orderkey") % 3 == 0, F.lit("Step 2: ")).otherwise(F.lit("so ")), F.lit("\\boxed{"), key.cast("string"), F.lit("}"))
-    truth = (key + F.col("o_orderkey") % 2).cast("string")
+    truth = (key + F.col("o_orderkey") % 2 * (key + 1)).cast("string")
     return S.table(spark, sf_dir, "orders").select("o_orderkey", R.step_score(text, truth).alias("s")).select("o_orderkey", "s.*")
 
 

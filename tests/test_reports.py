@@ -2,6 +2,7 @@
 
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +12,7 @@ from harrow.operators import metrics as M
 from harrow.operators import pack as K
 from harrow.operators import select as S
 from harrow.operators import shape as P
+from harrow.plans import catalog
 from harrow.sources import files as I
 
 ROW = T.StructType().add("id", "long").add("name", "string")
@@ -98,3 +100,12 @@ def test_boxes_and_points(spark):
 def test_padding_without_rows(spark):
     assert P.pad_with_end(spark.range(0), 4, "id").count() == 0
     assert [(r.id, r.at, r.pad) for r in P.pad_with_end(spark.range(3), 4, "id", last=False).orderBy("at").collect()] == [(0, 0, False), (1, 1, False), (2, 2, False), (0, 3, True)]
+
+
+def test_step_scores_of_large_keys(spark, tmp_path):
+    """Keys whose successors lie within the tolerance of numbers."""
+    path = f"{tmp_path}/orders.parquet"
+    duckdb.execute(f"COPY (SELECT i AS o_orderkey, k + i // 6 AS o_custkey FROM range(60) a(i), (VALUES (0), (9995), (20000), (8999999)) b(k)) TO '{path}'")
+    want = duckdb.execute(catalog.oracle_sql()["step_scores"].replace("FROM orders", f"FROM '{path}'")).fetchall()
+    got = catalog.queries()["step_scores"](spark, str(tmp_path)).select("o_orderkey", "correct", "format", "answer").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
