@@ -313,11 +313,16 @@ def counting_task(id: Column, seed: int, least: int = 3, most: int = 10, alphabe
     """(word, letter, problem, reasoning, answer, split) of a counting task made from an id: hashed letters, and a letter to count."""
     h = lambda part, n: (F.conv(F.left(F.md5(F.concat_ws("-", F.lit(str(seed)), id.cast("string"), part)), F.lit(7)), 16, 10).cast("long") % n).cast("int")
     letter_at = lambda i: F.substr(F.lit(alphabet), h(F.concat(F.lit("c"), i.cast("string")), len(alphabet)) + 1, F.lit(1))
-    letters = F.transform(F.sequence(F.lit(1), h(F.lit("n"), most - least + 1) + least), letter_at)
-    letter = F.element_at(letters, h(F.lit("t"), F.size(letters)) + 1)
-    upto = lambda i: F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda y: y == letter)).cast("string")
-    lines = F.transform(letters, lambda x, i: F.concat(x, F.when(x == letter, F.lit(" = ")).otherwise(F.lit(" != ")), letter, F.lit(": "), upto(i)))
-    count = F.size(F.filter(letters, lambda y: y == letter))
     part = F.when(h(F.lit("s"), 1000) < int(train * 1000), "train").otherwise("test")
-    ask = F.concat(F.lit("How often does "), letter, F.lit(" occur in "), F.array_join(letters, ""), F.lit("?"))
-    return F.struct(F.array_join(letters, "").alias("word"), letter.alias("letter"), ask.alias("problem"), F.concat(F.array_join(lines, "\n"), F.lit("\n\\boxed{"), count.cast("string"), F.lit("}")).alias("reasoning"), count.alias("answer"), part.alias("split"))
+
+    def task(letters: Column, letter: Column) -> Column:
+        upto = lambda i: F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda y: y == letter)).cast("string")
+        lines = F.transform(letters, lambda x, i: F.concat(x, F.when(x == letter, F.lit(" = ")).otherwise(F.lit(" != ")), letter, F.lit(": "), upto(i)))
+        count = F.size(F.filter(letters, lambda y: y == letter))
+        ask = F.concat(F.lit("How often does "), letter, F.lit(" occur in "), F.array_join(letters, ""), F.lit("?"))
+        return F.struct(F.array_join(letters, "").alias("word"), letter.alias("letter"), ask.alias("problem"), F.concat(F.array_join(lines, "\n"), F.lit("\n\\boxed{"), count.cast("string"), F.lit("}")).alias("reasoning"), count.alias("answer"), part.alias("split"))
+
+    # an expression in a lambda is computed for each element that it is called for; a lambda's argument is computed once
+    bound = lambda x, fn: F.element_at(F.transform(F.array(x), fn), 1)
+    letters = F.transform(F.sequence(F.lit(1), h(F.lit("n"), most - least + 1) + least), letter_at)
+    return bound(letters, lambda x: bound(F.element_at(x, h(F.lit("t"), F.size(x)) + 1), lambda y: task(x, y)))

@@ -286,7 +286,8 @@ def flat_records(spark, sf_dir):
   w AS (SELECT c_custkey, array_to_string([chr(CAST(97 + x AS INT)) FOR x IN l], '') AS word, chr(CAST(97 + l[CAST(('0x' || md5('7-' || c_custkey || '-t')[1:7])::BIGINT % len(l) + 1 AS INT)] AS INT)) AS letter FROM h)
   SELECT c_custkey, word, letter, CAST(len(word) - len(replace(word, letter, '')) AS INT) AS answer, CASE WHEN ('0x' || md5('7-' || c_custkey || '-s')[1:7])::BIGINT % 1000 < 900 THEN 'train' ELSE 'test' END AS split FROM w""")
 def counting_tasks(spark, sf_dir):
-    c = S.table(spark, sf_dir, "customer")
+    # few bytes and much to do for each: a small file is one task otherwise
+    c = S.table(spark, sf_dir, "customer").select("c_custkey").repartition(4 * spark.sparkContext.defaultParallelism, "c_custkey")
     return c.select("c_custkey", P.counting_task(F.col("c_custkey"), 7).alias("t")).select("c_custkey", "t.word", "t.letter", "t.answer", "t.split")
 
 

@@ -109,3 +109,15 @@ def test_step_scores_of_large_keys(spark, tmp_path):
     want = duckdb.execute(catalog.oracle_sql()["step_scores"].replace("FROM orders", f"FROM '{path}'")).fetchall()
     got = catalog.queries()["step_scores"](spark, str(tmp_path)).select("o_orderkey", "correct", "format", "answer").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_counting_task_computes_its_letters_once(spark):
+    """The plan has one digest for each of: a letter, the number of letters, the letter to count, the split."""
+    task = P.counting_task(F.col("id"), 7)
+    df = spark.range(40).select(task.alias("t"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("md5(") <= 8
+    for r in df.select("t.*").collect():
+        running = [r.word[: i + 1].count(r.letter) for i in range(len(r.word))]
+        assert r.answer == running[-1] >= 1 and r.problem == f"How often does {r.letter} occur in {r.word}?"
+        lines = "".join(f"{x} {'=' if x == r.letter else '!='} {r.letter}: {n}\n" for x, n in zip(r.word, running, strict=True))
+        assert r.reasoning == f"{lines}\n\\boxed{{{r.answer}}}".replace("\n\n", "\n")
