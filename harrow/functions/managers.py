@@ -13,13 +13,16 @@ import hashlib
 import inspect
 import json
 import math
+import threading
+import time
 import types
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from pathlib import Path
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,8 +53,10 @@ def managed(name: str, df: DataFrame, *args: Any, **options: Any) -> DataFrame:
 
 
 def on_last_token(reward: Column, length: Column, width: Column) -> Column:
+    """An array of ``width`` (over 0) numbers. Zeros on both sides, which Spark compiles, unlike a function of each token."""
     at = F.when(length > 0, length).otherwise(width)
-    return F.transform(F.sequence(F.lit(1), width.cast("int")), lambda i: F.when(i == at, reward).otherwise(0.0))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    return F.when(at <= width, F.concat(zeros(at - 1), F.array(reward), zeros(width - at))).otherwise(zeros(width))
 
 
 def _finished(df: DataFrame) -> DataFrame:
@@ -161,15 +166,26 @@ def _scored(df: DataFrame, score: Callable[[Any, list[tuple]], list[tuple]], sta
     """Adds reward, passed and extra. Only source, response and truth go to the workers, an Arrow batch at a time; ``start``
     runs once per task."""
 
-    @F.pandas_udf(_RESULT)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(_RESULT)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         own = start()
         for columns in batches:
-            yield pd.DataFrame(score(own, list(zip(*columns, strict=True))), columns=_RESULT.names)
+            yield _as_struct(score(own, list(zip(*(c.to_pylist() for c in columns), strict=True))))
 
     return df.withColumn("__scored", run("source", "response", "truth")).select(*df.columns, "__scored.*")
 
 
+def _as_struct(scored: list[tuple[float, bool, dict[str, str]]]) -> pa.Array:
+    """Rows of ``_RESULT``."""
+    rewards, passed, extras = (list(x) for x in zip(*scored, strict=True)) if scored else ([], [], [])
+    ends = [0]
+    for e in extras:
+        ends.append(ends[-1] + len(e))
+    keys, values = pa.array([k for e in extras for k in e], pa.string()), pa.array([v for e in extras for v in e.values()], pa.string())
+    parts = [pa.array(rewards, pa.float64()), pa.array(passed, pa.bool_()), pa.MapArray.from_arrays(pa.array(ends, pa.int32()), keys, values)]
+    return pa.StructArray.from_arrays(parts, names=_RESULT.names)
+
+
 @manager("batch")
 def batch(df: DataFrame, fn: Scorer, **options: Any) -> DataFrame:
     """``fn(sources, responses, truths, **options)`` scores all rows of an Arrow batch at once, so it must not depend on which
@@ -190,30 +206,74 @@ def prime(df: DataFrame, fn: Scorer, timeout: float = 300.0, together: int = 64)
     in threads. What fails, takes longer than ``timeout`` seconds or gives nothing scores 0; of a list, the first counts. A thread that
     never ends can't be stopped and holds its place until its task's process ends."""
 
-    async def one(own: Callable, gate: asyncio.Semaphore, pool: ThreadPoolExecutor, row: tuple) -> float:
+    def value_of(got: Any) -> float:
+        if isinstance(got, dict):
+            got = got["score"]
+        elif isinstance(got, (list, tuple)):
+            got = got[0]
+        value = float(got)
+        return value if math.isfinite(value) else 0.0
+
+    async def one(own: Callable, gate: asyncio.Semaphore, row: tuple) -> float:
         async with gate:
             try:
-                call = own(*row) if inspect.iscoroutinefunction(own) else asyncio.get_running_loop().run_in_executor(pool, own, *row)
-                got = await asyncio.wait_for(call, timeout)
-                if isinstance(got, dict):
-                    got = got["score"]
-                elif isinstance(got, (list, tuple)):
-                    got = got[0]
-                value = float(got)
+                return value_of(await asyncio.wait_for(own(*row), timeout))
             except Exception:  # the rule: a scorer's failure is a score of 0
                 return 0.0
-            return value if math.isfinite(value) else 0.0
 
-    async def all_of(own: Callable, rows: list[tuple], pool: ThreadPoolExecutor) -> list[float]:
+    async def all_of(own: Callable, rows: list[tuple]) -> list[float]:
         gate = asyncio.Semaphore(together)
-        return await asyncio.gather(*(one(own, gate, pool, r) for r in rows))
+        return await asyncio.gather(*(one(own, gate, r) for r in rows))
 
     def score(own: Callable, rows: list[tuple]) -> list[tuple]:
-        pool = ThreadPoolExecutor(together)
-        try:
-            got = asyncio.run(all_of(own, rows, pool))
-        finally:
-            pool.shutdown(wait=False, cancel_futures=True)
+        got = asyncio.run(all_of(own, rows)) if inspect.iscoroutinefunction(own) else _in_threads(lambda row: value_of(own(*row)), rows, timeout, together)
         return [(s, s > 0, {"acc": str(s)}) for s in got]
 
     return _finished(_scored(df, score, lambda: _callable(fn)))
+
+
+def _in_threads(call: Callable[[tuple], float], rows: list[tuple], timeout: float, together: int) -> list[float]:
+    """The value of each row, 0 where the call fails or takes longer. Threads take row after row, so that a row costs little
+    beside its call. Where late calls hold all places for another ``timeout``, the rows that are left score 0."""
+    out, began, lock, at, closed = [0.0] * len(rows), {}, threading.Lock(), 0, False
+
+    def work(me: int) -> None:
+        nonlocal at
+        while True:
+            with lock:
+                i = at
+                if closed or i >= len(rows):
+                    began.pop(me, None)
+                    return
+                at = i + 1
+            began[me] = start = time.monotonic()
+            try:
+                value = call(rows[i])
+            except Exception:  # the rule: a scorer's failure is a score of 0
+                continue
+            if time.monotonic() - start <= timeout:
+                out[i] = value
+
+    pool, open_, held = ThreadPoolExecutor(together), set(), None
+    try:
+        for me in range(min(together, len(rows))):
+            if at >= len(rows):
+                break
+            open_.add(pool.submit(work, me))
+        while open_:
+            done, open_ = wait(open_, min(0.05, timeout), FIRST_COMPLETED)
+            for f in done:
+                f.result()
+            with lock:
+                now, running = time.monotonic(), [*began.values()]
+                if len(running) < len(open_) or any(now - t <= timeout for t in running):
+                    held = None
+                    continue
+                held = held or now
+                if at >= len(rows) or now - held > timeout:
+                    closed = True
+                    break
+        return out[:]
+    finally:
+        closed = True
+        pool.shutdown(wait=False, cancel_futures=True)

@@ -146,8 +146,8 @@ _KEPT = f"{ROLL}, k AS (SELECT *, CASE WHEN masked_in THEN length ELSE 0 END AS
 
 
 def _placed(df):
-    """The reward and the place, from 1, of the only token that isn't 0."""
-    at = F.array_position(F.transform("token_rewards", lambda x: x != 0), F.lit(True))
+    """The reward and the place, from 1, of the token that has it; 0 for a reward of 0."""
+    at = F.when(F.col("reward") == 0, F.lit(0).cast("long")).otherwise(F.array_position("token_rewards", F.col("reward")))
     return df.select("group_id", "sample_id", r6("reward").alias("reward"), at.alias("place"))
 
 

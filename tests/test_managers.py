@@ -116,3 +116,17 @@ def test_countdown(spark):
     ]
     df = spark.createDataFrame([(r, p) for r, p, _ in cases], "r string, p string")
     assert [x[0] for x in df.select(R.countdown(F.col("r"), F.col("p"))).collect()] == [w for _, _, w in cases]
+
+
+def test_prime_takes_rows_without_a_task_each(spark):
+    """Many fast calls cost little beside them; late calls that hold all places leave the rest at 0."""
+    rows_ = [("a", str(i), "t") for i in range(20_000)]
+    began = time.monotonic()
+    assert G._in_threads(lambda r: float(r[1]), rows_, 5.0, 64) == [float(i) for i in range(20_000)]
+    assert time.monotonic() - began < 0.5
+    got = G._in_threads(lambda r: time.sleep(0.6) or 1.0 if int(r[1]) < 2 else float(r[1]), rows_[:6], 0.1, 2)
+    assert got[:2] == [0.0, 0.0] and set(got[2:]) <= {0.0, 2.0, 3.0, 4.0, 5.0}
+    df = spark.createDataFrame([("a", "r", "t", n, w) for n, w in ((1, 3), (3, 3), (5, 3), (0, 2), (0, 0), (-1, 2), (None, 2), (2, None))], SCHEMA).coalesce(1)
+    assert [r["token_rewards"] for r in G.prime(df, lambda *_: 2).collect()] == [[2, 0, 0], [0, 0, 2], [0, 0, 0], [0, 2], [], [0, 2], [0, 2], []]
+    plan = G.prime(df, lambda *_: 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan
