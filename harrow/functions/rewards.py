@@ -75,10 +75,15 @@ def countdown(response: Column, problem: Column) -> Column:
 
 
 def dispatch(source: Column, response: Column, truth: Column, strict: bool = True) -> Column:
-    """The score by the row's source; an unknown source is an error, or null if not ``strict``."""
+    """The score by the row's source; an unknown source is an error, or null if not ``strict``. Python functions run on all rows
+    of a dispatch, so a scorer gets nulls for the rows of other sources, which pass it at once."""
     out = F.raise_error(F.concat(F.lit("no scorer for "), source)).cast("double") if strict else F.lit(None).cast("double")
+    named: dict[Callable[[Column, Column], Column], list[str]] = {}
     for name, fn in SCORERS.items():
-        out = F.when(source == name, fn(response, truth)).otherwise(out)
+        named.setdefault(fn, []).append(name)
+    for fn, names in named.items():
+        own = source.isin(*names)
+        out = F.when(own, fn(F.when(own, response), F.when(own, truth))).otherwise(out)
     return out
 
 

@@ -130,3 +130,21 @@ def test_prime_takes_rows_without_a_task_each(spark):
     assert [r["token_rewards"] for r in G.prime(df, lambda *_: 2).collect()] == [[2, 0, 0], [0, 0, 2], [0, 0, 0], [0, 2], [], [0, 2], [0, 2], []]
     plan = G.prime(df, lambda *_: 2)._jdf.queryExecution().optimizedPlan().toString()
     assert "lambdafunction" not in plan
+
+
+def test_scorers_get_their_own_rows_alone(spark, monkeypatch):
+    """A scorer's Python function gets no text of rows of other sources, and its names share one call."""
+
+    @F.pandas_udf("double")
+    def strict(response, truth):
+        bad = [r for r in response if r not in (None, "own")]
+        assert not bad, bad
+        return response.map(lambda r: None if r is None else 2.0).astype("float64")
+
+    monkeypatch.setattr(R, "SCORERS", {**R.SCORERS, "mine": strict, "mine too": strict})
+    df = rows(spark, ("mine", "own", "t", 1, 1), ("math", "\\boxed{3}", "3", 1, 1), ("gsm8k", "#### 4", "5", 1, 1), ("mine too", "own", "t", 1, 1), ("geometry3k", None, "3", 1, 1))
+    got = G.naive(df)
+    assert [r["reward"] for r in got.collect()] == [2.0, 1.0, 0.0, 2.0, 0.0]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("[strict(") == 1
+    with pytest.raises(Exception, match="no scorer for other"):
+        G.naive(rows(spark, ("other", "", "", 1, 1))).collect()
