@@ -1,4 +1,5 @@
-"""NPZ shards of analysed responses as a data source: one partition per archive, only the wanted members are unpacked.
+"""NPZ shards of analysed responses as a data source: archives are read one after the other, many small ones in one partition, and
+only the wanted members are unpacked.
 
 An archive has one array per field. Token fields are ragged: an object array of arrays, stored as a pickle that is read
 by an unpickler which knows arrays and nothing else; arrays of two dimensions are read too. An archive that lacks one of
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 # The fields of a shard and their types on disk.
 FIELDS = {
@@ -42,6 +43,9 @@ FIELDS = {
 }
 SCHEMA = ", ".join(f"{k} {t}" for k, (t, _) in FIELDS.items())
 ROWS = 1024
+#: A partition is an archive, up to so many; more share partitions of about so many bytes.
+ALONE = 64
+TOGETHER = 4 << 20
 
 
 class _Arrays(pickle.Unpickler):
@@ -59,13 +63,27 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def _archives(store: fs.FileSystem, path: str) -> list[str]:
+def _archives(store: fs.FileSystem, path: str) -> list[tuple[str, int]]:
+    """(path, bytes) in order."""
     info = store.get_file_info(path)
     if info.type == fs.FileType.File:
-        return [path]
+        return [(path, info.size)]
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(f"no shards at {path}")
-    return sorted(f.path for f in store.get_file_info(fs.FileSelector(path)) if f.type == fs.FileType.File and f.path.endswith(".npz"))
+    return sorted((f.path, f.size) for f in store.get_file_info(fs.FileSelector(path)) if f.type == fs.FileType.File and f.path.endswith(".npz"))
+
+
+def _shared(archives: list[tuple[str, int]]) -> list[list[str]]:
+    """The archives of each partition, neighbours together; a file without bytes of its own counts as one."""
+    size = max(1, min(TOGETHER, sum(max(1, n) for _, n in archives) // ALONE))
+    out, held = [], 0
+    for path, n in archives:
+        if not out or len(archives) <= ALONE or held + n > size:
+            out.append([])
+            held = 0
+        out[-1].append(path)
+        held += max(1, n)
+    return out
 
 
 def _member(archive: zipfile.ZipFile, name: str) -> np.ndarray:
@@ -88,9 +106,28 @@ def _column(values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.array(values).cast(kind)
 
 
+def _stored(name: str, values: pa.ChunkedArray) -> np.ndarray:
+    """A column as it is on disk; a null, or a number out of the range of its type, is an error."""
+    kind, dtype = FIELDS[name]
+    if values.null_count:
+        raise ValueError(f"{name} is null in a row of a shard")
+    values = pa.concat_arrays(values.chunks)
+    number = pa.from_numpy_dtype(dtype) if dtype is not object else None
+    if kind.startswith("array"):
+        flat, sizes = values.flatten(), np.cumsum(values.value_lengths().to_numpy(zero_copy_only=False))
+        if flat.null_count:
+            raise ValueError(f"{name} is null in a row of a shard")
+        flat, ends = flat.cast(number).to_numpy(zero_copy_only=False), sizes.tolist()
+        out = np.empty(len(ends), dtype=object)
+        for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+            out[k] = flat[a:b]
+        return out
+    return np.array(values.to_pylist(), dtype=object) if number is None else values.cast(number).to_numpy(zero_copy_only=False)
+
+
 @dataclass
-class Archive(InputPartition):
-    path: str
+class Archives(InputPartition):
+    paths: list[str]
 
 
 class ShardReader(DataSourceReader):
@@ -100,21 +137,24 @@ class ShardReader(DataSourceReader):
             raise ValueError(f"shards have no {unknown}")
         self.names, self.path = schema.names, path
 
-    def partitions(self) -> list[Archive]:
-        return [Archive(f) for f in _archives(*_store(self.path))] or [Archive("")]
+    def partitions(self) -> list[Archives]:
+        return [Archives(p) for p in _shared(_archives(*_store(self.path)))] or [Archives([])]
 
-    def read(self, partition: Archive) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
-        with _store(self.path)[0].open_input_file(partition.path) as f, zipfile.ZipFile(f) as archive:
+    def read(self, partition: Archives) -> Iterator[pa.RecordBatch]:
+        store = _store(self.path)[0]
+        for path in partition.paths:
+            yield from self._rows(store, path)
+
+    def _rows(self, store: fs.FileSystem, path: str) -> Iterator[pa.RecordBatch]:
+        with store.open_input_file(path) as f, zipfile.ZipFile(f) as archive:
             missing = sorted(set(FIELDS) - {n.removesuffix(".npy") for n in archive.namelist()})
             if missing:
-                raise ValueError(f"{partition.path} lacks {missing}")
+                raise ValueError(f"{path} lacks {missing}")
             kinds = {"array<bigint>": pa.list_(pa.int64()), "bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}
             # without a column the rows still count
             arrays = {n: _column(_member(archive, n), kinds[FIELDS[n][0]]) for n in self.names or ["group_id"]}
         if len({len(a) for a in arrays.values()}) > 1:
-            raise ValueError(f"{partition.path} has arrays of different lengths")
+            raise ValueError(f"{path} has arrays of different lengths")
         table = pa.table({n: arrays[n] for n in self.names}) if self.names else pa.table(arrays).select([])
         yield from table.to_batches(max_chunksize=ROWS)
 
@@ -124,45 +164,37 @@ class Written(WriterCommitMessage):
     files: list[str]
 
 
-class ShardWriter(DataSourceWriter):
+class ShardWriter(DataSourceArrowWriter):
     def __init__(self, schema: T.StructType, path: str, rows: int, overwrite: bool):
         if sorted(schema.names) != sorted(FIELDS):
             raise ValueError(f"a shard has exactly the fields {sorted(FIELDS)}")
         self.names, self.path, self.rows, self.overwrite = schema.names, path, rows, overwrite
         self.beside = f"_writing-{uuid.uuid4().hex}"
 
-    def write(self, iterator: Iterator[T.Row]) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, path = _store(self.path)
         store.create_dir(f"{path}/{self.beside}")
-        files, rows = [], []
-
-        def flush() -> None:
-            arrays = {}
-            for i, name in enumerate(self.names):
-                values = [r[i] for r in rows]
-                if any(v is None for v in values):
-                    raise ValueError(f"{name} is null in a row of a shard")
-                kind, dtype = FIELDS[name]
-                if kind.startswith("array"):
-                    arrays[name] = np.empty(len(values), dtype=object)
-                    for k, v in enumerate(values):
-                        arrays[name][k] = np.asarray(v, dtype=dtype)
-                else:
-                    arrays[name] = np.array(values, dtype=dtype)
+        files, held, n = [], [], 0
+
+        def flush(rows: pa.Table) -> None:
             packed = io.BytesIO()
-            np.savez_compressed(packed, **arrays)
+            np.savez_compressed(packed, **{name: _stored(name, rows.column(i)) for i, name in enumerate(self.names)})
             name = f"shard-{uuid.uuid4().hex}.npz"
             with store.open_output_stream(f"{path}/{self.beside}/{name}", compression=None) as out:
                 out.write(packed.getbuffer())
             files.append(name)
-            rows.clear()
-
-        for row in iterator:
-            rows.append(row)
-            if len(rows) == self.rows:
-                flush()
-        if rows:
-            flush()
+
+        for batch in iterator:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= self.rows:
+                table = pa.Table.from_batches(held)
+                for a in range(0, n - self.rows + 1, self.rows):
+                    flush(table.slice(a, self.rows))
+                held = table.slice(n // self.rows * self.rows).to_batches()
+                n %= self.rows
+        if n:
+            flush(pa.Table.from_batches(held))
         return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -172,7 +204,7 @@ class ShardWriter(DataSourceWriter):
         for m in messages:
             for name in m.files if m else []:
                 store.move(f"{path}/{self.beside}/{name}", f"{path}/{name}")
-        for f in old:
+        for f, _ in old:
             store.delete_file(f)
         self.abort(messages)
 

@@ -73,3 +73,23 @@ def test_refused(spark, tmp_path):
         shards.write_shards(null, str(tmp_path / "n"))
     with pytest.raises(PySparkException, match="no shards at"):
         shards.read_shards(spark, str(tmp_path / "none")).collect()
+
+
+def test_many_archives_share_partitions(spark, tmp_path):
+    path, df = str(tmp_path / "s"), spark.createDataFrame(rows(300), shards.SCHEMA).coalesce(2)
+    shards.write_shards(df, path, rows=1)
+    assert len(list((tmp_path / "s").iterdir())) == 300
+    back = shards.read_shards(spark, path)
+    assert shards.ALONE <= back.rdd.getNumPartitions() <= 2 * shards.ALONE
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows(300)))
+    sizes = [("a", 5 << 20), ("b", 9 << 20), *((f"c{i}", 1 << 20) for i in range(900))]
+    shared = shards._shared(sizes)
+    assert [p for part in shared for p in part] == [p for p, _ in sizes] and shared[:2] == [["a"], ["b"]] and {len(p) for p in shared[2:]} == {4}
+
+
+def test_numbers_out_of_range(spark, tmp_path):
+    """Neither cut nor wrapped."""
+    df = spark.createDataFrame(rows(2), shards.SCHEMA)
+    for name, value in (("requested_max_tokens", F.lit(1 << 31)), ("response_mask", F.array(F.lit(256).cast("long"))), ("input_ids", F.array(F.lit(1), F.lit(None)).cast("array<bigint>"))):
+        with pytest.raises(PySparkException):
+            shards.write_shards(df.withColumn(name, value), str(tmp_path / "n"))
