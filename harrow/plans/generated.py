@@ -45,10 +45,9 @@ def _records(spark, sf_dir):
     spectrum = F.struct(F.lit("ffn_only").alias("score_scope"), F.col("score").alias("s"), sums.alias("per_family_layer_sum"), F.create_map(F.lit("qkvo_only"), F.lit(0.0), F.lit("ffn_only"), F.col("score"), F.lit("transformer_2d"), F.col("score")).alias("scores_by_scope"))
     matrix = F.struct(*(F.lit(0.5).alias(k) for k in R.STATISTICS))
     whole = {"record_schema_version": F.lit(5), "worker_rank": F.col("group_id") % 2, "analysis_method": F.lit("effective_rank"), "gradient_parameter_scope": F.lit("transformer_2d"), "svd_gradient_source": F.lit("raw"), "svd_score_scope": F.lit("ffn_only"), "matrices": F.create_map(F.lit("a"), matrix), "effective_rank_topk": spectrum, "group_stats": F.struct(*(v.alias(k) for k, v in stats.items()))}
-    # as stored lines, whose absent fields are read as null
-    path = f"{shared_dir(spark).rstrip('/')}/records-{uuid.uuid4().hex}"
-    g.select("group_id", *(v.alias(k) for k, v in whole.items())).write.json(path)
-    return spark.read.schema(R.SCHEMA).json(path)
+    # as lines, whose absent fields are read as null, made and read in one task; a generator, so that a check's use of a field isn't a parse of its own
+    line = g.select(F.to_json(F.struct("group_id", *(v.alias(k) for k, v in whole.items()))).alias("line"))
+    return line.select(F.inline(F.array(F.from_json("line", R.SCHEMA))))
 
 
 @query(f"""{ROLL}, g AS (SELECT group_id, count(*) AS n, round(avg(reward), 2) AS m, avg(reward) AS mean, stddev_pop(reward) AS p, CASE WHEN count(*) = 1 THEN 1.0 ELSE stddev_samp(reward) END AS s, sum(CASE WHEN masked_in THEN length ELSE 0 END) AS kept, sum(length) AS total,

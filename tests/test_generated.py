@@ -1,5 +1,6 @@
 """Masks of turns, generators, curricula and expression tasks against plain versions."""
 
+import pathlib
 import random
 from collections import Counter
 
@@ -224,3 +225,17 @@ def test_sequence_metrics(spark):
     for none in (df.where("response_length = 0"), df.limit(0)):
         with pytest.raises(PySparkException, match="no sequence of the batch has a response"):
             metrics.sequence_metrics(none, 2, 4).collect()
+
+
+def test_records_are_not_stored(spark):
+    """Lines of records are made and read in one task; absent fields are null, and the parse isn't repeated for each check."""
+    from harrow.plans import catalog, generated
+    from harrow.sources.tables import shared_dir
+
+    top = pathlib.Path(shared_dir(spark).removeprefix("file:"))
+    before = set(top.iterdir())
+    got = catalog.queries()["record_faults"](spark, "/root/testdata/sf0.001")
+    assert got.count() > 0 and set(top.iterdir()) == before
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    one = generated._records(spark, "/root/testdata/sf0.001").first()
+    assert one["subspace_similarity"] is None and one["group_stats"]["subspace_score"] is None and one["group_stats"]["rewards"]
