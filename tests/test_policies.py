@@ -4,6 +4,7 @@ import math
 
 import pytest
 
+from harrow.operators import losses as L
 from harrow.operators import policies as P
 
 SCHEMA = "group_id long, sample_id long, logp double, old_logp double, advantage double, mask int, w double"
@@ -59,3 +60,24 @@ def test_clip_cov(spark):
 def test_empty(spark):
     got = P.policy_loss("vanilla", P.Batch(tokens(spark))).first()
     assert got["loss"] is None and got["clipped"] is None
+
+
+def test_tokens_are_dealt_once_at_most(spark):
+    """What no sequence is needed for isn't dealt by sequences; what one is, once."""
+    batch = P.Batch(tokens(spark, (1, 1, -1.0, -1.5, 1.0, 1, 2.0), (2, 1, -1.0, -3.0, -1.0, 1, 1.0)), weight="w")
+    dealt = {n: P.policy_loss(n, batch)._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(group_id") for n in ("vanilla", "gpg", "kl_cov", "gspo", "geo_mean")}
+    assert dealt == {"vanilla": 0, "gpg": 0, "kl_cov": 0, "gspo": 1, "geo_mean": 1}
+
+
+@pytest.mark.parametrize("share", [0.0, 0.01, 0.3, 1.0])
+def test_kl_cov_of_many_ties(spark, share):
+    """Those of the share by covariance, ties by group and sample, as a plain sort finds them."""
+    given = [(g, s, -1.0 - (g * s) % 3, -1.0 - g % 4, float((g + s) % 3 - 1), int((g + s) % 5 > 0), 1.0) for g in range(60) for s in range(10)]
+    on = [r for r in given if r[5]]
+    a, l = (sum(r[i] for r in on) / (len(on) + 1e-8) for i in (4, 2))
+    # the sums' order moves last digits, the same for equal tokens
+    top = sorted(on, key=lambda r: (-round((r[4] - a) * (r[2] - l), 9), r[0], r[1]))[: max(1, int(share * len(on)))]
+    got = L.kl_cov(tokens(spark, *given).repartition(5), ["group_id", "sample_id"], share=share, beta=1.0)
+    extra = {(r.group_id, r.sample_id): r.loss + r.advantage * math.exp(r.logp - r.old_logp) for r in got.collect()}
+    paid = {k for k, x in extra.items() if abs(x) > 1e-9}
+    assert paid == {(r[0], r[1]) for r in top if r[2] != r[3]} and len(extra) == len(given)
