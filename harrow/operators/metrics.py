@@ -61,8 +61,10 @@ def macro(df: DataFrame, benchmark: str, category: str, passed: str = "passed")
 
 def subset_sizes(n: Column) -> Column:
     """2, 4, 8, ... under n, and n, for n over 1."""
-    powers = F.filter(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.pow(F.lit(2.0), i).cast("long")), lambda k: k < n)
-    return F.when(n > 1, F.array_append(powers, n.cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    # the binary digits of n - 1 less one are the powers under n, of which 30 count
+    n = n.cast("long")
+    powers = F.transform(F.sequence(F.lit(1), F.least(F.length(F.bin(n - 1)) - 1, F.lit(30))), lambda i: F.pow(F.lit(2.0), i).cast("long"))
+    return F.when(n > 2, F.array_append(powers, n)).when(n == 2, F.array(n)).otherwise(F.array().cast("array<bigint>"))
 
 
 def validation(df: DataFrame, source: str = "benchmark", prompt: str = "group_id", value: str = "reward") -> DataFrame:
@@ -77,7 +79,7 @@ def expected_extremes(df: DataFrame, group: str = "group_id", value: str = "rewa
     the largest and the least, exactly: the largest is at most x with probability F(x)^k. k runs over 2, 4, 8, ..., n."""
     counts = df.groupBy(group, F.col(value).cast("double").alias(value)).agg(F.count("*").alias("c"))
     up, whole = W.partitionBy(group).orderBy(value), W.partitionBy(group)
-    share = counts.withColumns({"n": F.sum("c").over(whole), "upto": F.sum("c").over(up)}).withColumn("k", F.explode(subset_sizes(F.col("n"))))
+    share = counts.withColumns({"n": F.sum("c").over(whole), "upto": F.sum("c").over(up)}).where("n > 1").withColumn("k", F.explode(subset_sizes(F.col("n"))))
     power = lambda c: F.pow(c / F.col("n"), F.col("k").cast("double"))
     is_best = power(F.col("upto")) - power(F.col("upto") - F.col("c"))
     is_worst = power(F.col("n") - F.col("upto") + F.col("c")) - power(F.col("n") - F.col("upto"))
@@ -101,12 +103,14 @@ def validation_table(df: DataFrame, source: str = "benchmark", prompt: str = "gr
         own = rows.where(F.col(c).isNotNull()).withColumn("__v", F.col(c).cast("double"))
         named = lambda name, k, of: F.concat(F.lit(name), F.col(k).cast("string"), F.lit(of))
         flat = own.groupBy(key).agg(F.count("*").alias("n"), F.avg("__v").alias("mean"), F.stddev_pop("__v").alias("std"))
-        parts = [flat.select(key, named("mean@", "n", "").alias("metric"), F.col("mean").alias("x")), flat.where("n > 1").select(key, named("std@", "n", "").alias("metric"), F.col("std").alias("x"))]
-        laws = expected_extremes(own, key, "__v")
-        parts += [laws.select(key, named(f"{m}@", "k", f"/{of}").alias("metric"), F.col(col).alias("x")) for m in ("best", "worst") for of, col in (("mean", m), ("std", f"{m}_std"))]
+        # all metrics of a row at once: a branch for each would compute the row anew
+        several = lambda rows, *of: rows.select(key, F.explode(F.array(*(F.struct(m.alias("metric"), x.alias("x")) for m, x in of))).alias("m")).select(key, "m.*")
+        flat = several(flat, (named("mean@", "n", ""), F.col("mean")), (F.when(F.col("n") > 1, named("std@", "n", "")), F.col("std"))).where("metric is not null")
+        laws = several(expected_extremes(own, key, "__v"), *((named(f"{m}@", "k", f"/{of}"), F.col(col)) for m in ("best", "worst") for of, col in (("mean", m), ("std", f"{m}_std"))))
+        parts = [flat, laws]
         if vote is not None:
             won = majority_law(own, None, key, vote, "__v")
-            parts += [won.select(key, named("maj@", "k", f"/{of}").alias("metric"), F.col(col).alias("x")) for of, col in (("mean", "majority"), ("std", "majority_std"))]
+            parts.append(several(won, *((named("maj@", "k", f"/{of}"), F.col(col)) for of, col in (("mean", "majority"), ("std", "majority_std")))))
         long = functools.reduce(DataFrame.unionByName, parts).groupBy(F.col(f"{key}.{source}").alias("source"), "metric").agg(F.avg("x").alias("value"))
         long = long.select("source", F.lit(c).alias("variable"), "metric", "value")
         out = long if out is None else out.unionByName(long)

@@ -13,7 +13,7 @@ import functools
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,20 +55,24 @@ def majority(df: DataFrame, ks: list[int] | None = None, group: str = "group_id"
     with replacement. k runs over 2, 4, 8, ..., n, or over ``ks``. A null vote is a vote as any other."""
     x = F.col(value).cast("double")
     votes = df.groupBy(group, vote).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.avg(x * x).alias("square"))
-    rows = votes.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("n", "mean", "square"))).alias("v"))
+    rows = votes.groupBy(group).agg(F.sum("n").alias("all"), F.array_sort(F.collect_list(F.struct("n", "mean", "square"))).alias("v"))
+    if ks is None:
+        rows = rows.where(F.col("all") > 1)  # one value has no sizes
 
-    @F.pandas_udf("array<struct<k:int,mean:double,std:double>>")
-    def law(n: pd.Series, mean: pd.Series, square: pd.Series) -> pd.Series:
-        out = []
-        for c, a, b in zip(n, mean, square, strict=True):
-            counts = tuple(int(y) for y in c)
-            got = []
+    @F.arrow_udf("array<struct<k:bigint,mean:double,std:double>>")
+    def law(n: pa.Array, mean: pa.Array, square: pa.Array) -> pa.Array:
+        got, ends = ([], [], []), [0]
+        for c, a, b in zip(n.to_pylist(), mean.to_pylist(), square.to_pylist(), strict=True):
+            counts = tuple(c)
+            a, b = ([math.nan if x is None else x for x in y] for y in (a, b))
             for k in sizes(sum(counts)) if ks is None else ks:
-                p = np.array(win_chances(counts, k))
-                m = float(p @ np.asarray(a, float))
-                got.append({"k": k, "mean": m, "std": math.sqrt(max(0.0, float(p @ np.asarray(b, float)) - m * m))})
-            out.append(got)
-        return pd.Series(out)
+                p = win_chances(counts, k)
+                m = math.sumprod(p, a)
+                for x, y in zip(got, (k, m, math.sqrt(max(0.0, math.sumprod(p, b) - m * m))), strict=True):
+                    x.append(y)
+            ends.append(len(got[0]))
+        parts = [pa.array(x, t) for x, t in zip(got, (pa.int64(), pa.float64(), pa.float64()), strict=True)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, names=["k", "mean", "std"]))
 
     laws = rows.select(group, F.explode(law("v.n", "v.mean", "v.square")).alias("l"))
-    return laws.select(group, F.col("l.k").cast("long").alias("k"), F.col("l.mean").alias("majority"), F.col("l.std").alias("majority_std"))
+    return laws.select(group, F.col("l.k").alias("k"), F.col("l.mean").alias("majority"), F.col("l.std").alias("majority_std"))

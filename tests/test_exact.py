@@ -169,3 +169,17 @@ def test_whiten_keeps_digits(spark):
     df = spark.createDataFrame([(1e7 + x,) for x in (0.0, 1.0, 2.0)], "x double")
     got = sorted(r["x"] for r in A.whiten(df, "x", F.lit(1)).collect())
     assert got[2] - got[0] == pytest.approx(2.0, rel=2e-3)
+
+
+def test_table_computes_each_law_once(spark):
+    """A branch for the mean and one for the deviation had a Python call each; prompts of one value have none."""
+    df = spark.createDataFrame([("b", g, p, float(r)) for g, p, r in ((1, "x", 1), (1, "y", 0), (1, "x", 1), (2, "x", 1))], "benchmark string, group_id long, pred string, reward double")
+    got = metrics.validation_table(df, vote="pred")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("Window") <= 2
+    table = {r["metric"]: r["value"] for r in got.collect()}
+    assert table["mean@1"] == 1.0 and table["mean@3"] == pytest.approx(2 / 3) and "std@1" not in table
+    assert table["maj@3/mean"] == pytest.approx(20 / 27) and table["best@2/mean"] == pytest.approx(8 / 9)
+    sizes = spark.range(1, 300).select("id", metrics.subset_sizes(F.col("id")).alias("k")).collect()
+    assert all(r.k == votes.sizes(r.id) for r in sizes)
+    assert spark.range(1).select(metrics.subset_sizes(F.lit((1 << 33) + 1)).alias("k")).first().k == [*(1 << i for i in range(1, 31)), (1 << 33) + 1]
