@@ -1,10 +1,12 @@
 """Ops 2, 3, 5, 6, 9 and 10 against plain versions, on a whole small table and on odd rows."""
 
-import zlib
-import random
 import base64
 import gzip
+import hashlib
+import math
+import random
 import re
+import zlib
 from collections import Counter
 from urllib.parse import quote
 
@@ -229,6 +231,37 @@ def test_stretches_do_not_depend_on_the_order_of_texts(monkeypatch):
     assert found(texts) == found(texts[::-1]) == found(sorted(texts))
 
 
+def test_suffix_copies(spark):
+    """Copies of a text meet in one block, which has it once; the least id keeps it, whatever the other rows of that id are."""
+    from harrow.llm import blocks
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdef ", k=n)) for n in (49, 50, 51, 120, 300)] + ["x" * 80, "", "é" * 25, "é" * 24]
+    texts.append("q" + texts[3][:100])  # shares strings with a text that has copies
+    src = [(i, t) for i, t in enumerate(texts * 7)] + [(3, texts[3]), (None, texts[4]), (None, texts[4]), (None, "z" * 60), (None, "z" * 60), (None, None), (5, None), (-4, texts[2])]
+    rng.shuffle(src)
+    df = spark.createDataFrame(src, "doc_id long, text string").repartition(5)
+    got = rows(suffix.remove_repeats(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    first, strings = {}, lambda t: [t[k : k + 50] for k in range(len(t) - 49)]
+    key = lambda i: math.inf if i is None else i
+    for i, t in src:
+        for x in strings((t or "").encode()):
+            first[x] = min(first.get(x, math.inf), key(i))
+    want = []
+    for i, t in src:
+        raw = (t or "").encode()
+        gone = {k + d for k, x in enumerate(strings(raw)) if first[x] < key(i) for d in range(50)}
+        spans = sum(k - 1 not in gone for k in gone)
+        want.append((i, len(raw), len(gone), spans, hashlib.sha256(bytes(b for k, b in enumerate(raw) if k not in gone)).hexdigest()))
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    packed, _ = blocks.blocked(df, "doc_id", "text", suffix.LENGTH)
+    where = Counter()
+    for _, part in packed.toPandas().groupby("block"):
+        block = blocks._unpacked(pa.table({"data": pa.array(part["data"], pa.binary())}))
+        where.update(block.texts.to_pylist())
+    assert all(n == 1 for t, n in where.items() if len(t.encode()) >= suffix.LENGTH)
+
+
 def test_suffix_order():
     rng = np.random.default_rng(5)
     for _ in range(60):
